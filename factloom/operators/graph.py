@@ -40,3 +40,132 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).distinct()
+
+
+def reverse_closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", max_rounds: int = 10_000) -> DataFrame:
+    """(node): seeds and everything from which a seed can be reached over src -> dst. Cycles end by themselves: each round
+    only carries nodes that are new. Seeds that have no edge stay in the result."""
+    scratch = Scratch(edges.sparkSession, "closure")
+    back = edges.select(F.col(src).alias("_to"), F.col(dst).alias("_at")).distinct()
+    seen = frontier = scratch.put(seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), "seen")
+    for _ in range(max_rounds):
+        new = frontier.join(back, frontier["node"] == back["_at"]).select(F.col("_to").alias("node")).distinct()
+        frontier = scratch.put(new.join(seen, "node", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError("reverse_closure did not settle")
+
+
+def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst", node: str = "node", per_level: int | None = None) -> DataFrame:
+    """(node, level): nodes within `depth` steps over src -> dst, at their least level. With per_level, a level keeps only
+    its first nodes in order of their keys, and what it leaves out may come again later."""
+    scratch = Scratch(edges.sparkSession, "bfs")
+    hop = edges.select(F.col(src).alias("_at"), F.col(dst).alias("_to")).distinct()
+    frontier = seeds.select(F.col(node).alias("node")).distinct()
+    seen = scratch.put(frontier.withColumn("level", F.lit(0)), "seen")
+    frontier = seen.select("node")
+    for level in range(1, depth + 1):
+        new = frontier.join(hop, frontier["node"] == hop["_at"]).select(F.col("_to").alias("node")).distinct().join(seen, "node", "left_anti")
+        if per_level is not None:
+            new = new.orderBy("node").limit(per_level)
+        new = scratch.put(new, "level")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new.withColumn("level", F.lit(level)))
+        frontier = new
+    return seen
+
+
+def spread_families(calls: DataFrame, override_pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(caller, callee) with virtual dispatch made explicit: who calls one member of an override family calls every member
+    that is present. calls: caller, callee; override_pairs: ov, base; keys: fid."""
+    family = connected_components(override_pairs, "ov", "base")
+    present = family.join(keys, family["node"] == keys["fid"], "left_semi")
+    big = present.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2").select("component")
+    member = present.join(big, "component").select("component", "node")
+    calling = calls.join(member, calls["callee"] == member["node"]).select("caller", "component").distinct()
+    more = calling.join(member, "component").select("caller", F.col("node").alias("callee"))
+    return calls.select("caller", "callee").unionByName(more).distinct()
+
+
+def propagate_facts(calls: DataFrame, facts: DataFrame, columns: tuple[str, ...], fid: str = "fid", max_rounds: int = 10_000) -> DataFrame:
+    """(fid, *columns): each function's facts and those of everything it calls, to a fixed point (semi-naive: a round only
+    extends the rows that were new in the round before)."""
+    scratch = Scratch(calls.sparkSession, "propagate")
+    hop = calls.select(F.col("caller").alias("_up"), F.col("callee").alias("_down")).distinct()
+    seen = delta = scratch.put(facts.select(fid, *columns).distinct(), "facts")
+    for _ in range(max_rounds):
+        new = delta.join(hop, delta[fid] == hop["_down"]).select(F.col("_up").alias(fid), *columns).distinct()
+        delta = scratch.put(new.join(seen, [fid, *columns], "left_anti"), "delta")
+        if delta.isEmpty():
+            return seen
+        seen = seen.unionByName(delta)
+    raise RuntimeError("propagate_facts did not settle")
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, level): level 0 calls nothing; a node comes once all it calls has come. When a cycle leaves nothing ready,
+    everything that is left is released at once."""
+    scratch = Scratch(nodes.sparkSession, "levels")
+    left = scratch.put(nodes.select(F.col(node).alias("node")).distinct(), "left")
+    deps = edges.select(F.col(src).alias("_at"), F.col(dst).alias("_on")).where("_at <> _on").distinct()
+    deps = scratch.put(deps.join(left, deps["_on"] == left["node"], "left_semi"), "deps")
+    done, level = None, 0
+    while not left.isEmpty():
+        ready = left.join(deps, left["node"] == deps["_at"], "left_anti")
+        ready = scratch.put(ready, "ready")
+        if ready.isEmpty():
+            ready = left
+        labelled = ready.withColumn("level", F.lit(level))
+        done = labelled if done is None else done.unionByName(labelled)
+        left = scratch.put(left.join(ready, "node", "left_anti"), "left")
+        deps = scratch.put(deps.join(ready, deps["_on"] == ready["node"], "left_anti"), "deps")
+        level += 1
+    return done if done is not None else nodes.select(F.col(node).alias("node")).limit(0).withColumn("level", F.lit(0))
+
+
+def affected_units(impact: DataFrame, calls: DataFrame, unit_of: DataFrame) -> DataFrame:
+    """(unit): units of impacted functions and of their direct callers and callees. impact: fid; unit_of: fid, unit."""
+    callers = calls.join(impact, calls["callee"] == impact["fid"], "left_semi").select(F.col("caller").alias("fid"))
+    callees = calls.join(impact, calls["caller"] == impact["fid"], "left_semi").select(F.col("callee").alias("fid"))
+    near = impact.select("fid").unionByName(callers).unionByName(callees).distinct()
+    return near.join(unit_of, "fid").select("unit").distinct()
+
+
+def validate_flow_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fkey, issue, node_id): missing or repeated start, missing end, dangling edge, empty label, unreachable node.
+    nodes: fkey, node_id, type, label; edges: fkey, source, target. Reachability is one closure over all graphs."""
+    start, end = nodes.where("type = 'START'"), nodes.where("type = 'END'")
+    graphs = nodes.select("fkey").distinct()
+    issue = lambda df, name, col="node_id": df.select("fkey", F.lit(name).alias("issue"), (F.col(col) if col else F.lit(None)).cast("string").alias("node_id"))
+    no_start = issue(graphs.join(start, "fkey", "left_anti"), "no start", None)
+    starts = issue(start.groupBy("fkey").count().where("count > 1"), "several starts", None)
+    no_end = issue(graphs.join(end, "fkey", "left_anti"), "no end", None)
+    ids = nodes.select("fkey", "node_id")
+    ends = edges.select("fkey", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    dangling = issue(ends.join(ids, ["fkey", "node_id"], "left_anti"), "dangling edge")
+    empty = issue(nodes.where("type not in ('START', 'END') and trim(coalesce(label, '')) = ''"), "empty label")
+    key_of = ids.select("fkey", "node_id", F.to_json(F.struct(F.col("fkey").alias("f"), F.col("node_id").alias("n"))).alias("k"))
+    hop = edges.select(F.to_json(F.struct(F.col("fkey").alias("f"), F.col("target").alias("n"))).alias("src"), F.to_json(F.struct(F.col("fkey").alias("f"), F.col("source").alias("n"))).alias("dst"))
+    reach = reverse_closure(hop, start.select(F.to_json(F.struct(F.col("fkey").alias("f"), F.col("node_id").alias("n"))).alias("node")))
+    lost = issue(key_of.join(reach, key_of["k"] == reach["node"], "left_anti"), "unreachable")
+    return no_start.unionByName(starts).unionByName(no_end).unionByName(dangling).unionByName(empty).unionByName(lost)
+
+
+def tree_order(nodes: DataFrame, node: str = "id", parent: str = "parent", order: str = "ord", max_depth: int = 64) -> DataFrame:
+    """Nodes of a forest (adjacency list) with depth and path (array of sibling places from the root): sorting by path is
+    pre-order. Nodes whose parent is missing are no part of the result."""
+    scratch = Scratch(nodes.sparkSession, "tree")
+    kids = nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_parent"), F.struct(F.col(order), F.col(node)).alias("_place"))
+    step = F.transform(F.array("_place"), lambda x: x)
+    level = scratch.put(kids.where("_parent is null").select("_id", step.alias("path")), "level")
+    out, depth = level.withColumn("depth", F.lit(0)), 0
+    while depth < max_depth:
+        depth += 1
+        up = level.select(F.col("_id").alias("_up"), F.col("path").alias("_path"))
+        level = scratch.put(kids.join(up, kids["_parent"] == up["_up"]).select("_id", F.concat("_path", step).alias("path")), "level")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return nodes.join(out.withColumnRenamed("_id", node), node)

@@ -1,15 +1,18 @@
-"""Registered queries."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
+from factloom.plans import incremental_queries, inputs
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """What must be regenerated between two versions of the call graph."""
+    return incremental_queries.g07_incremental_plan(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(inputs.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(inputs.ORACLES)
