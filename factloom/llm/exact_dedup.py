@@ -5,8 +5,8 @@ distinct keys than it may hold is split by one more bit, and the directory doubl
 Owner tasks process contiguous ranges of directory entries. Inside a bucket, rows with one key form a chain whose
 texts are compared byte by byte, so a collision of keys never merges different texts.
 
-Shuffled rows are keys, not texts: only keys that occur more than once have their texts brought together, and those
-are combined on the map side first, so a group that holds a third of all rows moves one row per task.
+Texts are shuffled once, after copies have been combined on the map side, so a group that holds a third of all rows
+moves one row per task. Everything after that works on keys and digests.
 """
 
 from __future__ import annotations
@@ -91,27 +91,18 @@ def exact_dedup(
     scratch = Scratch(spark, "exact-dedup")
     key = F.xxhash64("text") if key is None else key
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", key)
-    index = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    # chains: rows of one key, told apart by comparing their bytes; copies are combined before the shuffle
+    chains = rows.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    chains = scratch.put(chains.select("key", F.sha2("text", 256).alias("sha"), "keep_id", "group_size"), "chains")
+    index = chains.groupBy("key").agg(F.count("*").alias("links"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     index = scratch.put(index, "keys")
     buckets, depth = build_directory(index.select("key"), scratch, bucket_keys, max_depth)
     slots = directory_entries(buckets, depth)
-    # the index on shared files: owner tasks hold contiguous ranges of entries, each sorted by bucket and key
-    placed = index.withColumn("entry", prefix("key", depth)).join(slots, "entry")
-    owners = scratch.put(placed.select("bucket", "local_depth", "key", "n", "last").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    # chains: only keys that occur more than once need their texts compared
-    shared = owners.where("n > 1").select("key")
-    chains = (
-        rows.join(shared, "key", "left_semi").groupBy("key", "text")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    )
-    chains = scratch.put(chains.withColumn("sha", F.sha2("text", 256)).withColumn("links", F.lit(1)).drop("text"), "chains")
-    length = chains.groupBy("key").agg(F.count("*").alias("links"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    plan = (
-        owners.where("n = 1").select("key", "bucket", F.lit(1).cast("long").alias("links"), F.col("last").alias("keep_id"), F.col("n").alias("group_size"))
-        .unionByName(length.join(owners.select("key", "bucket"), "key").select("key", "bucket", "links", "keep_id", "group_size"))
-    )
+    # the index on shared files: owner tasks hold contiguous ranges of buckets, sorted by bucket and key
+    placed = index.withColumn("entry", prefix("key", depth)).join(slots, "entry").drop("entry")
+    owners = scratch.put(placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
     hashed = rows.select("id", "key", F.sha2("text", 256).alias("sha"))
-    out = hashed.join(plan, "key")
+    out = hashed.join(owners, "key")
     # one link in the chain: equal keys were shown to be equal texts. More: look up the link by the text's digest,
     # which was computed from texts told apart byte by byte.
     single = out.where("links = 1")
