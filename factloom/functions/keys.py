@@ -16,7 +16,7 @@ def or_default(c: Column, default: str) -> Column:
 
 def normal_path(path: Column) -> Column:
     """Forward slashes, none at either end."""
-    return F.trim(F.lit("/"), F.translate(path, "\\", "/"))
+    return F.trim(F.translate(path, "\\", "/"), F.lit("/"))
 
 
 def repo_relative(path: Column, base: Column) -> Column:

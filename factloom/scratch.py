@@ -26,13 +26,16 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def put(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """Write df once; later reads come from files, so a lost executor costs no recomputation."""
+    def put(self, df: DataFrame, label: str = "t", sweep: bool = False) -> DataFrame:
+        """Write df once; later reads come from files, so a lost executor costs no recomputation. With sweep the driver
+        collects its garbage, upon which executors delete the shuffle files of finished jobs."""
         self._n += 1
         path = f"{self.root}/{label}-{self._n}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        if sweep:
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
