@@ -7,7 +7,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Characters a token where no exact tokenizer is at hand.
 RATIO = 3.5
@@ -101,7 +101,7 @@ def struct_description(name: Column) -> Column:
 
 
 # ---- sequential work ------------------------------------------------------------------------------------------------
-SEGMENTS = "array<struct<text:string,mark:string>>"
+SEGMENTS = T.ArrayType(T.StructType().add("text", T.StringType()).add("mark", T.StringType()))
 
 
 def word_diff(old: str, new: str) -> list[dict[str, str]]:
@@ -124,7 +124,7 @@ def word_segments(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([word_diff(a, b) for a, b in zip(old, new, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def merge_ids(old: pd.Series, new: pd.Series) -> pd.Series:
     """Order-preserving merge of two id sequences: what both have once, removed ones where they stood, added ones where
     they stand."""
@@ -180,12 +180,12 @@ def repair(text: str) -> str:
     return re.sub(r"'([^'\"]*)'", r'"\1"', out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(text: pd.Series) -> pd.Series:
     return text.map(first_json)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(text: pd.Series) -> pd.Series:
     return text.map(repair)
 
@@ -200,14 +200,14 @@ def keep_keys(data: Column, wanted: list[str]) -> Column:
     return F.map_filter(data, lambda k, v: k.isin(wanted))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def escape_label(text: pd.Series) -> pd.Series:
     """Diagram label: each special character replaced once, in one pass."""
     table = {ord('"'): "&quot;", ord("<"): "&lt;", ord(">"): "&gt;", ord("&"): "&amp;", ord("#"): "&#35;", ord(";"): "&#59;", ord("\n"): "<br/>"}
     return text.map(lambda s: (s or "").translate(table))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def wrap_label(text: pd.Series) -> pd.Series:
     """Words wrapped at 40 characters a segment, segments joined by <br/>; words are never split."""
 
@@ -227,7 +227,7 @@ def wrap_label(text: pd.Series) -> pd.Series:
     return text.map(wrap)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def readable_condition(text: pd.Series) -> pd.Series:
     """A condition in words: operators, then negation and predicate names."""
     table = [(r"&&", " and "), (r"\|\|", " or "), (r"==", " is "), (r"!=", " is not "), (r">=", " is at least "), (r"<=", " is at most "),
@@ -243,14 +243,14 @@ def readable_condition(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<struct<line:int,col:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("line", T.IntegerType()).add("col", T.IntegerType())))
 def assert_calls(code: pd.Series) -> pd.Series:
     """1-based places of assertion calls."""
     pattern = re.compile(r"\b(?:assert|ASSERT|static_assert)\s*\(")
     return code.map(lambda s: [{"line": n, "col": m.start() + 1} for n, line in enumerate((s or "").split("\n"), 1) for m in pattern.finditer(line)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visibility_before(lines: pd.Series) -> pd.Series:
     """Visibility stated in the (up to five) lines before a declaration, nearest first; public where none is."""
 
@@ -263,7 +263,7 @@ def visibility_before(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def preceding_comment(block: pd.Series) -> pd.Series:
     """The comment that ends a block of lines, without its marks; empty where code comes last."""
 
@@ -281,7 +281,7 @@ def preceding_comment(block: pd.Series) -> pd.Series:
     return block.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def declaration_snippet(text: pd.Series, line: pd.Series) -> pd.Series:
     """Lines from a declaration (1-based) to where its braces close, 60 at most."""
 
@@ -298,7 +298,7 @@ def declaration_snippet(text: pd.Series, line: pd.Series) -> pd.Series:
     return pd.Series([one(s, n) for s, n in zip(text, line, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def active_includes(text: pd.Series) -> pd.Series:
     """Quoted includes outside conditional blocks that are switched off (#if 0, #ifdef of an undefined name, #else of a
     taken branch). Names defined in the file count as defined."""
