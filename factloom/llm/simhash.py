@@ -127,7 +127,7 @@ def _blocks(postings: DataFrame, block_rows: int) -> DataFrame:
     p = postings.withColumn("m", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("k", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     p = p.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     p = p.select("list", "value", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.when(F.col("k") <= F.col("o"), 0).otherwise(1).alias("side"), "fp")
-    return p.groupBy("list", "value", "i", "j").applyInPandas(block_links, "a long, b long")
+    return p.groupBy("list", "value", "i", "j").applyInPandas(lambda block: block_links(block), "a long, b long")
 
 
 def links(nodes: DataFrame, scratch: Scratch, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
