@@ -42,7 +42,7 @@ def needs_review(text: Column, least: int = 20) -> Column:
 
 
 def strip_sections(text: Column, tag: str = "think") -> Column:
-    return F.trim(F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>", ""))
+    return F.regexp_replace(F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>", ""), r"^\s+|\s+$", "")
 
 
 def strip_log_prefix(line: Column) -> Column:
@@ -87,7 +87,7 @@ def markdown_table(header: Column, rows: Column) -> Column:
 def parse_markdown_table(text: Column) -> Column:
     """array<array<string>>: the header and the rows, without the rule line."""
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"^\s*\|") & ~s.rlike(r"^\s*\|[\s:|-]*-[\s:|-]*$"))
-    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def defined_macro(arg: Column) -> Column:
