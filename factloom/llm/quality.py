@@ -152,17 +152,27 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     return calibrate(fit_nnpu(x[y == 1], free[:, 1:], prior), x, y)
 
 
-def score_quality(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, score (0 to 1, higher: better) for every row; columns in `keep` pass through. Null text: empty. Without a
-    scorer (nothing to learn from) every score is 0.5, so that nothing is rejected. Repeated rows give equal scores."""
+def _scored(rows: DataFrame, scorer: Scorer | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` of rows, and the score of their text."""
 
-    def run(texts: list[str]) -> dict[str, list]:
+    def run(texts: list) -> dict[str, list]:
         if scorer is None or not texts:
             return {"score": [0.5] * len(texts)}
         return {"score": scorer.predict(np.array([text_features(t or "") for t in texts], float)).tolist()}
 
-    others = [F.col(c) for c in keep if c != text_col]
-    rows = docs.select((F.struct(*others) if others else F.lit(0)).alias("rest"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kinds = f"rest {rows.schema['rest'].dataType.simpleString()}, id long, text string, score double"
-    out = map_column(rows, "text", run, kinds, keep=["rest", "id", "text"])
-    return out.select("id", *[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in keep], "score")
+    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return map_column(rows, "text", run, f"{kept}, score double", keep)
+
+
+def score_quality(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score (0 to 1, higher: better) for every row. Null text: empty. Without a scorer (nothing to learn from) every
+    score is 0.5, so that nothing is rejected. Repeated rows get equal scores; extra columns are ignored."""
+    return _scored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scorer, ["id"])
+
+
+def keep_good(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The input rows, columns unchanged, that score at least `threshold`."""
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    rows = docs.select((F.struct(*others) if others else F.lit(0)).alias("rest"), F.col(text_col).alias("text"))
+    good = _scored(rows, scorer, ["rest", "text"]).where(F.col("score") >= threshold)
+    return good.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
