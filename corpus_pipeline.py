@@ -18,8 +18,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under its threshold go. Without labels to learn from, all stay."""
     scorer = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, scorer, keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*[scored[c] for c in docs.columns])
+    return quality.keep_good(docs, scorer)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
