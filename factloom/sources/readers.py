@@ -12,7 +12,8 @@ from factloom.operators.derive import forward_fill
 
 
 def source_files(spark: SparkSession, root: str, pattern: str = "*.{cpp,cc,cxx}", only: DataFrame | None = None, content: bool = True) -> DataFrame:
-    """(path, length, text): files below a folder by name pattern; `only` (path) narrows the scan."""
+    """(path, length, text): files below a folder by name pattern; `only` (path) narrows the scan. Empty files, which hold no
+    facts, aren't listed."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     cols = [F.col("path"), F.col("length"), *([F.decode("content", "UTF-8").alias("text")] if content else [])]
     df = df.select(*cols)
