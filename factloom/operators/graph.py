@@ -46,7 +46,7 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: s
     """(node): seeds and everything from which a seed can be reached over src -> dst. Cycles end by themselves: each round
     only carries nodes that are new. Seeds that have no edge stay in the result."""
     scratch = Scratch(edges.sparkSession, "closure")
-    back = edges.select(F.col(src).alias("_to"), F.col(dst).alias("_at")).distinct()
+    back = scratch.put(edges.select(F.col(src).alias("_to"), F.col(dst).alias("_at")).where("_at is not null and _to is not null").distinct(), "links")
     seen = frontier = scratch.put(seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), "seen")
     for _ in range(max_rounds):
         new = frontier.join(back, frontier["node"] == back["_at"]).select(F.col("_to").alias("node")).distinct()
@@ -61,7 +61,7 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src"
     """(node, level): nodes within `depth` steps over src -> dst, at their least level. With per_level, a level keeps only
     its first nodes in order of their keys, and what it leaves out may come again later."""
     scratch = Scratch(edges.sparkSession, "bfs")
-    hop = edges.select(F.col(src).alias("_at"), F.col(dst).alias("_to")).distinct()
+    hop = scratch.put(edges.select(F.col(src).alias("_at"), F.col(dst).alias("_to")).where("_at is not null and _to is not null").distinct(), "links")
     frontier = seeds.select(F.col(node).alias("node")).distinct()
     seen = scratch.put(frontier.withColumn("level", F.lit(0)), "seen")
     frontier = seen.select("node")
@@ -93,7 +93,7 @@ def propagate_facts(calls: DataFrame, facts: DataFrame, columns: tuple[str, ...]
     """(fid, *columns): each function's facts and those of everything it calls, to a fixed point (semi-naive: a round only
     extends the rows that were new in the round before)."""
     scratch = Scratch(calls.sparkSession, "propagate")
-    hop = calls.select(F.col("caller").alias("_up"), F.col("callee").alias("_down")).distinct()
+    hop = scratch.put(calls.select(F.col("caller").alias("_up"), F.col("callee").alias("_down")).where("_up is not null and _down is not null").distinct(), "links")
     seen = delta = scratch.put(facts.select(fid, *columns).distinct(), "facts")
     for _ in range(max_rounds):
         new = delta.join(hop, delta[fid] == hop["_down"]).select(F.col("_up").alias(fid), *columns).distinct()
