@@ -38,7 +38,7 @@ def c09_private_by_use(spark, sf):
     return derive.external_callers(functions(spark, sf).select("fid", "file"), calls(spark, sf)).drop("file")
 
 
-@query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY length(c_mktsegment), c_custkey // 10, c_custkey) AS number FROM customer""")
+@query("""SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY length(c_mktsegment), c_custkey // 10, c_custkey) AS INTEGER) AS number FROM customer""")
 def f01_interface_ordinal(spark, sf):
     has = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has", F.lit(True))
     c = t(spark, sf, "customer").join(has, "c_custkey", "left")
@@ -332,7 +332,7 @@ def e26_case_insensitive_dedup(spark, sf):
     return derive.first_wins(c, ["k"], ["c_custkey"]).select("k", F.col("c_custkey").alias("first"))
 
 
-@query("SELECT o_custkey, o_orderkey, rn AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5")
+@query("SELECT o_custkey, o_orderkey, CAST(rn AS INTEGER) AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5")
 def h04_top_k(spark, sf):
     return derive.top_k(t(spark, sf, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")], 5).select("o_custkey", "o_orderkey", "rank")
 
