@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,9 +17,25 @@ def shared_dir(spark: SparkSession) -> str:
         base = getattr(shared_dir, "_own", None)
         if base is None:
             base = shared_dir._own = tempfile.mkdtemp(prefix="factloom-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 
+_roots: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this session. Frames that still read them can't be used afterwards, so it is the caller
+    who knows when."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """A private subfolder of the shared folder. put() materialises a frame as Parquet and reads it back."""
 
@@ -25,6 +43,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _roots.append(self.root)
 
     def put(self, df: DataFrame, label: str = "t", sweep: bool = False) -> DataFrame:
         """Write df once; later reads come from files, so a lost executor costs no recomputation. With sweep the driver
@@ -41,8 +60,5 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
         for t in tables:
-            path = getattr(t, "_scratch_path", None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            if path := getattr(t, "_scratch_path", None):
+                _delete(self.spark, path)
