@@ -42,19 +42,42 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     ).distinct()
 
 
-def reverse_closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", max_rounds: int = 10_000) -> DataFrame:
+#: Steps that one round of a closure takes before its result is written.
+HOPS = 3
+
+
+def _expand(frontier: DataFrame, seen: DataFrame, step, key: list[str], hops: int) -> DataFrame:
+    """Rows that `hops` steps reach and seen lacks, with the step (_hop) at which each is first met."""
+    layer, found = frontier, None
+    for k in range(1, hops + 1):
+        layer = step(layer).distinct().join(seen, key, "left_anti")
+        tagged = layer.withColumn("_hop", F.lit(k))
+        found = tagged if found is None else found.unionByName(tagged)
+    return found.groupBy(*key).agg(F.min("_hop").alias("_hop"))
+
+
+def _fixed_point(scratch: Scratch, start: DataFrame, step, key: list[str], hops: int, max_rounds: int) -> DataFrame:
+    """start and everything that repeated steps add. Only rows met at a round's last step are expanded in the next; the table of
+    what has been seen is written anew every few rounds, so plans stay small."""
+    seen = frontier = scratch.put(start, "seen")
+    for k in range(1, max_rounds + 1):
+        new = scratch.put(_expand(frontier, seen, step, key, hops), "new")
+        frontier = new.where(F.col("_hop") == hops).select(*key)
+        seen = seen.unionByName(new.select(*key))
+        if frontier.isEmpty():
+            return seen
+        if k % 8 == 0:
+            seen = scratch.put(seen, "seen")
+    raise RuntimeError("no fixed point")
+
+
+def reverse_closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", max_rounds: int = 10_000, hops: int = HOPS) -> DataFrame:
     """(node): seeds and everything from which a seed can be reached over src -> dst. Cycles end by themselves: each round
     only carries nodes that are new. Seeds that have no edge stay in the result."""
     scratch = Scratch(edges.sparkSession, "closure")
     back = scratch.put(edges.select(F.col(src).alias("_to"), F.col(dst).alias("_at")).where("_at is not null and _to is not null").distinct(), "links")
-    seen = frontier = scratch.put(seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), "seen")
-    for _ in range(max_rounds):
-        new = frontier.join(back, frontier["node"] == back["_at"]).select(F.col("_to").alias("node")).distinct()
-        frontier = scratch.put(new.join(seen, "node", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError("reverse_closure did not settle")
+    step = lambda f: f.join(back, f["node"] == back["_at"]).select(F.col("_to").alias("node"))
+    return _fixed_point(scratch, seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), step, ["node"], hops, max_rounds)
 
 
 def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst", node: str = "node", per_level: int | None = None) -> DataFrame:
@@ -89,19 +112,13 @@ def spread_families(calls: DataFrame, override_pairs: DataFrame, keys: DataFrame
     return calls.select("caller", "callee").unionByName(more).distinct()
 
 
-def propagate_facts(calls: DataFrame, facts: DataFrame, columns: tuple[str, ...], fid: str = "fid", max_rounds: int = 10_000) -> DataFrame:
+def propagate_facts(calls: DataFrame, facts: DataFrame, columns: tuple[str, ...], fid: str = "fid", max_rounds: int = 10_000, hops: int = HOPS) -> DataFrame:
     """(fid, *columns): each function's facts and those of everything it calls, to a fixed point (semi-naive: a round only
-    extends the rows that were new in the round before)."""
+    extends the rows that were new in the round before). Rows with nulls in `columns` don't spread."""
     scratch = Scratch(calls.sparkSession, "propagate")
     hop = scratch.put(calls.select(F.col("caller").alias("_up"), F.col("callee").alias("_down")).where("_up is not null and _down is not null").distinct(), "links")
-    seen = delta = scratch.put(facts.select(fid, *columns).distinct(), "facts")
-    for _ in range(max_rounds):
-        new = delta.join(hop, delta[fid] == hop["_down"]).select(F.col("_up").alias(fid), *columns).distinct()
-        delta = scratch.put(new.join(seen, [fid, *columns], "left_anti"), "delta")
-        if delta.isEmpty():
-            return seen
-        seen = seen.unionByName(delta)
-    raise RuntimeError("propagate_facts did not settle")
+    step = lambda d: d.join(hop, d[fid] == hop["_down"]).select(F.col("_up").alias(fid), *columns)
+    return _fixed_point(scratch, facts.select(fid, *columns).distinct(), step, [fid, *columns], hops, max_rounds)
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
