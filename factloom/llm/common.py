@@ -45,5 +45,6 @@ def map_column(df: DataFrame, column: str, fn: Callable[[list], dict[str, list]]
                     else:
                         arrays.append(pa.array(new[f.name], f.type))
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        pa.default_memory_pool().release_unused()  # an idle worker keeps no buffers
 
     return df.mapInArrow(run, schema)
