@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +23,7 @@ from factloom.llm.common import map_column, text_or_empty
 
 SPACE = "▁"
 #: Entries of the per-process memos of words and of pair tests; they are emptied when full.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 1_000_000
+MEMO_WORDS, MEMO_PAIRS = 1_000_000, 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -94,8 +95,11 @@ class PieceModel:
                 automaton.add_word(p, (len(p), i))
         automaton.make_automaton()
         self.automaton = automaton
-        self.words: dict[str, tuple[tuple[int, ...], bytes]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        #: Text of an id that stands for itself whatever is beside it; None for others.
+        self.plain = [p if k == NORMAL else chr(int(p[3:5], 16)) if k == BYTE and p < "<0x80>" else None for p, _, k in pieces]
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[int]:
         """Encoding of a short text by merging the best pair, leftmost of equals, again and again: the definition.
@@ -113,7 +117,7 @@ class PieceModel:
         return [self.ids[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 20 | right
         out = self.pairs.get(key)
         if out is None:
             if len(self.pairs) >= MEMO_PAIRS:
@@ -122,28 +126,24 @@ class PieceModel:
         return out
 
     def encode_run(self, run: str) -> list[int]:
-        """Encoding of a run of characters that are all pieces: fill the prefix table, then walk it backwards."""
+        """Encoding of a run of characters that are all pieces: fill the prefix table, then walk it backwards. The automaton
+        gives the matches that end at a place longest first; the one that is compatible is the only one."""
         n = len(run)
         last, size = [0] * n, [0] * n
-        waiting: list[tuple[int, int]] = []
-        at = -1
-
-        def settle():
-            for length, token in sorted(waiting, reverse=True):
-                before = at - length
-                if before < 0 or self.compatible(last[before], token):
-                    last[at], size[at] = token, length
-                    return
-            raise AssertionError("a prefix without a last token")
-
-        for end, found in self.automaton.iter(run):
-            if end != at:
-                if waiting:
-                    settle()
-                waiting, at = [], end
-            waiting.append(found)
-        if waiting:
-            settle()
+        settled, pairs = -1, self.pairs
+        for end, (length, token) in self.automaton.iter(run):
+            if end == settled:
+                continue
+            before = end - length
+            if before >= 0:
+                left = last[before]
+                fits = pairs.get(left << 20 | token)
+                if fits is None:
+                    fits = self.compatible(left, token)
+                if not fits:
+                    continue
+            last[end], size[end] = token, length
+            settled = end
         out, pos = [], n - 1
         while pos >= 0:
             out.append(last[pos])
@@ -152,6 +152,9 @@ class PieceModel:
         return out
 
     def encode_word(self, word: str) -> list[int]:
+        """Runs of known characters by the prefix table, other characters as bytes."""
+        if self.chars.issuperset(word):
+            return self.encode_run(word)
         out: list[int] = []
         begin = 0
         for k, c in enumerate(word):
@@ -185,18 +188,27 @@ class PieceModel:
             out.append(lead)
         return out
 
-    def encode(self, text: str, end: bool = True) -> list[int]:
-        ids: list[int] = []
-        words = self.words
-        for w in self.split(text):
-            got = words.get(w)
+    def recall(self, word: str) -> tuple[int, ...]:
+        """Encoding of a word, by way of the memo. The memo has two generations: when the younger is full, the older goes, so
+        words in use stay."""
+        got = self.words.get(word)
+        if got is None:
+            got = self.older.get(word)
             if got is None:
-                if len(words) >= MEMO_WORDS:
-                    words.clear()
-                got = tuple(self.encode_word(w))
-                if len(w) <= 64:
-                    words[w] = got
-            ids += got
+                got = tuple(self.encode_word(SPACE + word if self.dummy_prefix else word))
+            if len(word) <= 64:
+                if len(self.words) >= MEMO_WORDS // 2:
+                    self.older, self.words = self.words, {}
+                self.words[word] = got
+        return got
+
+    def encode(self, text: str, end: bool = True) -> list[int]:
+        if self.dummy_prefix and text and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            plain = text.split(" ")  # each word has one space mark before it
+            found = list(map(self.words.get, plain))
+            ids = list(chain.from_iterable([self.recall(w) if g is None else g for w, g in zip(plain, found)]))
+        else:
+            ids = [i for w in self.split(text) for i in self.encode_word(w)]
         if end:
             ids.append(self.eos)
         return ids
@@ -204,6 +216,16 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, space marks as spaces, the dummy prefix taken off; bytes as UTF-8, invalid ones as U+FFFD;
         control ids give nothing."""
+        whole = ids[:-1] if ids and ids[-1] == self.eos else ids
+        try:
+            out = "".join([self.plain[i] for i in whole])  # nothing but pieces and ASCII bytes
+        except TypeError:
+            return self.decode_any(ids)
+        if whole and self.dummy_prefix and self.kinds[whole[0]] == NORMAL and out.startswith(SPACE):
+            out = out[1:]
+        return out.replace(SPACE, " ")
+
+    def decode_any(self, ids: list[int]) -> str:
         out: list[str] = []
         pending = bytearray()
         first = True
