@@ -57,3 +57,5 @@ def test_columns(spark, both):
     assert sorted((r.id or -1, list(r.ids)) for r in rows) == want
     assert all(r.decoded == lib.decode(list(r.ids)) for r in rows)
     assert piece_codec.encode_column(empty(spark), MODEL).count() == 0
+    one = piece_codec.recode_column(docs, MODEL).collect()
+    assert sorted((r.id or -1, list(r.ids), r.decoded) for r in one) == sorted((r.id or -1, list(r.ids), r.decoded) for r in rows)
