@@ -306,3 +306,15 @@ def decode_column(encoded: DataFrame, model: str) -> DataFrame:
         return {"decoded": [m.decode(a or []) for a in arrays]}
 
     return map_column(encoded.select("id", "ids"), "ids", decode, "id long, ids array<int>, decoded string", keep=["id", "ids"])
+
+
+def recode_column(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids, decoded: encode_column() and decode_column() in one pass, for callers that want both."""
+
+    def recode(texts: list[str]) -> dict[str, list]:
+        m = load(_path(model))
+        ids = [m.encode(t) for t in texts]
+        return {"ids": ids, "decoded": [m.decode(i) for i in ids]}
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    return map_column(rows, "text", recode, "id long, ids array<int>, decoded string", keep=["id"])

@@ -110,8 +110,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = piece_codec.encode_column(table(spark, sf_dir, "documents"), PIECE_MODEL)
-    out = piece_codec.decode_column(encoded, PIECE_MODEL)
+    out = piece_codec.recode_column(table(spark, sf_dir, "documents"), PIECE_MODEL)
     return out.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
