@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import keys, text as tx
 from factloom.operators import sequential
-from factloom.plans.inputs import CALLS, calls, query, t
+from factloom.plans.inputs import calls, query, t
 from factloom.scratch import shared_dir
 from factloom.sources import readers, sinks
 
