@@ -18,11 +18,6 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only(df: DataFrame, *cols: str) -> DataFrame:
-    """The named columns alone: other columns, whatever their names, can't clash with internal ones."""
-    return df.select(*cols)
-
-
 #: Rows that map_column() hands over at a time: bounds the memory of a Python worker whatever Arrow's batch size is.
 CHUNK_ROWS = 256
 
