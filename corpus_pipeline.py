@@ -6,9 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm import line_dedup, packing, pii, quality, simhash
+from factloom.llm.common import text_or_empty
 from factloom.llm.queries import packed_digest
+from factloom.operators.graph import connected_components
 from factloom.scratch import Scratch
 
+#: Near copies: words of a shingle, and the texts that are compared as one block.
+COPY_WORDS, COPY_BLOCK = 5, 32
+
 
 def _with_length(docs: DataFrame) -> DataFrame:
     """n_chars follows the text, where the table has that column."""
@@ -26,10 +31,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_length(line_dedup.dedup_lines(docs).select(*docs.columns))
 
 
+def near_copies(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the texts that have a near copy. texts: (node, text), node being xxhash64(text). Texts link when their
+    SimHash fingerprints are within reach, and when the exact Jaccard similarity of their five-word shingles is 0.8 or more:
+    such texts mostly differ in more bits than an index of fingerprints can guarantee."""
+    close = simhash.near_duplicates(texts, "node", "text").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    alike = line_dedup.similar_lines(
+        texts.select(F.col("text").alias("line")), scratch, block_rows=COPY_BLOCK, pieces=lambda x: line_dedup.word_shingles(x, COPY_WORDS))
+    return connected_components(close.unionByName(alike.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    classes = simhash.near_duplicates(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    scratch = Scratch(spark, "near-copies")
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text"))
+    parts = near_copies(rows.select("node", "text"), scratch)
+    placed = scratch.put(rows.select("doc_id", "node").join(parts, "node").select("doc_id", "component"), "placed")
+    low = placed.groupBy("component").agg(F.min("doc_id").alias("low"))
+    own = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
+    gone = placed.join(low, "component").unionByName(rows.join(own, "node").select("doc_id", "low"), allowMissingColumns=True)
+    gone = gone.where("doc_id <> low").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
