@@ -42,16 +42,21 @@ def near_copies(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
+    """Of each group of near copies, equal texts included, one row stays: the smallest id, then the smallest text hash; a row
+    without an id only where no other has one. Of whole repeated rows one stays; a row is never dropped for another's id."""
     scratch = Scratch(spark, "near-copies")
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text"))
-    parts = near_copies(rows.select("node", "text"), scratch)
-    placed = scratch.put(rows.select("doc_id", "node").join(parts, "node").select("doc_id", "component"), "placed")
-    low = placed.groupBy("component").agg(F.min("doc_id").alias("low"))
-    own = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
-    gone = placed.join(low, "component").unionByName(rows.join(own, "node").select("doc_id", "low"), allowMissingColumns=True)
-    gone = gone.where("doc_id <> low").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    id_ = F.col("doc_id").cast("long")
+    place = F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text_or_empty()).alias("node")).alias("place")
+    rows = docs.select(place, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    parts = near_copies(docs.select(F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text")), scratch)
+    seen = rows.groupBy("place").agg(F.count("*").alias("n")).withColumn("node", F.col("place.node"))
+    seen = scratch.put(seen.join(parts, "node", "left").select("place", "n", F.coalesce("component", "node").alias("part")), "seen")
+    first = seen.groupBy("part").agg(F.min("place").alias("first"))
+    rule = seen.join(first, "part").select("place", (F.col("place") == F.col("first")).alias("stays"), "n").where("n > 1 or not stays")
+    rule = scratch.put(rule, "rule")
+    # rows that repeat the one that stays are combined before the shuffle
+    once = rows.join(rule.where("stays").select("place"), "place", "left_semi").groupBy("place").agg(F.any_value("rest").alias("rest"))
+    return rows.join(rule.select("place"), "place", "left_anti").select("rest.*").unionByName(once.select("rest.*"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
