@@ -1,7 +1,7 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is split into sentences, each is normalised and looked up in a table of known license sentences. The
-identifiers found, in order, form a sequence; ordered license rules (patterns over identifiers) are matched against
+Known license sentences are looked for in the normalised text between two breaks; breaks that a sentence has of its own
+(wrapped lines, a semicolon or colon inside) don't end it, blank lines and sentence ends do. The identifiers found, in order, form a sequence; ordered license rules (patterns over identifiers) are matched against
 it, the first rule that matches at a place winning. One pass over a row, no shuffle; the tables are a few kB.
 """
 
@@ -44,8 +44,12 @@ RULES = [
     ("MPL-2.0", r"<MPL2_TITLE>"),
     ("MIT", r"<MIT_TITLE>"),
 ]
-#: A sentence ends at a line feed, or at . ! ? ; : followed by white space. Runs over the whole text.
+#: A sentence begins and ends at a line feed, or at . ! ? ; : followed by white space. Runs over the whole text.
 BREAK = r"\n|[.!?;:]+[ \t\r\f\x0B]"
+#: Breaks that no sentence runs across: blank lines (bare comment marks count as blank), and . ! ? followed by white space.
+HARD = r"\n[ \t\r\f\x0B*#/;-]*(?=\n)|[.!?][.!?;:]*\s"
+#: Words between which a known sentence may even have a hard break: "v. 2.0", and a URL in a paragraph of its own.
+ACROSS = {("v", "2"), ("at", "http")}
 
 
 def normalise(sentence: Column) -> Column:
@@ -53,13 +57,24 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _pattern(sentence: str) -> str:
+    """A known sentence in a text whose breaks are written as words of their own."""
+    words = sentence.split()
+    return words[0] + "".join(("(?: [|~]+)* " if pair in ACROSS else "(?: [|])* ") + pair[1] for pair in zip(words, words[1:], strict=False))
+
+
 def sentence_ids(text: Column, sentences: dict[str, list[str]] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order. Unknown sentences leave no trace."""
     known = [(s, k) for k, v in (sentences or SENTENCES).items() for s in v]
     lookup = F.create_map(*[F.lit(x) for pair in known for x in pair])
-    # a sentence without any of these can't be a known one and is left out before the costly part
-    pieces = F.filter(F.split(text, BREAK), lambda s: s.rlike("(?i)" + "|".join(HINTS)))
-    return F.filter(F.transform(pieces, lambda s: F.try_element_at(lookup, normalise(s))), lambda x: x.isNotNull())
+    # in lower case, breaks as words: ~ ends every sentence, | may stand inside one; these two characters of the text go first
+    marked = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), "|~", "  "), HARD, " ~\n"), BREAK, " | ")
+    marked = F.regexp_replace(F.concat(F.lit("| "), marked, F.lit(" |")), "[^a-z0-9|~]+", " ")
+    whole = "|".join(_pattern(s) for s, _ in sorted(known, key=lambda x: -len(x[0])))
+    found = F.regexp_extract_all(marked, F.lit(rf"(?<=[|~] )({whole})(?= [|~])"), 1)
+    # a text without any of these holds no known sentence and is left out before the costly part
+    found = F.when(text.rlike("(?i)" + "|".join(HINTS)), found).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda s: F.try_element_at(lookup, normalise(s)))
 
 
 def match_rules(sequence: Column, rules: list[tuple[str, str]] | None = None) -> Column:

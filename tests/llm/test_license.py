@@ -43,3 +43,57 @@ def test_awkward_rows(spark):
     out = ls.scan_licenses(docs)
     assert out.count() == docs.count() and {r.n_licenses for r in out.collect()} == {0}
     assert ls.scan_licenses(empty(spark)).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Copyright (c) 2020, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software is distributed."""
+
+
+def test_wrapped_notices(spark):
+    want = [
+        (MIT, "MIT_TITLE,MIT_GRANT,MIT_NOTICE,ASIS", "MIT"), (BSD, "BSD_REDIST", "BSD"), (GPL, "GPL_FREE", "GPL-3.0"), (GPL.replace("software: ", "software; "), "GPL_FREE", "GPL-3.0"),
+        (MPL, "MPL2_TITLE", "MPL-2.0"), (APACHE, "APACHE2_TITLE,APACHE2_USE,APACHE2_COPY", "Apache-2.0"),
+        ("MIT\n\nLicense", "", ""), ("The MIT. License", "", ""), ("MIT License\nCC0 1.0\nLicensed under CC0 1.0\n\nMIT License", "MIT_TITLE,CC0_TITLE,MIT_TITLE", "MIT,CC0-1.0,MIT"),
+    ]
+    want += [("\n".join(mark + x for x in t.split("\n")), i, n) for t, i, n in want[:6] for mark in (" * ", "# ", "// ")] + [(t.replace("\n", "\r\n"), i, n) for t, i, n in want[:6]]
+    df = spark.createDataFrame([(k, w[0]) for k, w in enumerate(want)], "doc_id long, text string")
+    for r in ls.scan_licenses(df).collect():
+        assert (r.sentence_ids, r.licenses) == want[r.doc_id][1:], want[r.doc_id][0]
