@@ -286,9 +286,19 @@ c AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, md5(CAST(o_orderkey AS VARCHAR))
 
 @query(f"WITH {REFS}, d AS (SELECT DISTINCT ref FROM r) SELECT ref, (SELECT arg_min(id, ord) FROM c WHERE id = ref OR tag = ref OR starts_with(sha, ref)) AS id FROM d")
 def d36_resolve_ref(spark, sf):
+    return _resolved_refs(spark, sf, F.col("o_orderkey") < 800)
+
+
+@query()
+def d36_resolve_ref_whole(spark, sf):
+    """References of all orders."""
+    return _resolved_refs(spark, sf, F.lit(True))
+
+
+def _resolved_refs(spark, sf, wanted):
     o = t(spark, sf, "orders")
     h, k = F.md5(F.col("o_orderkey").cast("string")), F.col("o_orderkey") % 4
-    refs = o.where("o_orderkey < 800").select(F.when(k == 0, F.substring(h, 1, 6)).when(k == 1, F.concat(F.lit("v"), "o_orderkey")).when(k == 2, F.substring(h, 1, 2)).otherwise("zz").alias("ref")).distinct()
+    refs = o.where(wanted).select(F.when(k == 0, F.substring(h, 1, 6)).when(k == 1, F.concat(F.lit("v"), "o_orderkey")).when(k == 2, F.substring(h, 1, 2)).otherwise("zz").alias("ref")).distinct()
     c = o.select(F.col("o_orderkey").cast("string").alias("id"), h.alias("sha"), F.concat(F.lit("v"), "o_orderkey").alias("tag"), F.col("o_orderkey").alias("ord"))
     return derive.prefix_match(refs, c)
 
@@ -354,8 +364,18 @@ def i04_orphans(spark, sf):
 s AS (SELECT wid, cid, CASE WHEN w.name = c.name THEN 100 ELSE 40 END - abs(w.line - c.line) - least(abs(w.e - c.e), 20) + CASE WHEN d THEN 20 ELSE 0 END AS score FROM w JOIN c ON split_part(w.name, '::', 2) = split_part(c.name, '::', 2))
 SELECT wid, arg_max(cid, score * 1000000 - cid) AS cid, max(score) AS score FROM s GROUP BY wid""")
 def x01_record_linkage(spark, sf):
+    return _linked_parts(spark, sf, F.col("p_partkey") < 60)
+
+
+@query()
+def x01_record_linkage_whole(spark, sf):
+    """All parts linked."""
+    return _linked_parts(spark, sf, F.lit(True))
+
+
+def _linked_parts(spark, sf, wanted):
     p = t(spark, sf, "part")
-    w = p.where("p_partkey < 60").selectExpr("p_partkey AS wid", "concat('n::', p_name) AS name", "p_size AS line", "p_size + 5 AS end_line")
+    w = p.where(wanted).selectExpr("p_partkey AS wid", "concat('n::', p_name) AS name", "p_size AS line", "p_size + 5 AS end_line")
     c = p.selectExpr("p_partkey AS cid", "concat(CASE WHEN p_partkey % 2 = 0 THEN 'n::' ELSE 'm::' END, p_name) AS name", "p_size + p_partkey % 3 AS line", "p_size + 9 AS end_line", "p_partkey % 5 = 0 AS is_def")
     return derive.link_records(w, c).select("wid", "cid", "score")
 

@@ -1,0 +1,15 @@
+"""Whole-table forms of queries whose registered SQL is bound to an id range: held against that SQL without the range."""
+
+import pytest
+from oracle import SF, both, connect
+
+from factloom.plans import registry
+
+
+@pytest.mark.parametrize(("name", "cut", "rows"), [("x01_record_linkage", "WHERE p_partkey < 60", 200), ("d36_resolve_ref", "WHERE o_orderkey < 800", None)])
+def test_whole_table(spark, name, cut, rows):
+    sql = registry.oracle_sql()[name]
+    assert sql.count(cut) == 1
+    got, want = both(spark, connect(), registry.queries()[f"{name}_whole"], sql.replace(cut, ""))
+    assert got == want
+    assert len(got) > registry.queries()[name](spark, SF).count() and rows in (None, len(got))
