@@ -2,8 +2,8 @@
 
 Rows hash to 64-bit keys. A directory of 2^depth entries maps the top bits of a key to a bucket; a bucket with more
 distinct keys than it may hold is split by one more bit, and the directory doubles when a bucket is as deep as it is.
-Owner tasks process contiguous ranges of directory entries. Inside a bucket, rows with one key form a chain whose
-texts are compared byte by byte, so a collision of keys never merges different texts.
+The index is sorted by bucket. The copies themselves are found before that, by a hash aggregate over key and whole text, so a
+collision of keys never merges different texts; the directory only places the keys.
 
 Texts are shuffled once, after copies have been combined on the map side, so a group that holds a third of all rows
 moves one row per task. Everything after that works on keys and digests.
