@@ -8,6 +8,19 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.scratch import Scratch
 
 
+#: A node with over one in so many of all links is a hub. There are at most 2,000 hubs then, so their labels may be broadcast.
+HUB_SHARE = 1000
+
+
+def _with_label(links: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """links (u, v) with the label m of u. labels: (u, m, d), d being the number of links of u; total: of all links. Links of hubs
+    meet a broadcast table of at most 2 * HUB_SHARE rows, so that no task gets all of them."""
+    hubs = labels.where(F.col("d") > max(total // HUB_SHARE, 16)).select("u", F.col("m").alias("hub")).limit(2 * HUB_SHARE)
+    tagged = links.join(F.broadcast(hubs), "u", "left")
+    rest = tagged.where("hub is null").drop("hub").join(labels.select("u", "m"), "u")
+    return tagged.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(rest.select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
     """(node, component): component is the smallest node reachable. Only nodes that have an edge are returned.
 
@@ -17,24 +30,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current, last = scratch.put(e, "edges"), None
+    current = scratch.put(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state_of = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    state = state_of(current)
     for _ in range(max_rounds):
+        if state[0] == 0:
+            break
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        roots = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
+        large = _with_label(both, low, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = scratch.put(large.distinct(), "large")
+        roots = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         small = (
-            large.join(roots, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            _with_label(large, roots, state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(roots.select("u", F.col("m").alias("v"))).distinct()
         )
         new = scratch.put(small, "edges")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(current)
+        last, state = state, state_of(new)
+        scratch.drop(current, large)
         current = new
-        if state == last or state[0] == 0:
+        if state == last:
             break
-        last = state
     else:
         raise RuntimeError("connected_components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -10,10 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's switch for deleting the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that setting is absent (local tests)."""
+    """The folder in spark.checkpoint.dir. Only a local master may do without that setting: a temporary folder is used then."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(shared_dir, "_own", None)
         if base is None:
             base = shared_dir._own = tempfile.mkdtemp(prefix="factloom-")
@@ -45,16 +51,19 @@ class Scratch:
         self._n = 0
         _roots.append(self.root)
 
-    def put(self, df: DataFrame, label: str = "t", sweep: bool = False) -> DataFrame:
-        """Write df once; later reads come from files, so a lost executor costs no recomputation. With sweep the driver
-        collects its garbage, upon which executors delete the shuffle files of finished jobs."""
+    def put(self, df: DataFrame, label: str = "t") -> DataFrame:
+        """Write df once; later reads come from files, so a lost executor costs no recomputation. What the write has shuffled
+        is of no use after it, so Spark is told to delete those files when it ends."""
         self._n += 1
         path = f"{self.root}/{label}-{self._n}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
-        if sweep:
-            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -5,7 +5,7 @@ from factloom import scratch
 
 def test_tables_live_in_the_shared_folder_and_can_be_cleared(spark):
     s = scratch.Scratch(spark, "t")
-    a = s.put(spark.range(5).selectExpr("id", "id * 2 AS x"), "a", sweep=True)
+    a = s.put(spark.range(5).selectExpr("id", "id * 2 AS x"), "a")
     b = s.put(a.where("id > 2"))
     assert b.count() == 2 and a._scratch_path.startswith(spark.conf.get("spark.checkpoint.dir"))
     s.drop(a)
