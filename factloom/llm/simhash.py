@@ -1,14 +1,15 @@
 """SimHash near-duplicates through an inverted index on byte positions with count filtering.
 
 A fingerprint is 8 bytes. Two fingerprints that differ in at most 3 bits differ in at most 3 bytes, so they share at
-least 5 positional bytes. Of any 5 positions, at least 3 lie in one half of the fingerprint; so the postings are kept
-for the 8 triples of positions that lie in a half, and lists of one triple are the intersections of three positional
-lists. Every pair within reach meets in at least one list. For a pair that meets, shared positional bytes are tallied,
-pairs under the guaranteed minimum go, and the rest are verified by bit count.
-
-Long lists are split without losing a pair: first by two further positions (all 5 shared bytes are then in the key),
-then into blocks compared block by block, where only the links of a spanning forest are returned.
-Equal fingerprints are one node, so a group of copies of any size costs one row.
+least 5 positional bytes: the guaranteed minimum. The index posts a fingerprint under its bytes at k positions, for every
+choice of k of the 8 positions. k is the least number for which a list of unlike fingerprints stays short (1 for a few dozen
+fingerprints, 3 for millions): what is counted doesn't depend on it. A pair gets the positions of each list in which it
+meets; their tally over all lists is the number of positional bytes that it shares. Pairs whose tally is 5 or more are
+retained and verified by bit count.
+
+A list that is long all the same is split by every further position, up to 5, and a pair that shares 5 bytes meets in
+some list on each way down; what is still long then is compared in blocks, from which only a spanning forest of the links
+comes back. Equal fingerprints are one node, so a group of copies of any size costs one row.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from factloom.operators.graph import connected_components
 from factloom.scratch import Scratch
 
 BITS, REACH, WORDS = 64, 3, 3
-#: Guaranteed shared bytes; fingerprints that a posting list may hold before it is split; rows of a compared block.
-SHARED, LIST_ROWS, BLOCK_ROWS = 8 - REACH, 32, 2048
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+#: Guaranteed shared bytes; fingerprints that a posting list may hold before it is split; rows of a compared block; fingerprints
+#: for each possible value of a posting at most.
+SHARED, LIST_ROWS, BLOCK_ROWS, LOAD = 8 - REACH, 32, 2048, 0.25
 _WEIGHTS = 1 << np.arange(64, dtype=np.uint64)
 
 
@@ -49,24 +50,18 @@ def fingerprint(text: str, n: int = WORDS) -> int:
     return int(_WEIGHTS[2 * ones > total].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """id, fp (signed 64-bit) for every row; null text: empty."""
+def fingerprint_column(rows: DataFrame, text: str, keep: list[str], n: int = WORDS) -> DataFrame:
+    """The columns in keep (numbers) and fp (signed 64-bit)."""
 
     def run(texts: list[str]) -> dict[str, list]:
         return {"fp": np.array([fingerprint(t, n) for t in texts], "<u8").view("<i8")}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return map_column(rows, "text", run, "id long, fp long", keep=["id"])
-
+    return map_column(rows, text, run, "".join(f"{c} long, " for c in keep) + "fp long", keep=keep)
 
-def byte_at(fp: Column, position: int) -> Column:
-    return F.call_function("shiftrightunsigned", fp, F.lit(8 * position)).bitwiseAND(F.lit(255).cast("long"))
 
-
-def shared_bytes(a: Column, b: Column) -> Column:
-    """Tally of equal positional bytes."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(byte_at(x, p) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
+    """id, fp (signed 64-bit) for every row; null text: empty."""
+    return fingerprint_column(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), "text", ["id"], n)
 
 
 def _pack(fp: Column, positions: tuple[int, ...]) -> Column:
@@ -74,21 +69,14 @@ def _pack(fp: Column, positions: tuple[int, ...]) -> Column:
     return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
 
 
-def _posted(nodes: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
-    """Postings (list, value, fp) under each choice of positions."""
-    keys = F.array(*[F.struct(F.lit(i).alias("list"), _pack(F.col("fp"), c).alias("value")) for i, c in enumerate(choices)])
-    return nodes.select("fp", F.explode(keys).alias("k")).select("k.list", "k.value", "fp")
-
+def _choices(k: int) -> list[tuple[int, ...]]:
+    return [*combinations(range(8), k)]
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with enough shared bytes, then with few enough differing bits."""
-    return pairs.where(shared_bytes(F.col("a"), F.col("b")) >= SHARED).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH)
 
-
-def _within(postings: DataFrame) -> DataFrame:
-    """Candidate pairs of short lists; at most LIST_ROWS / 2 a posting."""
-    a, b = postings.select("list", "value", F.col("fp").alias("a")), postings.select("list", "value", F.col("fp").alias("b"))
-    return a.join(b, ["list", "value"]).where("a < b").select("a", "b")
+def _posted(rows: DataFrame, k: int) -> DataFrame:
+    """Postings (list, value, fp) of the rows (fp, lists): lists has the places of the choices of k positions to post under."""
+    packed = F.array(*[_pack(F.col("fp"), c) for c in _choices(k)])
+    return rows.select("fp", packed.alias("packed"), F.explode("lists").alias("list")).select("list", F.get("packed", F.col("list")).alias("value"), "fp")
 
 
 def _sized(postings: DataFrame) -> DataFrame:
@@ -96,6 +84,30 @@ def _sized(postings: DataFrame) -> DataFrame:
     return postings.join(sizes, ["list", "value"])
 
 
+def _met(postings: DataFrame, k: int) -> DataFrame:
+    """(a, b, positions): pairs that meet in a short list, with its positions as bits; at most LIST_ROWS / 2 a posting."""
+    masks = F.array(*[F.lit(sum(1 << p for p in c)) for c in _choices(k)])
+    a, b = postings.select("list", "value", F.col("fp").alias("a")), postings.select("list", "value", F.col("fp").alias("b"))
+    return a.join(b, ["list", "value"]).where("a < b").select("a", "b", F.get(masks, F.col("list")).alias("positions"))
+
+
+def _deeper(long: DataFrame, k: int) -> DataFrame:
+    """(fp, lists): for each fingerprint of a long list of k positions, the choices that add one position."""
+    place = {c: i for i, c in enumerate(_choices(k + 1))}
+    more = F.array(*[F.array(*[F.lit(place[tuple(sorted((*c, q)))]) for q in range(8) if q not in c]) for c in _choices(k)])
+    return long.select("fp", F.explode(F.get(more, F.col("list"))).alias("x")).distinct().select("fp", F.array("x").alias("lists"))
+
+
+def tallied(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose lists have the guaranteed minimum of shared positional bytes."""
+    shared = met.groupBy("a", "b").agg(F.bit_or("positions").alias("positions"))
+    return shared.where(F.bit_count("positions") >= SHARED).select("a", "b")
+
+
+def verified(pairs: DataFrame, reach: int = REACH) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
+
+
 def block_links(pdf: pd.DataFrame, reach: int = REACH) -> pd.DataFrame:
     """Links of a spanning forest among the fingerprints of one pair of blocks (side 0 against side 1, or one block
     against itself), comparing all of them in strips of bounded memory."""
@@ -132,36 +144,39 @@ def _blocks(postings: DataFrame, block_rows: int) -> DataFrame:
 
 def links(nodes: DataFrame, scratch: Scratch, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that connect everything within REACH bits. nodes: distinct fp."""
-    first = scratch.put(_sized(_posted(nodes, TRIPLES)), "postings")
-    found = _within(first.where(F.col("n") <= list_rows))
-    # long lists: two further positions of the other five make the key hold all five shared bytes
-    choices = [(i, tuple(sorted({*t, *extra}))) for i, t in enumerate(TRIPLES) for extra in combinations(sorted({*range(8)} - {*t}), 2)]
-    long = first.where(F.col("n") > list_rows)
-    fives = sorted({c for _, c in choices})
-    of = [[j for j, c in enumerate(fives) if {*t} <= {*c}] for t in TRIPLES]
-    table = F.array(*[F.array(*[F.lit(j) for j in row]) for row in of])
-    packed = F.array(*[_pack(F.col("fp"), c) for c in fives])
-    second = long.select("fp", F.explode(F.element_at(table, F.col("list") + 1)).alias("list")).distinct()
-    second = second.select("list", F.element_at(packed, F.col("list") + 1).alias("value"), "fp")
-    second = scratch.put(_sized(second), "postings")
-    found = found.unionByName(_within(second.where(F.col("n") <= list_rows)))
-    compared = _blocks(second.where(F.col("n") > list_rows), block_rows)
-    return verified(found.unionByName(compared)).distinct()
+    total, k = nodes.count(), 1
+    while k < SHARED and total > LOAD * 256**k:
+        k += 1
+    rows, met = nodes.select("fp", F.array(*[F.lit(i) for i in range(len(_choices(k)))]).alias("lists")), None
+    while True:
+        postings = scratch.put(_sized(_posted(rows, k)), "postings")
+        short = _met(postings.where(F.col("n") <= list_rows), k)
+        met = short if met is None else met.unionByName(short)
+        long = postings.where(F.col("n") > list_rows)
+        if k == SHARED or long.isEmpty():
+            break
+        rows, k = _deeper(long, k), k + 1
+    # the lists that are left have the guaranteed positions in common
+    return verified(tallied(met).unionByName(_blocks(long, block_rows))).distinct()
+
+
+def fingerprint_classes(nodes: DataFrame, scratch: Scratch, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(fp, component) of the fingerprints that another one is within reach of. nodes: distinct fp."""
+    return connected_components(links(nodes, scratch, list_rows, block_rows), "a", "b").withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: id, fp (signed), component_id (smallest id reachable, itself included).
 
     Documents link when their fingerprints differ in at most REACH bits; empty texts have fingerprint zero and link like
-    others. Null text counts as empty; a null id never names a component (a component of null ids alone has null);
-    repeated rows link like copies; extra columns are ignored; an empty table gives an empty one.
+    others. Null text counts as empty; very long texts are read whole; a null id never names a component (a component of null
+    ids alone has null); repeated rows link like copies; extra columns are ignored; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.put(fingerprints(docs, id_col, text_col, n), "fingerprints")
     nodes = scratch.put(fps.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    parts = connected_components(links(nodes.select("fp"), scratch, list_rows, block_rows), "a", "b")
-    labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    parts = fingerprint_classes(nodes.select("fp"), scratch, list_rows, block_rows)
+    labelled = nodes.join(parts, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     lowest = labelled.groupBy("c").agg(F.min("low").alias("component_id"))
     final = scratch.put(labelled.join(lowest, "c").select("fp", "component_id"), "classes")
-    out = fps.join(final, "fp")
-    return out.select(F.col("id").alias(id_col), "fp", "component_id")
+    return fps.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")

@@ -71,6 +71,22 @@ def test_links_find_every_component(spark):
         assert len({(find(f), want[f]) for f in fps}) == len(set(want.values()))
 
 
+def test_levels_of_the_index_give_the_same_links(spark, monkeypatch):
+    r = random.Random(15)
+    fps = {r.getrandbits(64) for _ in range(200)}
+    fps |= {f ^ sum(1 << b for b in r.sample(range(64), 3)) for f in list(fps)[:100]}
+    signed = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    want = {tuple(sorted(((a - 2**64 if a >= 2**63 else a), (b - 2**64 if b >= 2**63 else b)))) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 3}
+    for load in (1e9, 0.25, 1e-4, 1e-9):  # 1, 2, 3 and 5 positions
+        monkeypatch.setattr(simhash, "LOAD", load)
+        assert {tuple(x) for x in simhash.links(signed, Scratch(spark, "t"), list_rows=10**6).collect()} == want, load
+
+
+def test_a_pair_below_the_guaranteed_tally_is_dropped(spark):
+    met = spark.createDataFrame([(1, 2, 0b111), (1, 2, 0b1001), (1, 3, 0b111), (1, 3, 0b11000)], "a long, b long, positions int")
+    assert [tuple(x) for x in simhash.tallied(met).collect()] == [(1, 3)]
+
+
 def test_block_links_form_a_forest():
     fps = list(range(300))
     out = simhash.block_links(pd.DataFrame({"side": [0] * 300, "fp": fps}))
