@@ -11,8 +11,8 @@ from factloom.llm.queries import packed_digest
 from factloom.operators.graph import connected_components
 from factloom.scratch import Scratch
 
-#: Near copies: words of a shingle, and the texts that are compared as one block.
-COPY_WORDS, COPY_BLOCK = 5, 32
+#: Near copies: words of a shingle.
+COPY_WORDS = 5
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -32,27 +32,37 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of the texts that have a near copy. texts: (node, text), node being xxhash64(text). Texts link when their
+    """(n1, n2, component) of the texts that have a near copy. texts: (n1, n2, text), repeats welcome. Texts link when their
     SimHash fingerprints are within reach, and when the exact Jaccard similarity of their five-word shingles is 0.8 or more:
     such texts mostly differ in more bits than an index of fingerprints can guarantee."""
-    close = simhash.near_duplicates(texts, "node", "text").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
-    alike = line_dedup.similar_lines(
-        texts.select(F.col("text").alias("line")), scratch, block_rows=COPY_BLOCK, pieces=lambda x: line_dedup.word_shingles(x, COPY_WORDS))
-    return connected_components(close.unionByName(alike.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+    prints = simhash.fingerprint_column(texts, "text", keep=["n1", "n2"]).groupBy("n1", "n2").agg(F.min("fp").alias("fp"))
+    nodes = scratch.put(prints.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    alike = line_dedup.similar_texts(texts.withColumnRenamed("text", "line"), scratch, line_dedup.words(COPY_WORDS))
+    classes = simhash.fingerprint_classes(nodes.select("fp").distinct(), scratch)
+    placed = nodes.join(classes, "fp", "left").select("n1", "n2", "node", F.coalesce("component", "fp").alias("close"))
+    placed = scratch.put(placed.join(alike.withColumnRenamed("component", "alike"), ["n1", "n2"], "left"), "placed")
+    links = [placed.join(placed.where(f"{c} is not null").groupBy(c).agg(F.min("node").alias("first")), c).select(F.col("first").alias("a"), F.col("node").alias("b")) for c in ("close", "alike")]
+    parts = connected_components(links[0].unionByName(links[1]), "a", "b")
+    return parts.join(placed, "node").select("n1", "n2", "component")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, equal texts included, one row stays: the smallest id, then the smallest text hash; a row
-    without an id only where no other has one. Of whole repeated rows one stays; a row is never dropped for another's id."""
+    without an id only where no other has one. Of whole repeated rows one stays; a row is never dropped for another's id.
+    Columns may have any names; an empty table gives an empty one."""
     scratch = Scratch(spark, "near-copies")
     id_ = F.col("doc_id").cast("long")
-    place = F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text_or_empty()).alias("node")).alias("place")
+    text = text_or_empty()
+    n1, n2 = line_dedup.identity(text)
+    place = F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), n1, n2).alias("place")
     rows = docs.select(place, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
-    parts = near_copies(docs.select(F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text")), scratch)
-    seen = rows.groupBy("place").agg(F.count("*").alias("n")).withColumn("node", F.col("place.node"))
-    seen = scratch.put(seen.join(parts, "node", "left").select("place", "n", F.coalesce("component", "node").alias("part")), "seen")
-    first = seen.groupBy("part").agg(F.min("place").alias("first"))
-    rule = seen.join(first, "part").select("place", (F.col("place") == F.col("first")).alias("stays"), "n").where("n > 1 or not stays")
+    parts = near_copies(docs.select(n1, n2, text.alias("text")), scratch)
+    seen = rows.groupBy("place").agg(F.count("*").alias("n")).select("place", "n", F.col("place.n1").alias("n1"), F.col("place.n2").alias("n2")).join(parts, ["n1", "n2"], "left")
+    # a text without a near copy is a group of its own
+    alone = F.col("component").isNull()
+    seen = scratch.put(seen.select("place", "n", F.coalesce("component", "n1").alias("g1"), F.when(alone, F.col("n2")).otherwise(0).alias("g2"), alone.alias("alone")), "seen")
+    first = seen.groupBy("g1", "g2", "alone").agg(F.min("place").alias("first"))
+    rule = seen.join(first, ["g1", "g2", "alone"]).select("place", (F.col("place") == F.col("first")).alias("stays"), "n").where("n > 1 or not stays")
     rule = scratch.put(rule, "rule")
     # rows that repeat the one that stays are combined before the shuffle
     once = rows.join(rule.where("stays").select("place"), "place", "left_semi").groupBy("place").agg(F.any_value("rest").alias("rest"))
