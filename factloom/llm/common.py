@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -18,8 +20,20 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that map_column() hands over at a time: bounds the memory of a Python worker whatever Arrow's batch size is.
-CHUNK_ROWS = 256
+#: Rows and bytes of text that are handed over at a time (or one longer text): bounds the memory of a Python worker.
+CHUNK_ROWS, CHUNK_BYTES = 256, 16 << 20
+
+
+def chunks(batch: pa.RecordBatch, column: str, rows: int = CHUNK_ROWS, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most so many rows, and so many bytes in a text column."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = min(rows, max(1, int(np.searchsorted(ends, before + size, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
 
 
 def map_column(df: DataFrame, column: str, fn: Callable[[list], dict[str, list]], schema: str, keep: list[str]) -> DataFrame:
@@ -30,8 +44,7 @@ def map_column(df: DataFrame, column: str, fn: Callable[[list], dict[str, list]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
+            for part in chunks(batch, column):
                 new = fn(part.column(part.schema.get_field_index(column)).to_pylist())
                 arrays = []
                 for f in target:

@@ -1,12 +1,14 @@
 """Exact deduplication through an extendible-hash index kept in shared files.
 
-Rows hash to 64-bit keys. A directory of 2^depth entries maps the top bits of a key to a bucket; a bucket with more
-distinct keys than it may hold is split by one more bit, and the directory doubles when a bucket is as deep as it is.
-The index is sorted by bucket. The copies themselves are found before that, by a hash aggregate over key and whole text, so a
-collision of keys never merges different texts; the directory only places the keys.
-
-Texts are shuffled once, after copies have been combined on the map side, so a group that holds a third of all rows
-moves one row per task. Everything after that works on keys and digests.
+Rows hash to 64-bit keys. The directory starts as one bucket; a bucket with more rows than it may hold is split by one more
+bit of the keys, and the directory doubles when a bucket as deep as it is must split. A bucket owns the range of keys with its
+prefix. Rows are dealt to owner tasks by bucket, each task holding whole buckets; in a bucket the rows of one key form a
+chain, and a chain's links are told apart by comparing the bytes of the texts. Each link goes to the index: key range, key, digest,
+largest id and number of rows. Every row then looks up its link.
+
+A bucket that no bit can split, because all its rows have one key (copies of one text, or a collision), gets overflow pages: its
+rows are dealt over pages by id, the chains of each page are combined first, then those of the bucket. So copies that make
+up a third of all rows are spread over as many tasks as their number needs.
 """
 
 from __future__ import annotations
@@ -16,100 +18,86 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.llm.common import text_or_empty
 from factloom.scratch import Scratch
 
-#: Distinct keys that one bucket may hold in production. 1e11 distinct texts need a directory of about 4 million entries.
-BUCKET_KEYS = 65_536
-#: Bits of a key that the directory may use; a bucket still too full at that depth keeps an overflow chain.
-MAX_DEPTH = 40
+#: Rows that a bucket or page may hold, and the buckets that a directory is made for: of large tables a bucket holds more rows, so
+#: that the directory has some 2 * DIRECTORY buckets at most (about 50 MB), whatever the input, and can be sent to every task.
+BUCKET_ROWS, DIRECTORY = 2048, 1 << 20
+#: Bits of a key.
+KEY_BITS = 64
 
 
 def prefix(key: Column | str, depth: Column | int) -> Column:
     """The top `depth` bits of a key as a non-negative number."""
     key = F.col(key) if isinstance(key, str) else key
     depth = F.lit(depth) if isinstance(depth, int) else depth
-    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", key, (F.lit(64) - depth).cast("int")))
+    return F.when(depth == 0, F.lit(0).cast("long")).when(depth == KEY_BITS, key).otherwise(F.call_function("shiftrightunsigned", key, (F.lit(KEY_BITS) - depth).cast("int")))
 
 
-def build_directory(keys: DataFrame, scratch: Scratch, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
-    """(buckets, depth). buckets: bucket (prefix), local_depth, n_keys. keys has one row per distinct `key`.
+def build_directory(keys: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
+    """bucket (prefix), depth, rows, pages: buckets whose key ranges cover all keys and don't overlap. keys: (key, n), a row per
+    distinct key with its number of rows.
 
-    Starts with one bucket and splits every overfull one, a level at a time; each level reads only the counts of
-    the level below, which are computed once at a depth that a uniform hash would need, and deeper only for what is
-    still overfull there.
+    A round splits every overfull bucket that has more than one key. Where all keys of a bucket are alike in their next bits, it goes
+    down to the first bit in which they differ at once.
     """
-    total = keys.count()
-    reach = 0
-    while reach < max_depth and (total >> reach) > bucket_keys // 2:
-        reach += 1
-    counts = scratch.put(keys.groupBy(prefix("key", reach).alias("p")).agg(F.count("*").alias("n")), "leaf-counts")
-    done, depth = None, 0
-    # levels 0..reach: split from the top, using the counts at depth `reach`
-    open_ = None
-    for level in range(reach + 1):
-        at = counts.groupBy(F.call_function("shiftright", "p", F.lit(reach - level)).alias("bucket")).agg(F.sum("n").alias("n_keys"))
-        if open_ is not None:
-            at = at.join(open_.select(F.col("bucket").alias("parent")), F.call_function("shiftright", "bucket", F.lit(1)) == F.col("parent"), "left_semi")
-        full = F.col("n_keys") <= bucket_keys if level < max_depth else F.lit(True)
-        fits = at.where(full).withColumn("local_depth", F.lit(level))
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    depth = 0
+    while depth < KEY_BITS and (total >> depth) > bucket_rows:
+        depth += 1  # no bucket of evenly spread keys fits before that depth
+    rest, done = keys.select("key", "n"), None
+    while True:
+        at = rest.withColumn("bucket", prefix("key", depth)).groupBy("bucket").agg(F.sum("n").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
+        at = scratch.put(at.withColumn("depth", F.lit(depth)), "buckets")
+        whole = (F.col("rows") <= bucket_rows) | (F.col("low") == F.col("high"))
+        fits = at.where(whole).select("bucket", "depth", "rows", F.when(F.col("rows") > bucket_rows, F.ceil(F.col("rows") / bucket_rows)).otherwise(1).cast("int").alias("pages"))
         done = fits if done is None else done.unionByName(fits)
-        open_ = at.where(~full)
-        depth = level
-    overfull = scratch.put(open_.select("bucket"), "overfull")
-    done = scratch.put(done.select("bucket", "local_depth", "n_keys"), "buckets")
-    while depth < max_depth and overfull.limit(1).count():
-        # a bucket as deep as the directory is overfull: double the directory and split it
-        depth += 1
-        at = (
-            keys.join(overfull.select(F.col("bucket").alias("parent")), prefix("key", depth - 1) == F.col("parent"), "left_semi")
-            .groupBy(prefix("key", depth).alias("bucket")).agg(F.count("*").alias("n_keys"))
-        )
-        at = scratch.put(at, "split")
-        full = F.col("n_keys") <= bucket_keys if depth < max_depth else F.lit(True)
-        done = scratch.put(done.unionByName(at.where(full).select("bucket", F.lit(depth).alias("local_depth"), "n_keys")), "buckets")
-        overfull = scratch.put(at.where(~full).select("bucket"), "overfull")
-    return done, depth
-
-
-def directory_entries(buckets: DataFrame, depth: int) -> DataFrame:
-    """entry (0 .. 2^depth-1) -> bucket, local_depth: a shallow bucket owns a run of entries."""
-    first = F.call_function("shiftleft", "bucket", (F.lit(depth) - F.col("local_depth")).cast("int"))
-    width = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth) - F.col("local_depth")).cast("int"))
-    return buckets.select("bucket", "local_depth", F.explode(F.sequence(first, first + width - 1)).alias("entry"))
-
-
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS,
-    key: Column | None = None, max_depth: int = MAX_DEPTH,
-) -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256, bucket.
-
-    Texts are equal when identical; null counts as empty; of equal texts the row with the largest id stays. Where
-    that id occurs in several rows of a group, all of them carry kept = true. A null id never wins over another
-    id; a group of null ids alone has keep_id null and kept = true. Extra columns are ignored. `key` replaces the
-    64-bit hash (tests force collisions with it).
+        over = at.where(~whole).select("bucket", "low", "high")
+        # the length of the longest prefix that all keys of some overfull bucket share
+        shared = over.select(F.min(KEY_BITS - F.length(F.regexp_replace(F.bin(F.col("low").bitwiseXOR(F.col("high"))), "^0+", "")))).first()[0]
+        if shared is None:
+            return done
+        rest = scratch.put(rest.withColumn("bucket", prefix("key", depth)).join(over.select("bucket"), "bucket", "left_semi").select("key", "n"), "overfull")
+        depth = max(depth, shared) + 1
+
+
+def placed(rows: DataFrame, directory: DataFrame, depths: list[int]) -> DataFrame:
+    """rows (key, ...) with the depth, bucket and pages of the bucket that owns the key: a look-up for each depth that occurs."""
+    found = []
+    for d in depths:
+        at = directory.where(F.col("depth") == d).select(F.col("bucket").alias(f"b{d}"), F.col("pages").alias(f"p{d}"))
+        rows = rows.withColumn(f"b{d}", prefix("key", d)).join(F.broadcast(at), f"b{d}", "left")
+        found.append(F.when(F.col(f"p{d}").isNotNull(), F.struct(F.lit(d).alias("depth"), F.col(f"b{d}").alias("bucket"), F.col(f"p{d}").alias("pages"))))
+    own = F.coalesce(*found).alias("own")
+    return rows.select("*", own).select("*", "own.*").drop("own", *[f"{x}{d}" for d in depths for x in "bp"])
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, key: Column | None = None) -> DataFrame:
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical; null counts as empty; very long texts are compared whole; of equal texts the row with the
+    largest id stays. Where that id occurs in several rows of a group, all of them carry kept = true. A null id never wins over
+    another id; a group of null ids alone has keep_id null and kept = true. Extra columns are ignored; an empty table gives an
+    empty one. `key` replaces the 64-bit hash of `text` (tests force splits and collisions with it).
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
     key = F.xxhash64("text") if key is None else key
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", key)
-    # chains: rows of one key, told apart by comparing their bytes; copies are combined before the shuffle
-    chains = rows.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    chains = scratch.put(chains.select("key", F.sha2("text", 256).alias("sha"), "keep_id", "group_size"), "chains")
-    index = chains.groupBy("key").agg(F.count("*").alias("links"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    index = scratch.put(index, "keys")
-    buckets, depth = build_directory(index.select("key"), scratch, bucket_keys, max_depth)
-    slots = directory_entries(buckets, depth)
-    # the index on shared files: owner tasks hold contiguous ranges of buckets, sorted by bucket and key
-    placed = index.withColumn("entry", prefix("key", depth)).join(slots, "entry").drop("entry")
-    owners = scratch.put(placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    hashed = rows.select("id", "key", F.sha2("text", 256).alias("sha"))
-    out = hashed.join(owners, "key")
-    # one link in the chain: equal keys were shown to be equal texts. More: look up the link by the text's digest,
-    # which was computed from texts told apart byte by byte.
-    single = out.where("links = 1")
-    multi = out.where("links > 1").drop("keep_id", "group_size", "links").join(chains.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
-    cols = ["id", "keep_id", "group_size", "sha", "bucket"]
-    both = single.select(*cols).unionByName(multi.select(*cols))
-    return both.select(
+    keys = scratch.put(rows.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    directory = scratch.put(build_directory(keys, scratch, max(bucket_rows, -(-total // DIRECTORY))), "directory")
+    depths = sorted(r[0] for r in directory.select("depth").distinct().collect())  # at most KEY_BITS + 1
+    if not depths:
+        index = rows.select("key", F.sha2("text", 256).alias("sha"), F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"))
+    else:
+        own = placed(rows, directory, depths).withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages")).cast("int"))
+        # owner tasks hold whole buckets or pages; an equal key leads to a chain, equal bytes to a link of it
+        owned = own.repartition("depth", "bucket", "page")
+        chains = owned.groupBy("depth", "bucket", "page", "key", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("rows"), F.max("pages").alias("pages"))
+        linked = scratch.put(chains.select("depth", "bucket", "pages", "key", F.sha2("text", 256).alias("sha"), "keep_id", "rows"), "chains")
+        # pages of a bucket are put together: a row for each link and page
+        index = linked.groupBy("depth", "bucket", "key", "sha").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("group_size")).select("key", "sha", "keep_id", "group_size")
+    index = scratch.put(index, "index")
+    found = rows.select("id", "key", F.sha2("text", 256).alias("sha")).join(index, ["key", "sha"])
+    return found.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        F.col("sha").alias("text_sha256"), "bucket",
+        F.col("sha").alias("text_sha256"),
     )

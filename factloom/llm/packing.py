@@ -1,59 +1,69 @@
 """Best-fit packing of tokenised documents into sequences, bounded in space and online.
 
-Each task packs the pieces of its own partition, so nothing is shuffled. A fixed number of bins is open at a time. A
+A task packs the pieces of its partition in the order in which they come. A fixed number of bins is open at a time. A
 bitset has a bit for every free space that some open bin has; the smallest set bit at or above a piece's length
-is the best fit. When a new bin would exceed the limit, the fullest open bin closes first. Pieces come longest first
-(an external sort inside the partition, which can spill), which makes best fit nearly optimal.
+is the best fit. When a new bin would exceed the limit, the fullest open bin closes first. A task holds the pieces of its open bins
+only: what is in a bin goes out when the bin closes.
+
+Bins that are open when a partition ends are no sequences yet. Their pieces are packed again, those of FAN_IN tasks by one
+task, until one task is left: so the number of badly filled sequences doesn't grow with the number of tasks. That last task gets
+the pieces of FAN_IN * OPEN_BINS bins at most and may keep as many open; it takes the longest first.
 """
 
 from __future__ import annotations
 
-import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import CHUNK_ROWS, text_or_empty
+from factloom.llm.common import CHUNK_ROWS, chunks, text_or_empty
+from factloom.scratch import Scratch
 
-#: Bins that may be open at once in a task, the tokens of a sequence, and the id that ends a document.
-OPEN_BINS, CAPACITY, END_ID = 65_536, 1024, 2
-#: A run of one kind of character this long goes to the slower library whose time stays linear.
-LONG_RUN = re.compile(r"\S{4096}")
+#: Bins that may be open at once in a task, tasks whose left-over pieces one task packs again, the tokens of a sequence, and the id
+#: that ends a document.
+OPEN_BINS, FAN_IN, CAPACITY, END_ID = 256, 16, 1024, 2
+#: Words whose ids a worker remembers before it begins anew, and the most characters of such a word.
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 
 
 class Tokenizer:
-    """Ids of byte_bpe_50k.json by the tokenizers library without special tokens added. tiktoken gives the same ids from
-    the same vocabulary about four times as fast (a test compares them); runs of over 4,096 characters without
-    white space take the tokenizers library."""
+    """Ids of a byte-level vocabulary by the tokenizers library, without special tokens added. The library splits texts into words
+    and encodes each by itself; so a word that comes again needs not be encoded again."""
 
-    def __init__(self, name: str, ranks: str):
+    def __init__(self, name: str):
         import public_tokenizers as P
-        import tiktoken
         from tokenizers import Tokenizer as Library
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(ranks), "rb"))}
         self.library = Library.from_file(P.path(name))
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.fast = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens=special)
+        special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.words = regex.compile("|".join([*map(regex.escape, special), P.PATTERN]))
+        self.memo: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if LONG_RUN.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.fast.encode(text, allowed_special="all")
+        words, memo = self.words.findall(text), self.memo
+        new = [w for w in {*words} if w not in memo]
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = [*{*words}]
+        ids = dict(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
+        memo.update((w, x) for w, x in ids.items() if len(w) <= MEMO_CHARS)
+        return [*chain.from_iterable(ids[w] if w in ids else memo[w] for w in words)]
 
 
 @lru_cache(maxsize=2)
-def tokenizer(name: str, ranks: str) -> Tokenizer:
-    return Tokenizer(name, ranks)
+def tokenizer(name: str) -> Tokenizer:
+    return Tokenizer(name)
 
 
 class BestFit:
-    """Online best fit with at most `open_bins` open bins. place() returns the bin of an item; closed bins are final."""
+    """Online best fit with at most `open_bins` open bins. place() returns the bin of an item; closed bins are final. `closed` has
+    the bins that have closed, until the caller clears it."""
 
     def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
         self.capacity, self.limit = capacity, open_bins
@@ -61,6 +71,7 @@ class BestFit:
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.open = 0
         self.made = 0
+        self.closed: list[int] = []
 
     def place(self, length: int) -> tuple[int, int]:
         """(bin, offset)."""
@@ -73,7 +84,7 @@ class BestFit:
         else:
             if self.open >= self.limit:
                 fullest = (self.bits & -self.bits).bit_length() - 1
-                self._take(fullest)
+                self.closed.append(self._take(fullest))
             b, free = self.made, self.capacity
             self.made += 1
         left = free - length
@@ -81,6 +92,8 @@ class BestFit:
             self.by_free[left].append(b)
             self.bits |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(b)
         return b, self.capacity - free
 
     def _take(self, free: int) -> int:
@@ -104,44 +117,75 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
-                 name: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
+
+
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, name: str = "byte_bpe_50k.json") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit). Null text: empty, a piece
     with the end id alone."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema(FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(name, ranks).encode
+        encode = tokenizer(name).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
+            for part in chunks(batch, "text"):
                 rows: list[tuple] = []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = np.array([*encode(t), end_id], "<u4")
                     rows += [(i, k, s, n, ids[s : s + n].tobytes()) for k, (s, n) in enumerate(cut(len(ids), capacity))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(rows, schema)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, PIECE)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Adds sequence_id and offset to token_pieces()' rows. Deterministic for given partitions: pieces are sorted by length
-    (longest first), document, start and ids, so a task that runs again gives the same result."""
+def _packed(pieces: DataFrame, capacity: int, open_bins: int, level: int, last: bool) -> DataFrame:
+    """Adds sequence_id, offset, task, and `open`: whether the sequence's bin was still open at the end of the partition. With `last`
+    such bins count as closed."""
+    schema = pa.schema([*FIELDS, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 33
-        for b in batches:
-            placed = [bins.place(n) for n in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([base + p for p, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                names=[*b.schema.names, "sequence_id", "offset"],
-            )
-
-    ordered = pieces.sortWithinPartitions(F.col("length").desc(), "doc_id", "start", "ids")
-    return ordered.mapInArrow(run, PLACED)
+        task = TaskContext.get().partitionId()
+        bins, base, held, out = BestFit(capacity, open_bins), (level << 57) + (task << 33), {}, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b, offset = bins.place(row[3])
+                held.setdefault(b, []).append((*row, base + b, offset, False, task))
+                for c in bins.closed:
+                    out += held.pop(c)
+                bins.closed.clear()
+                if len(out) >= CHUNK_ROWS:
+                    yield _batch(out, schema)
+                    out = []
+        out += [(*row[:7], not last, task) for rows in held.values() for row in rows]
+        for at in range(0, len(out), CHUNK_ROWS):
+            yield _batch(out[at : at + CHUNK_ROWS], schema)
+
+    return pieces.select("doc_id", "piece", "start", "length", "ids").mapInArrow(run, PLACED + ", open boolean, task int")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN) -> DataFrame:
+    """Adds sequence_id and offset to token_pieces()' rows. Each level is written to the shared folder, so sequences are final once
+    written, whatever executors are lost later."""
+    scratch = Scratch(pieces.sparkSession, "packing")
+    placed, level, done = scratch.put(_packed(pieces, capacity, open_bins, 0, False), "placed"), 0, []
+    while (tasks := placed.where("open").agg(F.count_distinct("task")).first()[0]) > 0:
+        done.append(placed.where("not open"))
+        level, n = level + 1, -(-tasks // fan_in)
+        first = F.col("length").desc() if n == 1 else F.xxhash64("doc_id", "start", "task")
+        left = placed.where("open").coalesce(n).sortWithinPartitions(first, "doc_id", "start", "ids")
+        placed = scratch.put(_packed(left, capacity, open_bins * (fan_in if n == 1 else 1), level, last=n == 1), "placed")
+    out = placed
+    for part in done:
+        out = out.unionByName(part)
+    return out.drop("open", "task")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """token_pieces() then pack(): every document whole in one sequence, or cut where longer than a sequence. Repeated rows
-    are packed each; null ids are carried; extra columns are ignored; an empty table gives an empty one."""
+    """token_pieces() then pack(): every document whole in one sequence, or cut where longer than a sequence, however long the text
+    is. Ties between bins go to the bin that was filled last. Repeated rows are packed each; null ids are carried; null text
+    is empty; extra columns are ignored; an empty table gives an empty one."""
     return pack(token_pieces(docs, id_col, text_col, capacity), capacity, open_bins)

@@ -100,7 +100,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = """

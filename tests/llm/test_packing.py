@@ -12,12 +12,21 @@ def test_ids_equal_the_library():
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.tokenizer("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.tokenizer("byte_bpe_50k.json")
     r = random.Random(3)
     texts = ["", " ", "a<|endoftext|>b", "é😀\u0000", "x" * 9000, " " * 5000, "\n\n\t "] + ["".join(r.choice("ab '\n\té1!|Z<>") for _ in range(r.randint(0, 80))) for _ in range(500)]
+    texts += ["<|endoftext|>" * 3 + "x<|endoftext", "word " * 70 + "y" * 65 + " y" * 3, "a  b\u3000c\u00a0 \t d", "it's we'll 12 345"]
     assert [own.encode(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_memo_begins_anew(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_WORDS", 3)
+    own = packing.Tokenizer("byte_bpe_50k.json")
+    texts = ["one two three four", "one five", "six seven eight one two"]
+    want = [own.library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [own.encode(x) for x in texts * 2] == want * 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60), st.integers(1, 5))
 def test_best_fit_against_brute_force(items, limit):
@@ -61,7 +70,7 @@ def test_whole_documents_are_packed_gapless(spark):
             assert o == at
             at += n
         assert at <= 1024
-    enc = packing.tokenizer("byte_bpe_50k.json", "byte_bpe_50k.tiktoken").encode
+    enc = packing.tokenizer("byte_bpe_50k.json").encode
     for d in docs.where("doc_id in (5, 6, 8)").collect():
         ids = b"".join(bytes(r.ids) for r in sorted((r for r in out if r.doc_id == d.doc_id), key=lambda r: r.piece))
         assert np.frombuffer(ids, "<u4").tolist() == [*enc(d.text), 2]
@@ -70,9 +79,24 @@ def test_whole_documents_are_packed_gapless(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
-def test_few_sequences(spark):
+def test_few_sequences_whatever_the_number_of_tasks(spark):
     r = random.Random(5)
-    bins = packing.BestFit()
-    items = sorted((r.randint(1, 1024) for _ in range(5000)), reverse=True)
-    used = len({bins.place(n)[0] for n in items})
-    assert used <= 1.02 * -(-sum(items) // 1024)
+    items = [r.choice([1024, r.randint(1, 1024), r.randint(1, 300)]) for _ in range(20_000)]
+    least = -(-sum(items) // 1024)
+    for tasks in (1, 200):
+        pieces = spark.createDataFrame([(k, 0, 0, n, b"") for k, n in enumerate(items)], packing.PIECE).repartition(tasks)
+        out = packing.pack(pieces)
+        rows = out.select("doc_id", "length", "sequence_id", "offset").collect()
+        assert len(rows) == len({x.doc_id for x in rows}) == 20_000
+        fill: dict = {}
+        for x in sorted(rows, key=lambda x: (x.sequence_id, x.offset)):
+            assert fill.get(x.sequence_id, 0) == x.offset
+            fill[x.sequence_id] = x.offset + x.length
+        assert max(fill.values()) <= 1024
+        assert len(fill) <= 1.01 * least, (tasks, len(fill) / least)
+
+
+def test_the_open_bins_are_bounded_and_the_fullest_closes():
+    bins = packing.BestFit(10, 2)
+    assert [bins.place(n)[0] for n in (7, 6, 8)] == [0, 1, 2] and bins.closed == [0] and bins.open == 2
+    assert bins.place(2)[0] == 2 and bins.closed == [0, 2]
