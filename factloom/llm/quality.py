@@ -1,9 +1,11 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives (labelled 1) and unlabelled web text train a small network under the non-negative unbiased risk:
-pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)), with pi the class prior, estimated as the share of 1 among the labelled
-training rows. The raw output is calibrated to a probability by a logistic curve on the same labelled rows.
-Inputs are statistics of the text alone. Training uses bounded samples chosen by a hash of the id; scoring covers all rows.
+pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). No document labelled 0 takes part in any step. The class prior pi of the unlabelled text
+is estimated from the two samples: a first network orders them, and pi is the least share of the unlabelled above some
+score to that of the positives above it. The raw output becomes a probability by a logistic curve that minimises the unbiased
+logistic risk of the same two samples, which is convex; by it the mean probability of unlabelled text is pi.
+Inputs are statistics of the whole text alone. Training uses bounded samples chosen by a hash; scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import map_column, text_or_empty
 
-#: Bounds of the training samples (rows): labelled, unlabelled.
-LABELLED_ROWS, UNLABELLED_ROWS = 20_000, 20_000
+#: Rows of the training samples, about: documents labelled 1, unlabelled ones. Twice as many are never exceeded.
+POSITIVE_ROWS, UNLABELLED_ROWS = 20_000, 20_000
 THRESHOLD = 0.3
 _CLASS = np.zeros(256, np.int64)
 for _i in range(256):
@@ -101,55 +103,76 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return s
 
 
-def calibrate(s: Scorer, x: np.ndarray, y: np.ndarray) -> Scorer:
-    """Logistic curve of the raw output by Newton's method, slightly regularised; the slope stays positive."""
-    f = s.raw(x)
-    w = np.array([1.0, 0.0])
-    a = np.stack([f, np.ones_like(f)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a.T * np.maximum(p * (1 - p), 1e-6)) @ a + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
-        w = w + np.clip(step, -1, 1)
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """Share of positives among the unlabelled, of scores that neither sample was trained on: the least ratio, over all thresholds,
+    of the unlabelled above it to the positives above it, each with a margin for the size of its sample."""
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
+    margin = lambda n: np.sqrt(np.log(4 / confidence) / (2 * n))
+    best = np.argmin((u + margin(len(unlabelled)) + margin(len(positive))) / p)
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def calibrate(s: Scorer, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Scorer:
+    """Slope a and shift b of the raw output f: the least mean of log(1 + exp(a f + b)) over the unlabelled, less prior times the mean
+    of a f + b over the positives, by Newton's method; slightly regularised; the slope stays positive."""
+    fu = s.raw(unlabelled)
+    at = np.stack([fu, np.ones_like(fu)], 1)
+    target, w = prior * np.array([s.raw(positive).mean(), 1.0]), np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at @ w, -30, 30)))
+        h = (at.T * np.maximum(p * (1 - p), 1e-6)) @ at / len(fu) + 1e-4 * np.eye(2)
+        step = np.linalg.solve(h, target - at.T @ p / len(fu) - 1e-4 * w)
+        w = w + np.clip(step, -0.5, 0.5)
         if abs(step).max() < 1e-8:
             break
     s.slope, s.shift = max(float(w[0]), 1e-3), float(w[1])
     return s
 
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Scorer, float]:
+    """The scorer and the class prior. Halves of the samples train the network that orders the other halves for the prior."""
+    half = fit_nnpu(positive[::2], unlabelled[::2], 0.5)
+    prior = estimate_prior(half.raw(positive[1::2]), half.raw(unlabelled[1::2])) if min(len(positive), len(unlabelled)) > 1 else 0.5
+    return calibrate(fit_nnpu(positive, unlabelled, prior), positive, unlabelled, prior), prior
+
+
 def held_out(id_col: str = "doc_id"):
     """True where crc32 of the id as text is divisible by 5: labels of these rows are never learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, label: bool) -> np.ndarray:
-    """Features of the documents whose ids are in a bounded sample: rows of (label, features...)."""
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "y", text_or_empty("text").alias("text"))
+def _sample(rows: DataFrame, total: int, bound: int) -> np.ndarray:
+    """Features of about `bound` of the `total` rows (doc_id, text), chosen by a hash of the row; whole repeated rows are chosen
+    together, and 2 * bound rows are the end of it."""
+    share, parts = min(1.0, bound / max(total, 1)), 1 << 30
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < int(share * parts)).limit(2 * bound)
 
     def run(texts: list[str]) -> dict[str, list]:
         return {"x": [text_features(t) for t in texts]}
 
-    got = map_column(rows, "text", run, "doc_id long, y int, x array<double>", keep=["doc_id", "y"]).collect()
+    got = map_column(chosen.select("doc_id", "text"), "text", run, "doc_id long, x array<double>", keep=["doc_id"]).collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["x"]))
-    return np.array([[r["y"] if label else -1, *r["x"]] for r in got], float).reshape(len(got), N_FEATURES + 1)
+    return np.array([r["x"] for r in got], float).reshape(len(got), N_FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Scorer | None:
-    """None where no positive label can be learnt from. labels: doc_id, quality (null rows ignored, repeated ids: the
-    highest). The samples are the rows whose hashed ids are smallest, so their bounds hold at any input size."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out())
+def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Scorer | None:
+    """None where there is no positive label or no unlabelled text to learn from. labels: doc_id, quality (null rows ignored,
+    repeated ids: the highest). Documents without an id are not learnt from. Extra columns are ignored."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).where(~held_out())
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y is not null and doc_id is not null").where(~held_out())
-    labels = labels.groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = labels.orderBy(*order).limit(labelled_rows)
-    others = docs.select("doc_id").distinct().orderBy(*order).limit(unlabelled_rows).withColumn("y", F.lit(-1))
-    known = _sample(docs, chosen, True)
-    if not len(known) or not (known[:, 0] == 1).any():
+    good = labels.groupBy("doc_id").agg(F.max("y").alias("y")).where("y = 1").select("doc_id")
+    n_good, n_docs = good.count(), docs.count()
+    # at most twice the bound of ids, so that they may be sent to every task
+    share = min(1.0, positive_rows / max(n_good, 1))
+    good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * positive_rows)
+    trusted = docs.join(F.broadcast(good), "doc_id", "left_semi")
+    positive = _sample(trusted, trusted.count(), positive_rows)
+    unlabelled = _sample(docs, n_docs, unlabelled_rows)
+    if not len(positive) or not len(unlabelled):
         return None
-    free = _sample(docs, others, False)
-    y, x = known[:, 0], known[:, 1:]
-    prior = float(np.clip(y.mean(), 0.01, 0.99))
-    return calibrate(fit_nnpu(x[y == 1], free[:, 1:], prior), x, y)
+    return fit(positive, unlabelled)[0]
 
 
 def _scored(rows: DataFrame, scorer: Scorer | None, keep: list[str]) -> DataFrame:
@@ -166,7 +189,8 @@ def _scored(rows: DataFrame, scorer: Scorer | None, keep: list[str]) -> DataFram
 
 def score_quality(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1, higher: better) for every row. Null text: empty. Without a scorer (nothing to learn from) every
-    score is 0.5, so that nothing is rejected. Repeated rows get equal scores; extra columns are ignored."""
+    score is 0.5, so that nothing is rejected. Repeated rows get equal scores; very long texts are read whole; extra columns are
+    ignored; an empty table gives an empty one."""
     return _scored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scorer, ["id"])
 
 

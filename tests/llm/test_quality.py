@@ -27,6 +27,32 @@ def test_labels_of_held_out_rows_are_never_learnt(spark):
     assert np.array_equal(a.w1, b.w1) and a.slope == b.slope
 
 
+def test_negatives_are_never_learnt(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    a, b = quality.train(docs, labels), quality.train(docs, labels.where("quality = 1"))
+    assert np.array_equal(a.w1, b.w1) and a.slope == b.slope and a.shift == b.shift
+
+
+def test_samples_are_bounded_in_rows(spark):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text").withColumn("doc_id", __import__("pyspark").sql.functions.col("doc_id") + 1)
+    assert 60 < len(quality._sample(docs, 3000, 100)) < 150
+    same = spark.range(3000).selectExpr("1L AS doc_id", "'copy' AS text")
+    assert len(quality._sample(same, 3000, 100)) in (0, 200)
+
+
+def test_prior_and_calibration_come_from_the_mixture():
+    rng = np.random.default_rng(1)
+    for prior in (0.2, 0.5, 0.8):
+        pos, unl = rng.normal(2, 1, (4000, 3)), np.concatenate([rng.normal(2, 1, (int(6000 * prior), 3)), rng.normal(-2, 1, (6000 - int(6000 * prior), 3))])
+        s, got = quality.fit(pos, rng.permutation(unl))
+        assert abs(got - prior) < 0.05, (prior, got)
+        assert abs(s.predict(unl).mean() - got) < 0.03
+        y = np.arange(6000) < int(6000 * prior)
+        assert ((s.predict(unl) >= 0.5) == y).mean() > 0.97
+
+
 def test_risk_stays_non_negative_and_learns():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(1.5, 1, (400, 3)), rng.normal(-1.5, 1, (600, 3))
