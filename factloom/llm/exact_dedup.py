@@ -6,9 +6,9 @@ prefix. Rows are dealt to owner tasks by bucket, each task holding whole buckets
 chain, and a chain's links are told apart by comparing the bytes of the texts. Each link goes to the index: key range, key, digest,
 largest id and number of rows. Every row then looks up its link.
 
-A bucket that no bit can split, because all its rows have one key (copies of one text, or a collision), gets overflow pages: its
-rows are dealt over pages by id, the chains of each page are combined first, then those of the bucket. So copies that make
-up a third of all rows are spread over as many tasks as their number needs.
+A key with more rows than a bucket may hold (copies of one text, or a collision), which no bit can split, gets a bucket of its own with
+overflow pages: its rows are dealt over pages by id, the chains of each page are combined first, then those of the bucket. So
+copies that make up a third of all rows are spread over as many tasks as their number needs.
 """
 
 from __future__ import annotations
@@ -33,24 +33,25 @@ def prefix(key: Column | str, depth: Column | int) -> Column:
 
 
 def build_directory(keys: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
-    """bucket (prefix), depth, rows, pages: buckets whose key ranges cover all keys and don't overlap. keys: (key, n), a row per
-    distinct key with its number of rows.
+    """bucket (prefix), depth, rows, pages: buckets whose key ranges cover all keys and don't overlap, but for buckets of a single key
+    with overflow pages (depth KEY_BITS), which come before others. keys: (key, n), a row per distinct key with its number of rows.
 
-    A round splits every overfull bucket that has more than one key. Where all keys of a bucket are alike in their next bits, it goes
-    down to the first bit in which they differ at once.
+    A round splits every overfull bucket. Where all keys of a bucket are alike in their next bits, it goes down to the first bit in
+    which they differ at once.
     """
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    depth = 0
+    whole = F.col("n") <= bucket_rows
+    pages = F.ceil(F.col("n") / bucket_rows).cast("int").alias("pages")
+    done = keys.where(~whole).select(F.col("key").alias("bucket"), F.lit(KEY_BITS).alias("depth"), F.col("n").alias("rows"), pages)
+    rest = keys.where(whole).select("key", "n")
+    total, depth = rest.agg(F.sum("n")).first()[0] or 0, 0
     while depth < KEY_BITS and (total >> depth) > bucket_rows:
         depth += 1  # no bucket of evenly spread keys fits before that depth
-    rest, done = keys.select("key", "n"), None
     while True:
         at = rest.withColumn("bucket", prefix("key", depth)).groupBy("bucket").agg(F.sum("n").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
         at = scratch.put(at.withColumn("depth", F.lit(depth)), "buckets")
-        whole = (F.col("rows") <= bucket_rows) | (F.col("low") == F.col("high"))
-        fits = at.where(whole).select("bucket", "depth", "rows", F.when(F.col("rows") > bucket_rows, F.ceil(F.col("rows") / bucket_rows)).otherwise(1).cast("int").alias("pages"))
-        done = fits if done is None else done.unionByName(fits)
-        over = at.where(~whole).select("bucket", "low", "high")
+        fits = F.col("rows") <= bucket_rows
+        done = done.unionByName(at.where(fits).select("bucket", "depth", "rows", F.lit(1).alias("pages")))
+        over = at.where(~fits).select("bucket", "low", "high")
         # the length of the longest prefix that all keys of some overfull bucket share
         shared = over.select(F.min(KEY_BITS - F.length(F.regexp_replace(F.bin(F.col("low").bitwiseXOR(F.col("high"))), "^0+", "")))).first()[0]
         if shared is None:
@@ -62,7 +63,7 @@ def build_directory(keys: DataFrame, scratch: Scratch, bucket_rows: int) -> Data
 def placed(rows: DataFrame, directory: DataFrame, depths: list[int]) -> DataFrame:
     """rows (key, ...) with the depth, bucket and pages of the bucket that owns the key: a look-up for each depth that occurs."""
     found = []
-    for d in depths:
+    for d in sorted(depths, reverse=True):
         at = directory.where(F.col("depth") == d).select(F.col("bucket").alias(f"b{d}"), F.col("pages").alias(f"p{d}"))
         rows = rows.withColumn(f"b{d}", prefix("key", d)).join(F.broadcast(at), f"b{d}", "left")
         found.append(F.when(F.col(f"p{d}").isNotNull(), F.struct(F.lit(d).alias("depth"), F.col(f"b{d}").alias("bucket"), F.col(f"p{d}").alias("pages"))))

@@ -37,7 +37,7 @@ def test_directory_covers_every_key_once(spark):
     placed = xd.placed(keys, directory, depths)
     assert placed.where("bucket is not null").count() == keys.count()
     # ranges don't overlap: each key is found at one depth only
-    at_all = directory.join(keys, F.expr("case when depth = 0 then 0 when depth = 64 then key else shiftrightunsigned(key, 64 - depth) end = bucket"))
+    at_all = directory.join(keys.where("n <= 64"), F.expr("case when depth = 0 then 0 when depth = 64 then key else shiftrightunsigned(key, 64 - depth) end = bucket"))
     assert at_all.groupBy("key").count().where("count > 1").count() == 0
     sizes = placed.groupBy("depth", "bucket", "pages").agg(F.sum("n").alias("n"), F.count_distinct("key").alias("k"))
     assert sizes.where("n > 64 and k > 1").count() == 0
