@@ -48,6 +48,32 @@ def test_method_adds_spans_and_leaves_clean_text_alone():
         assert pii.find_spans(clean, model, thresholds)[1] == []
 
 
+def test_runs_of_any_length_and_known_tokens_are_found():
+    import random as rnd
+
+    model, thresholds = pii.trained()
+    r = rnd.Random(3)
+    token = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = {
+        f"token = {(t := token(240))} end": t, f"the api key: {(t := token(5000))} end": t, "password: hunter2secret now": "hunter2secret", f"use ghp_{(t := token(35) + '7')} here": f"ghp_{t}",
+        f"bearer eyJ{(a := token(30))}.eyJ{(b := token(60))}.{(c := token(43))} x": f"eyJ{a}.eyJ{b}.{c}", "2001:0db8:85a3:0000:0000:8a2e:0370:7334 server of ours": "2001:0db8:85a3:0000:0000:8a2e:0370:7334",
+        "mail " + "a" * 100 + " [at] b.c.d.e.example.org now": "a" * 100 + " [at] b.c.d.e.example.org",
+    }
+    for text, span in texts.items():
+        assert span in [text[a:b] for a, b, _ in pii.find_spans(text, model, thresholds)[1]], (text[:80], pii.candidates(text)[:3])
+
+
+def test_recall_of_generated_rows_by_kind():
+    import numpy as np
+
+    model, thresholds = pii.trained()
+    rows = [r for r in pii.training_rows(3000, seed=123) if r[4]]
+    p = model.predict(np.array([pii.features(*r[:4]) for r in rows], float))
+    for kind in pii.KINDS:
+        own = [s >= thresholds[kind] for s, r in zip(p, rows) if r[3] == kind]
+        assert np.mean(own) > 0.75, (kind, np.mean(own))
+
+
 def test_all_base_spans_stay_and_none_is_doubled():
     model, thresholds = pii.trained()
     t = "x a.b@c.de, 4465758382889437, 10.0.0.1; y"
