@@ -83,8 +83,9 @@ def readable_label(name: Column) -> Column:
 
 
 def poor_name(name: Column) -> Column:
-    low = F.lower(name)
-    return F.coalesce(low.endswith(" input") | low.endswith(" result") | (low == ""), F.lit(True))
+    """A missing name, or one that is only the function's own with `input` or `result`."""
+    bare = F.trim(name)
+    return F.coalesce(bare.endswith(" input") | bare.endswith(" result") | (bare == ""), F.lit(True))
 
 
 def direction(writes: Column, reads: Column) -> Column:
@@ -96,20 +97,52 @@ def final_direction(is_function: Column, current: Column) -> Column:
     return F.when(~is_function, "In/Out").when(current == "Out", "Out").otherwise("In")
 
 
-#: Display ranges of primitive types.
+#: Display ranges and the type names that have them.
 RANGES = {
-    "bool": "0-1", "char": "-128-127", "signed char": "-128-127", "unsigned char": "0-255", "int8_t": "-128-127", "uint8_t": "0-255",
-    "short": "-32768-32767", "unsigned short": "0-65535", "int16_t": "-32768-32767", "uint16_t": "0-65535",
-    "int": "-0x80000000-0x7FFFFFFF", "unsigned int": "0-0xFFFFFFFF", "int32_t": "-0x80000000-0x7FFFFFFF", "uint32_t": "0-0xFFFFFFFF",
-    "float": "IEEE 754", "double": "IEEE 754", "void": "VOID",
+    "0-0xFF": ("uint8_t", "std::uint8_t", "param_uint8_t"),
+    "0-0xFFFF": ("unsigned short", "uint16_t", "std::uint16_t", "param_uint16_t"),
+    "0-0xFFFFFFFF": ("unsigned", "unsigned int", "unsigned long", "uint32_t", "std::uint32_t", "param_uint32_t"),
+    "0-0xFFFFFFFFFFFFFFFF": ("unsigned long long", "uint64_t", "std::uint64_t", "param_uint64_t", "uintptr_t", "std::uintptr_t", "param_uintptr_t", "param_size_t"),
+    "-0x80-0x7F": ("int8_t", "std::int8_t", "param_int8_t"),
+    "-0x8000-0x7FFF": ("short", "short int", "signed short", "int16_t", "std::int16_t", "param_int16_t"),
+    "-0x80000000-0x7FFFFFFF": ("int", "signed int", "long", "long int", "signed long", "int32_t", "std::int32_t", "param_int32_t"),
+    "-0x8000000000000000-0x7FFFFFFFFFFFFFFF": ("long long", "long long int", "signed long long", "int64_t", "std::int64_t", "param_int64_t", "intptr_t", "std::intptr_t", "param_intptr_t"),
 }
 
 
 def type_range(type_text: Column) -> Column:
-    """Range of a C++ type's text: qualifiers, references and pointers off, then the table; NA where unknown."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(type_text, r"\b(const|volatile|static)\b|[*&]|\[[^\]]*\]", " "), r"\s+", " "))
-    table = F.create_map(*[F.lit(x) for kv in RANGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, bare), F.lit("NA"))
+    """Range of a C++ type's text, qualifiers off: VOID for void (not a pointer to it), the table's, that of size_t for any text that
+    names it without a pointer; NA else, so for pointers, references and types without a numeric range."""
+    text = F.lower(F.trim(F.coalesce(type_text, F.lit(""))))
+    bare = F.trim(F.regexp_replace(text, "const |volatile ", ""))
+    plain = ~F.contains(text, F.lit("*"))
+    table = F.create_map(*[F.lit(x) for shown, names in RANGES.items() for name in names for x in (name, shown)])
+    return (F.when((text == "void") | (text.startswith("void ") & plain), "VOID").when(F.try_element_at(table, bare).isNotNull(), F.try_element_at(table, bare))
+            .when(F.contains(bare, F.lit("size_t")) & plain, "0-0xFFFFFFFFFFFFFFFF").otherwise("NA"))
+
+
+#: Return types that name nothing.
+PRIMITIVES = ("void", "int", "bool", "float", "double", "char", "short", "long")
+
+
+def behaviour_names(parameter: Column, written: Column, read: Column, return_type: Column, return_expr: Column, qualified: Column) -> Column:
+    """struct(input_name, output_name) of a function, as labels. parameter: its first; written, read: qualified names of the first
+    global it writes and reads (null if none).
+
+    Input: the parameter, else what it writes, else what it reads. Output: the identifier that its return expression begins with, else
+    its return type if that isn't primitive; where that gives no label, what it writes, else what it reads. Where that gives none
+    either, the function's own label and `input` or `result`."""
+    label = lambda c: present(readable_label(F.trim(c)))
+    first = lambda c, pattern: present(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1))
+    touched = F.when(written.isNotNull(), label(short_name(written))).otherwise(label(short_name(read)))
+    taken = F.when(present(F.trim(parameter)).isNotNull(), label(parameter)).otherwise(touched)
+    named = first(return_expr, r"^[\s();,+\-*/%&|^<>!?:]*([^\s();,+\-*/%&|^<>!?:]+)")
+    named = F.when(named.rlike(r"^[\p{L}_]"), named)
+    kind = first(return_type, r"(\S+)\s*$")
+    given = F.when(named.isNotNull(), label(named)).when(~kind.isin(*PRIMITIVES), label(kind))
+    own = label(short_name(F.coalesce(qualified, F.lit(""))))
+    fallback = lambda word: F.concat(F.coalesce(own, F.lit("Behaviour")), F.lit(word))
+    return F.struct(F.coalesce(taken, fallback(" input")).alias("input_name"), F.coalesce(given, touched, fallback(" result")).alias("output_name"))
 
 
 def named_type(type_text: Column) -> Column:

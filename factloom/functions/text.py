@@ -50,10 +50,16 @@ def strip_log_prefix(line: Column) -> Column:
     return F.regexp_replace(line, r"^(?:\[[^\]]*\]\s*|\d{2}:\d{2}:\d{2}\s+(?:[A-Z]+\s+)?)+", "")
 
 
-def keywords(name: Column) -> Column:
-    """Distinct lower-case words of over two letters of a camel- or snake-case name, sorted."""
-    parts = F.regexp_extract_all(name, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+)"), 1)
-    return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda s: F.char_length(s) > 2), F.lower)))
+def keywords(name: Column, return_type: Column | None = None, callees: Column | None = None) -> Column:
+    """Distinct lower-case words of over two characters, sorted: the parts of a camel- or snake-case name and its numbers, the
+    identifiers of a return type, the parts of the callees' names (an array)."""
+    parts = lambda c, pattern: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), 1)
+    found = [parts(F.substring_index(name, "::", -1), "([A-Z][a-z]+|[a-z]+|[0-9]+)")]
+    if return_type is not None:
+        found.append(parts(return_type, "([A-Za-z_][A-Za-z0-9_]*)"))
+    if callees is not None:
+        found.append(F.flatten(F.transform(F.coalesce(callees, F.array().cast("array<string>")), lambda c: parts(F.substring_index(c, "::", -1), "([A-Z][a-z]+|[a-z]+)"))))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(F.concat(*found), lambda s: F.char_length(s) > 2), F.lower)))
 
 
 def identifiers(code: Column) -> Column:
@@ -141,43 +147,48 @@ def merge_ids(old: pd.Series, new: pd.Series) -> pd.Series:
 
 
 def first_json(text: str) -> str | None:
-    """The first JSON object in a noisy text; open braces and brackets at the end are closed; null if nothing parses."""
-    at = (text or "").find("{")
+    """The first JSON object in a noisy text, in canonical form; code fences go; braces, brackets and a string that are open at the
+    end are closed; null if nothing parses. Escaped characters don't end a string."""
+    body = re.sub(r"```(?:json)?\s*", "", text or "")
+    at = body.find("{")
     if at < 0:
         return None
-    stack, inside, escaped = [], False, False
-    for k in range(at, len(text)):
-        c = text[k]
-        if inside:
-            escaped = c == "\\" and not escaped
-            if c == '"' and text[k - 1] != "\\":
-                inside = False
-        elif c == '"':
-            inside = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]":
-            if stack:
-                stack.pop()
-            if not stack:
-                return _sound(text[at : k + 1])
-    return _sound(text[at:].rstrip().rstrip(",") + ('"' if inside else "") + "".join(reversed(stack)))
+    closers: list[str] = []
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*("|$)|[{}\[\]]', body[at:], re.DOTALL):
+        if m[0][0] == '"':
+            if m[1] != '"':
+                return _sound(body[at:] + '"' + "".join(reversed(closers)))
+        elif m[0] in "{[":
+            closers.append("}" if m[0] == "{" else "]")
+        elif closers:
+            closers.pop()
+            if not closers:
+                return _sound(body[at : at + m.end()])
+    return _sound(body[at:].rstrip().rstrip(",") + "".join(reversed(closers)))
+
+
+def _parses(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
 
 
 def _sound(text: str) -> str | None:
-    for candidate in (text, repair(text)):
-        try:
-            return json.dumps(json.loads(candidate), sort_keys=True, ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
+    text = repair(text)
+    return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False) if _parses(text) else None
 
 
 def repair(text: str) -> str:
-    """Smart quotes straightened, trailing commas dropped, single-quoted strings double-quoted."""
-    out = text.translate(str.maketrans("“”‘’", "\"\"''"))
-    out = re.sub(r",\s*([}\]])", r"\1", out)
-    return re.sub(r"'([^'\"]*)'", r'"\1"', out)
+    """Smart quotes straightened and trailing commas dropped; where the text still isn't JSON, keys and values in single quotes get
+    double ones. Apostrophes inside words and inside double quotes stay."""
+    for change in (lambda t: t, lambda t: t.translate(str.maketrans("“”‘’", "\"\"''")), lambda t: re.sub(r",(\s*[}\]])", r"\1", t)):
+        text = change(text)
+        if _parses(text):
+            return text
+    pattern = r"""("(?:[^"\\]|\\.)*")|(?<=[{\[,:])(\s*)'([^'\\"]*)'(?=\s*[:,}\]])"""
+    return re.sub(pattern, lambda m: m[1] or f'{m[2]}"{m[3]}"', text)
 
 
 @F.pandas_udf(T.StringType())
@@ -200,67 +211,93 @@ def keep_keys(data: Column, wanted: list[str]) -> Column:
     return F.map_filter(data, lambda k, v: k.isin(wanted))
 
 
-@F.pandas_udf(T.StringType())
-def escape_label(text: pd.Series) -> pd.Series:
-    """Diagram label: each special character replaced once, in one pass."""
-    table = {ord('"'): "&quot;", ord("<"): "&lt;", ord(">"): "&gt;", ord("&"): "&amp;", ord("#"): "&#35;", ord(";"): "&#59;", ord("\n"): "<br/>"}
-    return text.map(lambda s: (s or "").translate(table))
+#: Entity codes of diagram labels; edges need fewer of them.
+NODE_CODES = {";": "#59;", "&": "#38;", '"': "#quot;", "[": "#91;", "]": "#93;", "(": "#40;", ")": "#41;", "{": "#123;", "}": "#125;", "|": "#124;", "%": "#37;", "^": "#94;", "~": "#126;", "<": "#60;", ">": "#62;"}
+EDGE_CODES = {c: code for c, code in NODE_CODES.items() if c not in "%^~"}
 
 
-@F.pandas_udf(T.StringType())
-def wrap_label(text: pd.Series) -> pd.Series:
-    """Words wrapped at 40 characters a segment, segments joined by <br/>; words are never split."""
+def _coded(text: Column, codes: dict[str, str]) -> Column:
+    # the semicolon comes first, so that no code is coded again
+    for c, code in codes.items():
+        text = F.replace(text, F.lit(c), F.lit(code))
+    return text
 
-    def wrap(s):
-        out = []
-        for segment in (s or "").split("<br/>"):
-            line = ""
-            for w in segment.split():
-                if line and len(line) + 1 + len(w) > 40:
-                    out.append(line)
-                    line = w
-                else:
-                    line = f"{line} {w}".strip()
-            out.append(line)
-        return "<br/>".join(out)
 
-    return text.map(wrap)
+def escape_label(text: Column) -> Column:
+    """Label of a diagram's node: unsafe characters as entity codes; <br/> stays and a line feed becomes one."""
+    lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), r"<br ?/>|\n")
+    return F.array_join(F.transform(lines, lambda s: _coded(s, NODE_CODES)), "<br/>")
 
 
-@F.pandas_udf(T.StringType())
-def readable_condition(text: pd.Series) -> pd.Series:
-    """A condition in words: operators, then negation and predicate names."""
-    table = [(r"&&", " and "), (r"\|\|", " or "), (r"==", " is "), (r"!=", " is not "), (r">=", " is at least "), (r"<=", " is at most "),
-             (r"(?<![-=<])>", " is greater than "), (r"<", " is less than "), (r"!\s*(\w+)", r"not \1")]
+def escape_edge_label(text: Column) -> Column:
+    return _coded(F.coalesce(text, F.lit("")), EDGE_CODES)
 
-    def one(s):
-        s = s or ""
-        for pattern, word in table:
-            s = re.sub(pattern, word, s)
-        s = re.sub(r"\b(is|has|can)([A-Z]\w*)\(\)", lambda m: f"{m[1]} {re.sub(r'(?<!^)([A-Z])', r' \1', m[2]).lower()}", s)
-        return re.sub(r"\s+", " ", s).strip()
 
-    return text.map(one)
+def wrap_label(text: Column, width: int = 40) -> Column:
+    """Words wrapped so that no line but one of a single longer word has over `width` characters; lines joined by <br/>."""
+    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
 
+    def add(acc: Column, w: Column) -> Column:
+        longer = F.concat_ws(" ", F.nullif(acc["line"], F.lit("")), w)
+        full = (acc["line"] != "") & (F.char_length(longer) > width)
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["line"])).otherwise(acc["done"]).alias("done"), F.when(full, w).otherwise(longer).alias("line"))
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("line", T.IntegerType()).add("col", T.IntegerType())))
-def assert_calls(code: pd.Series) -> pd.Series:
-    """1-based places of assertion calls."""
-    pattern = re.compile(r"\b(?:assert|ASSERT|static_assert)\s*\(")
-    return code.map(lambda s: [{"line": n, "col": m.start() + 1} for n, line in enumerate((s or "").split("\n"), 1) for m in pattern.finditer(line)])
+    def wrapped(segment: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+        return F.aggregate(words(segment), start, add, lambda acc: F.array_join(F.array_append(acc["done"], acc["line"]), "<br/>"))
 
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "<br/>"), wrapped), "<br/>")
+
+
+#: How a condition is read. Beginnings of predicate names; operators in the order in which they are replaced.
+PREDICATES = ("is", "has", "can", "should", "will", "was", "are", "have", "did", "does", "check", "needs")
+OPERATORS = {
+    "==": "equals", "!=": "does not equal", ">=": "is greater than or equal to", "<=": "is less than or equal to", ">": "is greater than", "<": "is less than",
+    "&&": "AND", r"\|\|": "OR",
+}
 
-@F.pandas_udf(T.StringType())
-def visibility_before(lines: pd.Series) -> pd.Series:
-    """Visibility stated in the (up to five) lines before a declaration, nearest first; public where none is."""
 
-    def one(block):
-        for line in reversed((block or "").split("\n")[-5:]):
-            if m := re.search(r"\b(public|private|protected)\b", line.lower()):
-                return m[1]
-        return "public"
+def readable_condition(text: Column) -> Column:
+    """A condition in words. One that begins with a call of a predicate (`isReady(`, `!p->hasMore(`) becomes that predicate; in any other
+    the operators become words, and pointers, scopes and a last semicolon go."""
+    s = F.trim(F.coalesce(text, F.lit("")))
+    call = rf"(?is)^(!?)\s*(?:([\w\->:.*]+?)\s*->\s*)?({'|'.join(PREDICATES)})(\w+)\s*\(.*$"
+    no, owner, verb, rest = (F.regexp_extract(s, call, k) for k in (1, 2, 3, 4))
+    what, verb = F.lower(F.trim(F.regexp_replace(rest, "([A-Z])", " $1"))), F.lower(verb)
+    being = verb.isin("is", "are")
+    said = F.when((no == "!") & being, F.concat(F.lit("is not "), what)).when(no == "!", F.concat_ws(" ", F.lit("does not"), verb, what)).when(being, F.concat(F.lit("is "), what)).otherwise(F.concat(verb, F.lit("s "), what))
+    words = s
+    for operator, word in OPERATORS.items():
+        words = F.regexp_replace(words, rf"\s*{operator}\s*", f" {word} ")
+    words = F.regexp_replace(words, r"\b(?:nullptr|NULL)\b", "null")
+    words = F.regexp_replace(F.replace(F.replace(words, F.lit("->"), F.lit(".")), F.lit("&"), F.lit(" ")), r"\w+::", "")
+    return F.when(verb != "", F.concat_ws(" ", F.nullif(owner, F.lit("")), said)).otherwise(F.trim(F.regexp_replace(words, ";+$", "")))
 
-    return lines.map(one)
+
+def assert_calls(code: Column) -> Column:
+    """array<struct<line,col>>: 1-based places of assertion calls."""
+    call = r"\b(?:assert|ASSERT|static_assert)\s*\("
+    def places(line: Column, n: Column) -> Column:
+        # what stands before each call, as lengths that add up
+        before = F.slice(F.split(line, call), F.lit(1), F.size(F.split(line, call)) - 1)
+        calls = F.regexp_extract_all(line, F.lit(f"({call})"), 1)
+        ends = F.transform(before, lambda _, i: F.aggregate(F.slice(before, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice(calls, F.lit(1), i), F.lit(0), lambda a, x: a + F.char_length(x)))
+        return F.transform(ends, lambda at: F.struct((n + 1).alias("line"), (at + 1).alias("col")))
+
+    return F.flatten(F.transform(F.split(F.coalesce(code, F.lit("")), "\n"), places))
+
+
+#: Words that state a visibility.
+VISIBILITIES = ("PRIVATE", "PROTECTED", "PUBLIC")
+
+
+def visibility_before(lines: Column) -> Column:
+    """Visibility that the first word of a declaration's line or one of the four before it states, the nearest first; blank and comment
+    lines don't count; `default` where none does."""
+    split = F.split(F.coalesce(lines, F.lit("")), "\n")
+    last = F.reverse(F.slice(split, F.greatest(F.size(split) - 4, F.lit(1)), F.lit(5)))
+    first = F.transform(F.filter(last, lambda s: ~F.trim(s).rlike(r"^(//|/\*|\*)")), lambda s: F.regexp_extract(s, r"^\s*(\S+)", 1))
+    return F.coalesce(F.lower(F.get(F.filter(first, lambda w: w.isin(*VISIBILITIES)), F.lit(0))), F.lit("default"))
 
 
 @F.pandas_udf(T.StringType())
@@ -299,29 +336,37 @@ def declaration_snippet(text: pd.Series, line: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def active_includes(text: pd.Series) -> pd.Series:
-    """Quoted includes outside conditional blocks that are switched off (#if 0, #ifdef of an undefined name, #else of a
-    taken branch). Names defined in the file count as defined."""
-
-    def one(s):
-        out, stack, names = [], [], set()
-        for line in (s or "").split("\n"):
-            t = line.strip()
-            live = all(stack)
-            if m := re.match(r"#\s*ifdef\s+(\w+)", t):
-                stack.append(m[1] in names)
-            elif m := re.match(r"#\s*ifndef\s+(\w+)", t):
-                stack.append(m[1] not in names)
-            elif m := re.match(r"#\s*if\s+(.*)", t):
-                stack.append(m[1].strip() not in ("0", "false"))
-            elif re.match(r"#\s*(else|elif)", t) and stack:
-                stack[-1] = not stack[-1]
-            elif re.match(r"#\s*endif", t) and stack:
-                stack.pop()
-            elif live and (m := re.match(r"#\s*define\s+(\w+)", t)):
-                names.add(m[1])
-            elif live and (m := re.match(r'#\s*include\s+"([^"]+)"', t)):
-                out.append(m[1])
-        return out
-
-    return text.map(one)
+def active_includes(text: pd.Series, macros: pd.Series) -> pd.Series:
+    """Quoted includes in branches that are live under the given macros (an array of names), in order, once each. A condition is
+    `defined(NAME)` or a bare name; any other counts as true, so that no include is hidden. In a chain of branches only the first
+    true one is live."""
+
+    def one(s, defined):
+        out: dict[str, None] = {}
+        defined, chains = set(() if defined is None else defined), []  # per open #if: is its branch live, was one true
+        for m in re.finditer(r"^[ \t]*#[ \t]*(ifdef|ifndef|if|elif|else|endif|include)\b[ \t]*(.*)$", s or "", re.MULTILINE):
+            word, rest = m[1], m[2].strip()
+            name = re.search(r"defined\s*\(\s*(\w+)\s*\)", rest) or re.match(r"(\w+)\s*$", rest)
+            holds = name[1] in defined if name else True
+            if word in ("ifdef", "ifndef"):
+                holds = (rest.split()[0] if rest else "") in defined
+                chains.append((holds == (word == "ifdef"),) * 2)
+            elif word == "if":
+                chains.append((holds, holds))
+            elif word == "include":
+                if (q := re.match(r'"([^"]+)"', rest)) and all(live for live, _ in chains):
+                    out[q[1]] = None
+            elif chains:
+                _, taken = chains.pop()
+                if word != "endif":
+                    live = not taken and (word == "else" or holds)
+                    chains.append((live, taken or live))
+        return list(out)
+
+    return pd.Series([one(s, d) for s, d in zip(text, macros, strict=True)])
+
+
+def companion_headers(path: Column) -> Column:
+    """Headers that a source file depends on though it may not include them: its own name as .h and .hpp (empty for headers)."""
+    base = F.regexp_replace(path, r"(?i)\.(cpp|cc|cxx)$", "")
+    return F.when(path.rlike(r"(?i)\.(cpp|cc|cxx)$"), F.array(F.concat(base, F.lit(".h")), F.concat(base, F.lit(".hpp")))).otherwise(F.array().cast("array<string>"))

@@ -193,7 +193,7 @@ DICT = """d(name, range, underlying) AS (VALUES ('Speed', '', 'Base'), ('Base',
 
 
 @query("""WITH w AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Speed' WHEN 1 THEN 'flag' WHEN 2 THEN 'int' WHEN 3 THEN 'const int &' WHEN 4 THEN 'Unknown' WHEN 5 THEN 'Deep' WHEN 6 THEN 'Loop' ELSE 'float' END AS type FROM part)
-SELECT DISTINCT type, CASE type WHEN 'Speed' THEN '0-255' WHEN 'flag' THEN '0-1' WHEN 'int' THEN '-0x80000000-0x7FFFFFFF' WHEN 'const int &' THEN '-0x80000000-0x7FFFFFFF' WHEN 'Deep' THEN '0-255' WHEN 'float' THEN 'IEEE 754' ELSE 'NA' END AS range FROM w""")
+SELECT DISTINCT type, CASE type WHEN 'Speed' THEN '0-0xFF' WHEN 'flag' THEN '0-1' WHEN 'int' THEN '-0x80000000-0x7FFFFFFF' WHEN 'Deep' THEN '0-0xFF' ELSE 'NA' END AS range FROM w""")
 def d22_s11_range_lookup(spark, sf):
     k = F.col("p_partkey") % 8
     kinds = F.when(k == 0, "Speed").when(k == 1, "flag").when(k == 2, "int").when(k == 3, "const int &").when(k == 4, "Unknown").when(k == 5, "Deep").when(k == 6, "Loop").otherwise("float")

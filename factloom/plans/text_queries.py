@@ -34,14 +34,20 @@ def s04_key_builders(spark, sf):
 def s05_s08_s10_labels(spark, sf):
     return t(spark, sf, "part").select(
         "p_partkey", keys.safe_filename(F.concat("p_name", F.lit("#1"))).alias("safe"), keys.readable_label(F.concat(F.lit("g_"), F.replace("p_name", F.lit(" "), F.lit("_")))).alias("label"),
-        keys.poor_name(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, " Input").otherwise(" value"))).alias("poor"))
+        keys.poor_name(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, " input").otherwise(" value"))).alias("poor"))
 
 
-@query("SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END, ''), CASE WHEN p_size % 3 = 0 THEN p_type END, p_name) AS input_name FROM part")
+@query("""WITH p AS (SELECT p_partkey, p_size % 2 = 0 AS has_param, p_size % 3 = 0 AS writes, p_size % 5 = 0 AS reads, p_size % 7 = 0 AS returns, split_part(p_name, ' ', 1) AS n, p_size FROM part),
+l AS (SELECT *, CASE WHEN length(n) > 2 THEN upper(substr(n, 1, 1)) || substr(n, 2) END AS label FROM p),
+g AS (SELECT *, CASE WHEN writes THEN 'Count ' || p_size WHEN reads THEN 'Seen ' || p_size END AS touched FROM l)
+SELECT p_partkey, coalesce(CASE WHEN has_param THEN label ELSE touched END, coalesce(label, 'Behaviour') || ' input') AS input_name,
+  coalesce(CASE WHEN returns THEN 'Code ' || p_size END, touched, coalesce(label, 'Behaviour') || ' result') AS output_name FROM g""")
 def s09_behaviour_name(spark, sf):
-    s = F.col("p_size")
-    a, b = F.when(s % 2 == 0, F.col("p_brand")).otherwise(""), F.when(s % 3 == 0, F.col("p_type"))
-    return t(spark, sf, "part").select("p_partkey", F.coalesce(keys.present(a), b, F.col("p_name")).alias("input_name"))
+    s, word = F.col("p_size"), F.substring_index("p_name", " ", 1)
+    names = keys.behaviour_names(
+        F.when(s % 2 == 0, word).otherwise(""), F.when(s % 3 == 0, F.concat(F.lit("ns::g_count_"), "p_size")), F.when(s % 5 == 0, F.concat(F.lit("g_seen_"), "p_size")),
+        F.lit("static int"), F.when(s % 7 == 0, F.concat(F.lit("(code_"), "p_size", F.lit(" + 1)"))), F.concat(F.lit("A::"), word))
+    return t(spark, sf, "part").select("p_partkey", names.alias("b")).select("p_partkey", "b.*")
 
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'x ' || p_size END AS label, 'Brief ' || p_size AS fallback FROM part""")
@@ -62,10 +68,13 @@ def s21_truncate_to_budget(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.char_length(tx.truncate_to_budget(F.col("text"), 100)).alias("kept"))
 
 
-@query("SELECT p_partkey, p_name AS clean, 'started ' || p_name AS line FROM part")
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || chr(10) || p_brand ELSE '<thinking>' || p_name END AS clean,
+  CASE p_size % 4 WHEN 3 THEN p_name || ' [x]' ELSE 'started ' || p_name END AS line FROM part""")
 def s24_s25_strip(spark, sf):
-    return t(spark, sf, "part").select(
-        "p_partkey", tx.strip_sections(F.concat(F.lit("<think>a\nb</think>\n"), "p_name")).alias("clean"), tx.strip_log_prefix(F.concat(F.lit("[INFO] [x] started "), "p_name")).alias("line"))
+    k, m = F.col("p_size") % 3, F.col("p_size") % 4
+    noisy = F.when(k == 0, F.concat(F.lit("<think>a\nb</think>\n"), "p_name")).when(k == 1, F.concat("p_name", F.lit("\n<think>"), "p_type", F.lit("</think>"), "p_brand", F.lit("<think></think>  "))).otherwise(F.concat(F.lit("<thinking>"), "p_name"))
+    line = F.when(m == 3, F.concat("p_name", F.lit(" [x]"))).otherwise(F.concat(F.when(m == 0, "[INFO] [x] ").when(m == 1, "12:30:59 WARN ").otherwise("12:30:59  [p 1]"), F.lit("started "), "p_name"))
+    return t(spark, sf, "part").select("p_partkey", tx.strip_sections(noisy).alias("clean"), tx.strip_log_prefix(line).alias("line"))
 
 
 @query("SELECT p_partkey, 'int f(' || p_brand || ' a, char b)' AS signature FROM part")
@@ -98,9 +107,11 @@ def j01_array_overlap(spark, sf):
     return li.where(F.arrays_overlap("a", F.array(F.lit(7).cast("long")))).select("l_orderkey").distinct()
 
 
-@query("SELECT p_partkey, 'int:-0x80000000-0x7FFFFFFF,' || p_brand || ':NA' AS params FROM part")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'int:-0x80000000-0x7FFFFFFF' WHEN 1 THEN 'const std::uint16_t:0-0xFFFF' WHEN 2 THEN 'void *:NA' ELSE 'volatile long long:-0x8000000000000000-0x7FFFFFFFFFFFFFFF' END || ',' || p_brand || ':NA' AS params FROM part")
 def j02_add_field(spark, sf):
-    p = F.transform(F.array(F.lit("int"), F.col("p_brand")), lambda x: F.struct(x.alias("type"), keys.type_range(x).alias("range")))
+    k = F.col("p_size") % 4
+    first = F.when(k == 0, "int").when(k == 1, "const std::uint16_t").when(k == 2, "void *").otherwise("volatile long long")
+    p = F.transform(F.array(first, F.col("p_brand")), lambda x: F.struct(x.alias("type"), keys.type_range(x).alias("range")))
     return t(spark, sf, "part").select("p_partkey", F.array_join(F.transform(p, lambda x: F.concat_ws(":", x["type"], x["range"])), ",").alias("params"))
 
 
@@ -129,9 +140,12 @@ def x07_identifiers(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.get(tx.identifiers(code), F.lit(0)).alias("first"))
 
 
-@query("SELECT p_partkey, 'my type name' AS words, 'FOO' AS macro, p_name AS named FROM part")
+@query("SELECT p_partkey, 'my ' || split_part(p_name, ' ', 1) || CASE WHEN p_size % 2 = 0 THEN ' name' ELSE ' x ' || p_size END AS words, CASE WHEN p_size % 3 > 0 THEN 'FOO_' || p_size END AS macro, p_name AS named FROM part")
 def x06_x18_x19_names(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", tx.struct_description(F.lit("MyType_name_t")).alias("words"), tx.defined_macro(F.lit("-DFOO=1")).alias("macro"), keys.named_type(F.concat(F.lit("const "), "p_name", F.lit(" *&"))).alias("named"))
+    s, word = F.col("p_size"), F.substring_index("p_name", " ", 1)
+    name = F.concat(F.lit("My"), F.initcap(word), F.when(s % 2 == 0, "_name_t").otherwise(F.concat(F.lit("_x_"), "p_size")))
+    arg = F.when(s % 3 == 0, F.concat(F.lit("-IFOO_"), "p_size")).when(s % 3 == 1, F.concat(F.lit("-DFOO_"), "p_size")).otherwise(F.concat(F.lit("-DFOO_"), "p_size", F.lit("=1")))
+    return t(spark, sf, "part").select("p_partkey", tx.struct_description(name).alias("words"), tx.defined_macro(arg).alias("macro"), keys.named_type(F.concat(F.lit("const "), "p_name", F.lit(" *&"))).alias("named"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name || chr(10) || p_brand || chr(10) || p_type WHEN 1 THEN p_name || chr(10) || p_brand WHEN 2 THEN p_name ELSE '' END AS detail FROM part")
@@ -281,20 +295,34 @@ def i06_merge_ids(spark, sf):
     return c.select("conv_id", tx.merge_ids(s(lambda x: x % 3 != 0), s(lambda x: x % 4 != 1)).alias("ids"))
 
 
-@query()
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'x is greater than or equal to ' || p_size || ' OR y equals null' WHEN 1 THEN 'link' || p_size || ' is not fully open' WHEN 2 THEN 'hass room' ELSE 'a.b' || p_size || ' does not equal C AND d' END AS words,
+  CASE p_size % 4 WHEN 0 THEN 'x #62;= ' || p_size || ' #124;#124; ns::y == nullptr' WHEN 1 THEN '!link' || p_size || '-#62;isFullyOpen#40;#41;' WHEN 2 THEN 'hasRoom#40;' || p_size || '#41;' ELSE 'a.b' || p_size || '!=C #38;#38; d#59;' END AS escaped,
+  'word' || p_size || repeat(' abcdefghi', 3) || '<br/>' || repeat('abcdefghi ', 3) || 'abcdefghi<br/>end' AS wrapped FROM part""")
 def s14_s16_s17_conditions(spark, sf):
-    c = F.concat(F.lit("!ok && x >= "), "p_size", F.lit(" || isReady()"))
-    return t(spark, sf, "part").select("p_partkey", tx.readable_condition(c).alias("words"), tx.escape_label(c).alias("escaped"), tx.wrap_label(F.repeat("p_name", 6)).alias("wrapped"))
+    k, n = F.col("p_size") % 4, F.col("p_size").cast("string")
+    c = F.when(k == 0, F.concat(F.lit("x >= "), n, F.lit(" || ns::y == nullptr"))).when(k == 1, F.concat(F.lit("!link"), n, F.lit("->isFullyOpen()"))).when(k == 2, F.concat(F.lit("hasRoom("), n, F.lit(")"))).otherwise(F.concat(F.lit("a.b"), n, F.lit("!=C && d;")))
+    long = F.concat(F.lit("word"), n, F.repeat(F.lit(" abcdefghi"), 7), F.lit("<br/>end"))
+    return t(spark, sf, "part").select("p_partkey", tx.readable_condition(c).alias("words"), tx.escape_label(c).alias("escaped"), tx.wrap_label(long).alias("wrapped"))
 
 
-@query()
+@query("""WITH p AS (SELECT *, p_size % 3 AS k FROM part)
+SELECT p_partkey, 'a.h' || CASE WHEN k = 0 THEN ',b.h' WHEN p_size % 2 = 0 THEN ',c.h' ELSE ',d.h' END AS includes, CASE k WHEN 0 THEN 'private' WHEN 1 THEN 'public' ELSE 'default' END AS visibility,
+  'does ' || p_name AS comment, CASE WHEN p_size % 2 = 0 THEN '13:3,13:13' ELSE '13:3' END AS asserts, 'int f() {' || chr(10) || '  assert(x);' || CASE WHEN p_size % 2 = 0 THEN ' ASSERT (y);' ELSE '' END || chr(10) || '}' AS snippet,
+  'size ' || p_size AS inline FROM p""")
 def s12_s13_s19_a12_x05_lexers(spark, sf):
-    code = F.concat(F.lit('#include "a.h"\n#ifdef X\n#include "b.h"\n#endif\nprivate:\n// does '), "p_name", F.lit("\nint f() {\n  assert(x);\n}\n"))
+    s = F.col("p_size")
+    head = F.lit('#include "a.h"\n#ifdef X\n#include "b.h"\n#elif defined(Y)\n#include "c.h"\n#else\n#include "d.h"\n#endif\n')
+    code = F.concat(head, F.when(s % 3 == 0, "PRIVATE unit").when(s % 3 == 1, "PUBLIC").otherwise("int PUBLIC"), F.lit("\n\n// does "), "p_name", F.lit("\nint f() {\n  assert(x);"), F.when(s % 2 == 0, " ASSERT (y);").otherwise(""), F.lit("\n}\nint g();\n"))
+    macros = F.filter(F.array(F.when(s % 3 == 0, "X"), F.when(s % 2 == 0, "Y")), lambda m: m.isNotNull())
+    before = F.substring_index("code", "\nint f", 1)
     return t(spark, sf, "part").withColumn("code", code).select(
-        "p_partkey", tx.active_includes("code").alias("includes"), tx.visibility_before(F.substring_index("code", "\nint", 1)).alias("visibility"),
-        tx.preceding_comment(F.substring_index("code", "\nint", 1)).alias("comment"), tx.assert_calls("code").alias("asserts"), tx.declaration_snippet("code", F.lit(7)).alias("snippet"), tx.comment_text(F.lit("int a; // size")).alias("inline"))
+        "p_partkey", F.array_join(tx.active_includes("code", macros), ",").alias("includes"), tx.visibility_before(before).alias("visibility"), tx.preceding_comment(before).alias("comment"),
+        F.array_join(F.transform(tx.assert_calls(F.col("code")), lambda x: F.concat_ws(":", x["line"], x["col"])), ",").alias("asserts"), tx.declaration_snippet("code", F.lit(12)).alias("snippet"),
+        tx.comment_text(F.concat(F.lit("int a; //< size "), "p_size")).alias("inline"))
 
 
-@query("SELECT p_partkey, 'count,event,get' AS words FROM part")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(['get', 'count'], CASE WHEN length(p_size::VARCHAR) > 2 THEN [p_size::VARCHAR] ELSE [] END, ['const', 'brand_t'],
+  CASE WHEN length(split_part(p_name, ' ', 1)) > 2 THEN [split_part(p_name, ' ', 1)] ELSE [] END))), ',') AS words FROM part""")
 def s20_keywords(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", F.array_join(tx.keywords(F.lit("getEventCount_of")), ",").alias("words"))
+    first = F.substring_index("p_name", " ", 1)
+    return t(spark, sf, "part").select("p_partkey", F.array_join(tx.keywords(F.concat(F.lit("A::getCount_"), "p_size"), F.lit("const Brand_t &"), F.array(F.concat(F.lit("B::"), first))), ",").alias("words"))

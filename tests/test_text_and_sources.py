@@ -11,7 +11,7 @@ def one(spark, value, fn, kind="string"):
 
 def test_keys(spark):
     assert one(spark, "g_read_buffer", keys.readable_label) == "Read buffer" and one(spark, "s_ab", keys.readable_label) == ""
-    assert one(spark, "const unsigned int *", keys.type_range) == "0-0xFFFFFFFF" and one(spark, "Foo", keys.type_range) == "NA"
+    assert one(spark, "Foo", keys.type_range) == "NA"
     assert one(spark, "/repo/a", lambda c: keys.repo_relative(c, F.lit("/repo/"))) == "a" and one(spark, "/repository/a", lambda c: keys.repo_relative(c, F.lit("/repo"))) is None
     assert one(spark, 7, lambda n: keys.interface_id(F.lit(False), F.lit("L1"), F.lit(""), F.lit("u_x"), n), "int") == "IF_L1_UX_07"
     assert one(spark, 123, lambda n: keys.interface_id(F.lit(True), F.lit("L"), F.lit("g"), F.lit("u"), n), "int") == "PIF_L_G_U_123"
@@ -23,13 +23,60 @@ def test_word_diff_and_json(spark):
     assert text.first_json('x {"a": "}"} y {"b": 1}') == '{"a": "}"}'
 
 
+def test_type_ranges(spark):
+    want = {
+        "void": "VOID", "bool": "NA", "int": "-0x80000000-0x7FFFFFFF", "unsigned int": "0-0xFFFFFFFF", "uint8_t": "0-0xFF", "uint16_t": "0-0xFFFF", "uint32_t": "0-0xFFFFFFFF", "int8_t": "-0x80-0x7F", "int16_t": "-0x8000-0x7FFF",
+        "int32_t": "-0x80000000-0x7FFFFFFF", "float": "NA", "std::uint8_t": "0-0xFF", "size_t": "0-0xFFFFFFFFFFFFFFFF", "SomeStruct*": "NA", "": "NA", "const uint8_t": "0-0xFF", "void*": "NA", "void *": "NA", "void const": "VOID",
+        "uint64_t": "0-0xFFFFFFFFFFFFFFFF", "long": "-0x80000000-0x7FFFFFFF", "unsigned": "0-0xFFFFFFFF", "std::uint32_t": "0-0xFFFFFFFF", "long long": "-0x8000000000000000-0x7FFFFFFFFFFFFFFF", "const volatile std::size_t": "0-0xFFFFFFFFFFFFFFFF", "size_t *": "NA",
+        "const int &": "NA", "unsigned long long": "0-0xFFFFFFFFFFFFFFFF", " UINT8_T ": "0-0xFF", None: "NA",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "x string")
+    assert {r.x: r.y for r in df.select("x", keys.type_range(F.col("x")).alias("y")).collect()} == want
+
+
+def test_behaviour_names(spark):
+    rows = [
+        ("g_request_id", "ns::g_state", "g_in", "int", "result_code + 1", "A::run", "Request id", "Result code"), ("", "ns::g_state", None, "void", "", "A::run_all", "State", "State"), (None, None, "g_input_buf", "my_status_t", None, "run", "Input buf", "My status t"),
+        ("i", "ns::g_state", None, "int", "(x)", "A::run_all", "Run all input", "State"), (None, None, None, "bool", "42", "A::go_now", "Go now input", "Go now result"), (None, None, None, "", "", "f", "Behaviour input", "Behaviour result"), ("value", None, "s_cache", "const Foo", "-1", "x::compute", "Value", "Foo"),
+    ]
+    df = spark.createDataFrame(rows, "p string, w string, r string, t string, e string, q string, i string, o string")
+    for x in df.select("*", keys.behaviour_names(*map(F.col, "pwrteq")).alias("b")).collect():
+        assert (x.b.input_name, x.b.output_name) == (x.i, x.o), x
+    assert one(spark, "State input", keys.poor_name) and one(spark, None, keys.poor_name) and not one(spark, "State", keys.poor_name)
+
+
+def test_noisy_json():
+    f = text.first_json
+    assert f('{"a":"x\\\\","b":1}') == '{"a": "x\\\\", "b": 1}' and f('```json\n{"a": "{"}\n```') == '{"a": "{"}' and f('``` {"a": 1} ```') == '{"a": 1}'
+    assert f('{"a": "it\'s", "b": \'c\'}') == '{"a": "it\'s", "b": "c"}' and f('{"a": "say \\"hi\\" }"} x') == '{"a": "say \\"hi\\" }"}'
+    assert f('{"a": {"b": 1}') == '{"a": {"b": 1}}' and f('{"a": "open') == '{"a": "open"}' and f("{nothing}") is None and f(None) is None and f("no brace") is None
+    good = '{"a": "it\'s, \'quoted\'"}'
+    assert text.repair(good) == good and text.repair("{'k': ['x', 'y'],}") == '{"k": ["x", "y"]}'
+
+
 def test_lexers(spark):
     code = '#ifndef G\n#define G\n#include "a.h"\n#ifdef G\n#include "b.h"\n#else\n#include "c.h"\n#endif\n#if 0\n#include "d.h"\n#endif\n#endif'
-    assert one(spark, code, text.active_includes) == ["a.h", "b.h"]
+    includes = lambda *names: lambda c: text.active_includes(c, F.array(*map(F.lit, names)).cast("array<string>"))
+    assert one(spark, code, includes()) == ["a.h", "c.h"] and one(spark, code, includes("G")) == []
+    chain = '#if defined(A)\n#include "a.h"\n# elif B\n#include "b.h"\n#elif C > 2\n#include "c.h"\n#else\n#include "d.h"\n#endif\n#include "e.h"\n#include "e.h"\n#include <f.h>'
+    assert one(spark, chain, includes("A", "B")) == ["a.h", "e.h"] and one(spark, chain, includes("B")) == ["b.h", "e.h"] and one(spark, chain, includes()) == ["c.h", "e.h"]
+    assert one(spark, "src/x.CPP", text.companion_headers) == ["src/x.h", "src/x.hpp"] and one(spark, "src/x.h", text.companion_headers) == []
     assert one(spark, "x;\n/* one\n * two */", text.preceding_comment) == "one two" and one(spark, "// c\ncode();", text.preceding_comment) == ""
-    assert one(spark, 'a<b & "c";', text.escape_label) == "a&lt;b &amp; &quot;c&quot;&#59;"
-    assert one(spark, "!isReady() && a != b", text.readable_condition) == "not is ready and a is not b"
-    assert one(spark, "parseHTTPHeader_line of", text.keywords) == ["header", "http", "line", "parse"]
+    assert one(spark, 'a<b & "c";<br/>d\ne<br />%', text.escape_label) == "a#60;b #38; #quot;c#quot;#59;<br/>d<br/>e<br/>#37;" and one(spark, "a|b%", text.escape_edge_label) == "a#124;b%"
+    assert one(spark, "one two " + "x" * 50 + " three<br/>four  five", text.wrap_label) == "one two<br/>" + "x" * 50 + "<br/>three<br/>four five"
+    want = {
+        "retval == STATUS_OK": "retval equals STATUS_OK", "!manager->isConnected()": "manager is not connected", "count > 0 && buf != nullptr": "count is greater than 0 AND buf does not equal null",
+        "isLimitExceeded(id, event)": "is limit exceeded", "!hasMore(x)": "does not has more", "p->q->canRun()": "p->q cans run", "a <= ns::B || c;": "a is less than or equal to B OR c", "": "", "compute(x) == 1": "compute(x) equals 1",
+    }
+    for raw, words in want.items():
+        assert one(spark, raw, text.readable_condition) == words, raw
+    for lines, shown in {"PRIVATE UNIT x": "private", "PUBLIC\nint\nf()": "public", "// PRIVATE\nint f()": "default", "int PRIVATE f()": "default", "PROTECTED a\n\n* c\nPUBLIC b\nf": "public", "PRIVATE\n1\n2\n3\n4\n5": "default", "private int": "default"}.items():
+        assert one(spark, lines, text.visibility_before) == shown, lines
+    assert [tuple(x) for x in one(spark, "x\n assert(a); ASSERT (b); my_assert(c)\nstatic_assert(d)", text.assert_calls)] == [(2, 2), (2, 13), (3, 1)]
+    assert one(spark, "parseHTTPHeader_line of2021", text.keywords) == ["2021", "header", "line", "parse"]
+    assert one(spark, "A::getSpeed", lambda c: text.keywords(c, F.lit("const Status_t &"), F.array(F.lit("B::readADC_now"), F.lit(None)))) == ["const", "get", "now", "read", "speed", "status_t"]
+    assert one(spark, "int a;\nstruct S {\n  int b;\n};\nint c;", lambda c: text.declaration_snippet(c, F.lit(2))) == "struct S {\n  int b;\n};"
+    assert one(spark, ["a", "b", "c"], lambda c: text.merge_ids(c, F.array(*map(F.lit, "axc"))), "array<string>") == ["a", "b", "x", "c"]
     assert one(spark, "one\ntwo\nthree", lambda c: text.truncate_to_budget(c, 3)) == "one\ntwo"
 
 
