@@ -12,19 +12,32 @@ def test_ids_equal_the_library():
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.tokenizer("byte_bpe_50k.json")
+    t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.tokenizer()
     r = random.Random(3)
     texts = ["", " ", "a<|endoftext|>b", "é😀\u0000", "x" * 9000, " " * 5000, "\n\n\t "] + ["".join(r.choice("ab '\n\té1!|Z<>") for _ in range(r.randint(0, 80))) for _ in range(500)]
     texts += ["<|endoftext|>" * 3 + "x<|endoftext", "word " * 70 + "y" * 65 + " y" * 3, "a  b\u3000c\u00a0 \t d", "it's we'll 12 345"]
     assert [own.encode(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_memo_begins_anew(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO_WORDS", 3)
-    own = packing.Tokenizer("byte_bpe_50k.json")
-    texts = ["one two three four", "one five", "six seven eight one two"]
-    want = [own.library.encode(x, add_special_tokens=False).ids for x in texts]
-    assert [own.encode(x) for x in texts * 2] == want * 2
+def test_ids_of_whole_documents_equal_the_library(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.tokenizer()
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    r = random.Random(4)
+    texts += [c * 100_000 for c in "x -\n7é"] + ["".join(r.choice("abcdefghij") for _ in range(100_000)), "".join(chr(r.choice([r.randrange(32, 0x800), r.randrange(0x4E00, 0x9000), r.randrange(0x1F300, 0x1F600)])) for _ in range(50_000))]
+    assert all(own.encode(x) == e.ids for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_of_any_text_equal_the_library(text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    test_ids_of_any_text_equal_the_library.library = t = getattr(test_ids_of_any_text_equal_the_library, "library", None) or Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert packing.tokenizer().encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -70,7 +83,7 @@ def test_whole_documents_are_packed_gapless(spark):
             assert o == at
             at += n
         assert at <= 1024
-    enc = packing.tokenizer("byte_bpe_50k.json").encode
+    enc = packing.tokenizer().encode
     for d in docs.where("doc_id in (5, 6, 8)").collect():
         ids = b"".join(bytes(r.ids) for r in sorted((r for r in out if r.doc_id == d.doc_id), key=lambda r: r.piece))
         assert np.frombuffer(ids, "<u4").tolist() == [*enc(d.text), 2]

@@ -27,7 +27,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert set(rows[3]) <= {r.component_id for r in classes}  # more go by the words that texts share
     model, thresholds = pii.trained()
     assert rows[4] == {d: pii.redact(t, pii.find_spans(t, model, thresholds)[1]) for d, t in rows[3].items()}
-    enc = packing.tokenizer("byte_bpe_50k.json").encode
+    enc = packing.tokenizer().encode
     assert sum(r.length for r in seen[-1].collect()) == sum(len(enc(t)) + 1 for t in rows[4].values())
 
 
