@@ -402,8 +402,3 @@ def x09_neighbourhood(spark, sf):
 def g15_tiered_map(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", F.lit("full").alias("a"), F.col("n_chars").alias("ca"), F.lit("half").alias("b"), F.expr("n_chars div 2").alias("cb"), F.lit("brief").alias("c"), F.expr("n_chars div 10").alias("cc"))
     return derive.tiered_choice(d, [("a", "ca"), ("b", "cb"), ("c", "cc")], 400, "name").select("doc_id", "choice")
-
-
-@query("SELECT p_partkey // 10 AS file, count(*) AS functions, p_partkey // 100 AS dir FROM part GROUP BY 1, 3")
-def w21_rollup(spark, sf):
-    return t(spark, sf, "part").groupBy(F.expr("p_partkey div 10").alias("file"), F.expr("p_partkey div 100").alias("dir")).agg(F.count("*").alias("functions"))

@@ -329,12 +329,6 @@ def g13_tree_flatten(spark, sf):
     return graph.tree_order(x).select("id", "depth")
 
 
-@query(f"""WITH {CALLS}, back AS (SELECT caller, callee FROM calls WHERE callee > caller) SELECT callee AS node, count(*) AS n FROM (SELECT * FROM calls EXCEPT SELECT * FROM back) GROUP BY callee""")
-def e18_forward_in_degree(spark, sf):
-    c = calls(spark, sf)
-    return c.join(c.where("callee > caller"), ["caller", "callee"], "left_anti").groupBy(F.col("callee").alias("node")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {CALLS}, o AS (SELECT caller AS node, count(*) AS outs FROM calls GROUP BY 1), i AS (SELECT callee AS node, count(*) AS ins FROM calls GROUP BY 1) SELECT p_partkey AS node, coalesce(outs, 0) = 1 AND coalesce(ins, 0) = 1 AS linear FROM part LEFT JOIN o ON o.node = p_partkey LEFT JOIN i ON i.node = p_partkey""")
 def g11_linear_chain(spark, sf):
     c = calls(spark, sf)

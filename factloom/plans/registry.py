@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import derive_queries, incremental_queries, inputs, report_queries, service_queries, source_queries, text_queries  # noqa: F401
+from factloom.plans import derive_queries, document_queries, incremental_queries, inputs, report_queries, service_queries, source_queries, text_queries  # noqa: F401
 
 
 def flagship(spark, sf_dir):

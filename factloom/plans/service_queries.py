@@ -56,26 +56,6 @@ def c20_file_kinds(spark, sf):
     return f.select("file", F.col("file").rlike(r"\.(h|hh|hpp|hxx)$").alias("is_header"), F.col("file").rlike(r"\.(cpp|cc|cxx)$").alias("is_tu"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type = '' THEN '-' ELSE p_type END || ' ' || p_name || '; ' || p_brand AS row8 FROM part")
-def c22_interface_row(spark, sf):
-    from factloom.functions.keys import or_default
-
-    params = F.array_join(F.transform(F.array("p_name", "p_brand"), lambda x: x), "; ")
-    return t(spark, sf, "part").select("p_partkey", F.concat_ws(" ", or_default(F.col("p_type"), "-"), params).alias("row8"))
-
-
-@query("SELECT conv_id, turn, role || ':' || part AS block, CAST(pos - 1 AS INTEGER) AS pos FROM (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations)")
-def c24_section_blocks(spark, sf):
-    c = t(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("pos", "part"))
-    return c.select("conv_id", "turn", F.concat_ws(":", "role", "part").alias("block"), "pos")
-
-
-@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'Interface table' WHEN p_size < 20 THEN 'Unit diagram' WHEN p_size < 30 THEN 'Flowchart' ELSE 'Section' END AS label FROM part")
-def c25_artifact_label(spark, sf):
-    s = F.col("p_size")
-    return t(spark, sf, "part").select("p_partkey", F.when(s < 10, "Interface table").when(s < 20, "Unit diagram").when(s < 30, "Flowchart").otherwise("Section").alias("label"))
-
-
 @query("SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE lower(replace(n_name, ' ', '-')) IN (SELECT lower(replace(n_name, ' ', '-')) FROM nation WHERE n_regionkey < 2)")
 def c05_c06_component_filter(spark, sf):
     norm = F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("c")
@@ -296,14 +276,6 @@ def w13_w15_mermaid_text(spark, sf):
     return m.select("component", F.concat(F.lit("graph TD\n"), F.array_join(F.transform("m", lambda x: x["l"]), "\n")).alias("mermaid"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'empty' WHEN p_size % 3 = 1 THEN 'prefix' ELSE 'quotes' END AS issue FROM part")
-def w16_mermaid_validation(spark, sf):
-    k = F.col("p_size") % 3
-    text = F.when(k == 0, "  ").when(k == 1, "A-->B").otherwise('graph TD\n A["x]')
-    issue = F.when(F.trim("m") == "", "empty").when(~F.trim("m").rlike("^(graph|flowchart)\\b"), "prefix").when(F.regexp_count("m", F.lit('"')) % 2 == 1, "quotes")
-    return t(spark, sf, "part").withColumn("m", text).select("p_partkey", issue.alias("issue"))
-
-
 @query("SELECT DISTINCT p_brand || '/' || p_size AS path FROM part")
 def w20_component_paths(spark, sf):
     from factloom.operators.derive import first_wins
@@ -312,13 +284,6 @@ def w20_component_paths(spark, sf):
     return first_wins(p, ["path"], ["p_partkey"]).select("path")
 
 
-@query("SELECT r_name AS section, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) AS body FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'Introduction', 'Purpose'")
-def w11_w12_w14_section_rows(spark, sf):
-    n = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = n.groupBy(F.col("r_name").alias("section")).agg(F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("body"))
-    return rows.unionByName(spark.createDataFrame([("Introduction", "Purpose")], "section string, body string"))
-
-
 @query("SELECT user_id, count(*) AS n_lines, max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END) AS phase, greatest(1, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT)) AS duration, (4 - max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END)) * 120 AS eta FROM events GROUP BY user_id")
 def n02_phase_state(spark, sf):
     from factloom.streaming.progress import job_state

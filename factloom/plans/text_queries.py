@@ -307,7 +307,7 @@ def s14_s16_s17_conditions(spark, sf):
 
 @query("""WITH p AS (SELECT *, p_size % 3 AS k FROM part)
 SELECT p_partkey, 'a.h' || CASE WHEN k = 0 THEN ',b.h' WHEN p_size % 2 = 0 THEN ',c.h' ELSE ',d.h' END AS includes, CASE k WHEN 0 THEN 'private' WHEN 1 THEN 'public' ELSE 'default' END AS visibility,
-  'does ' || p_name AS comment, CASE WHEN p_size % 2 = 0 THEN '13:3,13:13' ELSE '13:3' END AS asserts, 'int f() {' || chr(10) || '  assert(x);' || CASE WHEN p_size % 2 = 0 THEN ' ASSERT (y);' ELSE '' END || chr(10) || '}' AS snippet,
+  'does ' || p_name AS comment, CASE WHEN p_size % 2 = 0 THEN '13:3,13:14' ELSE '13:3' END AS asserts, 'int f() {' || chr(10) || '  assert(x);' || CASE WHEN p_size % 2 = 0 THEN ' ASSERT (y);' ELSE '' END || chr(10) || '}' AS snippet,
   'size ' || p_size AS inline FROM p""")
 def s12_s13_s19_a12_x05_lexers(spark, sf):
     s = F.col("p_size")
