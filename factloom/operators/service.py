@@ -66,9 +66,16 @@ def update_where(table: DataFrame, condition: Column, values: dict[str, Column])
     return table.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+#: Users that documents may be assigned to at once.
+MOST_USERS = 1000
+
+
 def all_pairs_assign(assignments: DataFrame, docs: DataFrame, users: DataFrame) -> DataFrame:
-    """Plain append of every document with every user of a stated, short list; repeats are kept."""
-    return assignments.unionByName(docs.select("doc_id").crossJoin(F.broadcast(users.select("user_id"))))
+    """Plain append of every document with every user of a stated list; repeats are kept. The list may have MOST_USERS rows: it is
+    sent to every task, and a longer one is an error rather than a flood of rows."""
+    if users.limit(MOST_USERS + 1).count() > MOST_USERS:
+        raise ValueError(f"more than {MOST_USERS} users")
+    return assignments.unionByName(docs.select("doc_id").crossJoin(F.broadcast(users.select("user_id").limit(MOST_USERS))))
 
 
 def replace_partition(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -207,10 +207,10 @@ def d23_typedef_target(spark, sf):
     return t(spark, sf, "part").join(n, "p_size", "left").select("p_partkey", F.coalesce("n_name", F.lit("")).alias("enum_name"))
 
 
-@query("""SELECT s_suppkey AS unit, 'g' || p_partkey AS entry FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100 WHERE p_size < 5 UNION SELECT s_suppkey, 'd' || n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+@query("""SELECT s_suppkey AS unit, 'g' || p_partkey AS entry FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100 UNION SELECT s_suppkey, 'd' || n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def d24_unit_headers(spark, sf):
     s = t(spark, sf, "supplier").withColumn("stem", keys.stem(F.concat(F.lit("src/"), F.col("s_suppkey") % 100, F.lit(".h"))))
-    g = t(spark, sf, "part").where("p_size < 5").select(F.concat(F.lit("g"), "p_partkey").alias("entry"), keys.stem(F.concat(F.lit("src/"), F.col("p_partkey") % 100, F.lit(".cpp"))).alias("stem"))
+    g = t(spark, sf, "part").select(F.concat(F.lit("g"), "p_partkey").alias("entry"), keys.stem(F.concat(F.lit("src/"), F.col("p_partkey") % 100, F.lit(".cpp"))).alias("stem"))
     d = t(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.concat(F.lit("d"), "n_nationkey").alias("entry"))
     return s.join(g, "stem").select(F.col("s_suppkey").alias("unit"), "entry").union(s.join(d, "s_nationkey").select("s_suppkey", "entry")).distinct()
 
@@ -280,25 +280,16 @@ def d47_shared_identifiers(spark, sf):
     return w.groupBy("conv_id", "word").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-REFS = """r AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6) WHEN 1 THEN 'v' || o_orderkey WHEN 2 THEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) ELSE 'zz' END AS ref FROM orders WHERE o_orderkey < 800),
+REFS = """r AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6) WHEN 1 THEN 'v' || o_orderkey WHEN 2 THEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) ELSE 'zz' END AS ref FROM orders),
 c AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, md5(CAST(o_orderkey AS VARCHAR)) AS sha, 'v' || o_orderkey AS tag, o_orderkey AS ord FROM orders)"""
 
 
-@query(f"WITH {REFS}, d AS (SELECT DISTINCT ref FROM r) SELECT ref, (SELECT arg_min(id, ord) FROM c WHERE id = ref OR tag = ref OR starts_with(sha, ref)) AS id FROM d")
+@query(f"""WITH {REFS}, d AS (SELECT DISTINCT ref FROM r), m AS (SELECT ref, id, ord FROM d JOIN c ON id = ref UNION ALL SELECT ref, id, ord FROM d JOIN c ON tag = ref UNION ALL SELECT ref, id, ord FROM d JOIN c ON substr(sha, 1, 6) = ref UNION ALL SELECT ref, id, ord FROM d JOIN c ON substr(sha, 1, 2) = ref)
+SELECT ref, arg_min(id, ord) AS id FROM d LEFT JOIN m USING (ref) GROUP BY ref""")
 def d36_resolve_ref(spark, sf):
-    return _resolved_refs(spark, sf, F.col("o_orderkey") < 800)
-
-
-@query()
-def d36_resolve_ref_whole(spark, sf):
-    """References of all orders."""
-    return _resolved_refs(spark, sf, F.lit(True))
-
-
-def _resolved_refs(spark, sf, wanted):
     o = t(spark, sf, "orders")
     h, k = F.md5(F.col("o_orderkey").cast("string")), F.col("o_orderkey") % 4
-    refs = o.where(wanted).select(F.when(k == 0, F.substring(h, 1, 6)).when(k == 1, F.concat(F.lit("v"), "o_orderkey")).when(k == 2, F.substring(h, 1, 2)).otherwise("zz").alias("ref")).distinct()
+    refs = o.select(F.when(k == 0, F.substring(h, 1, 6)).when(k == 1, F.concat(F.lit("v"), "o_orderkey")).when(k == 2, F.substring(h, 1, 2)).otherwise("zz").alias("ref")).distinct()
     c = o.select(F.col("o_orderkey").cast("string").alias("id"), h.alias("sha"), F.concat(F.lit("v"), "o_orderkey").alias("tag"), F.col("o_orderkey").alias("ord"))
     return derive.prefix_match(refs, c)
 
@@ -360,22 +351,12 @@ def i04_orphans(spark, sf):
     return p.join(valid, "p_partkey", "left_anti").join(F.broadcast(valid.select(F.lit(1).alias("some")).limit(1))).select("p_partkey")
 
 
-@query("""WITH w AS (SELECT p_partkey AS wid, 'n::' || p_name AS name, p_size AS line, p_size + 5 AS e FROM part WHERE p_partkey < 60), c AS (SELECT p_partkey AS cid, CASE WHEN p_partkey % 2 = 0 THEN 'n::' ELSE 'm::' END || p_name AS name, p_size + p_partkey % 3 AS line, p_size + 9 AS e, p_partkey % 5 = 0 AS d FROM part),
+@query("""WITH w AS (SELECT p_partkey AS wid, 'n::' || p_name AS name, p_size AS line, p_size + 5 AS e FROM part), c AS (SELECT p_partkey AS cid, CASE WHEN p_partkey % 2 = 0 THEN 'n::' ELSE 'm::' END || p_name AS name, p_size + p_partkey % 3 AS line, p_size + 9 AS e, p_partkey % 5 = 0 AS d FROM part),
 s AS (SELECT wid, cid, CASE WHEN w.name = c.name THEN 100 ELSE 40 END - abs(w.line - c.line) - least(abs(w.e - c.e), 20) + CASE WHEN d THEN 20 ELSE 0 END AS score FROM w JOIN c ON split_part(w.name, '::', 2) = split_part(c.name, '::', 2))
 SELECT wid, arg_max(cid, score * 1000000 - cid) AS cid, max(score) AS score FROM s GROUP BY wid""")
 def x01_record_linkage(spark, sf):
-    return _linked_parts(spark, sf, F.col("p_partkey") < 60)
-
-
-@query()
-def x01_record_linkage_whole(spark, sf):
-    """All parts linked."""
-    return _linked_parts(spark, sf, F.lit(True))
-
-
-def _linked_parts(spark, sf, wanted):
     p = t(spark, sf, "part")
-    w = p.where(wanted).selectExpr("p_partkey AS wid", "concat('n::', p_name) AS name", "p_size AS line", "p_size + 5 AS end_line")
+    w = p.selectExpr("p_partkey AS wid", "concat('n::', p_name) AS name", "p_size AS line", "p_size + 5 AS end_line")
     c = p.selectExpr("p_partkey AS cid", "concat(CASE WHEN p_partkey % 2 = 0 THEN 'n::' ELSE 'm::' END, p_name) AS name", "p_size + p_partkey % 3 AS line", "p_size + 9 AS end_line", "p_partkey % 5 = 0 AS is_def")
     return derive.link_records(w, c).select("wid", "cid", "score")
 

@@ -235,10 +235,10 @@ def d45_w02_insert_missing(spark, sf):
     return service.insert_missing(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"])
 
 
-@query("SELECT o_orderkey AS doc_id, r_regionkey AS user_id FROM orders, region WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 20 = 0")
+@query("SELECT o_orderkey AS doc_id, r_regionkey AS user_id FROM orders, region UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderstatus = 'F'")
 def d46_w06_batch_assign(spark, sf):
-    o, r = t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), t(spark, sf, "region").select(F.col("r_regionkey").alias("user_id"))
-    return service.all_pairs_assign(o.where("doc_id % 20 = 0").withColumn("user_id", F.lit(0)), o.where("doc_id % 10 = 0"), r)
+    o, r = t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus"), t(spark, sf, "region").select(F.col("r_regionkey").alias("user_id"))
+    return service.all_pairs_assign(o.where("o_orderstatus = 'F'").select("doc_id", F.lit(0).cast("long").alias("user_id")), o, r)
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 6 <> 0 UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderkey % 6 = 0")

@@ -136,11 +136,11 @@ def b11_report_lines(spark, sf):
     return spark.read.text(folder)
 
 
-@query("SELECT v AS version_id, count(*) AS n FROM part, (VALUES ('v1'), ('v2')) x(v) WHERE p_size < 5 GROUP BY 1")
+@query("SELECT v AS version_id, count(*) AS n FROM part, (VALUES ('v1'), ('v2')) x(v) GROUP BY 1")
 def b09_b15_version_capture(spark, sf):
     """Artefacts captured under a version, and a snapshot copied to another."""
     folder = _folder(spark, "artefacts")
-    sinks.write_version(t(spark, sf, "part").where("p_size < 5").select("p_partkey"), folder, "v1")
+    sinks.write_version(t(spark, sf, "part").select("p_partkey"), folder, "v1")
     sinks.copy_version(spark, folder, "v1", "v2")
     return spark.read.parquet(folder).groupBy("version_id").agg(F.count("*").alias("n"))
 

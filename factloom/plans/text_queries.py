@@ -63,7 +63,8 @@ def s21_s22_s23_budgets(spark, sf):
     return t(spark, sf, "documents").select("doc_id", tx.token_count(F.col("text")).alias("tokens"), tx.budget_split(n, {"code": 0.25}, 0.1)["code"].alias("share"), tx.line_count(F.col("text")).alias("lines"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents), l AS (SELECT doc_id, length(unnest(parts)) AS n, generate_subscripts(parts, 1) AS pos FROM p),
+e AS (SELECT doc_id, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS e FROM l) SELECT doc_id, CAST(coalesce(max(e) FILTER (WHERE e < 350), 0) AS INTEGER) AS kept FROM e GROUP BY doc_id""")
 def s21_truncate_to_budget(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.char_length(tx.truncate_to_budget(F.col("text"), 100)).alias("kept"))
 
@@ -249,26 +250,37 @@ def b13_render_cache(spark, sf):
 
 
 # ---- sequential -----------------------------------------------------------------------------------------------------
-@query()
+@query("""WITH RECURSIVE r AS (SELECT conv_id AS grp, turn AS ord, len(string_split(text, chr(10))) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+w AS (SELECT grp, k, ord, 0 AS seg, 1 AS c, n AS lines FROM r WHERE k = 1 UNION ALL SELECT r.grp, r.k, r.ord, w.seg + CASE WHEN w.c >= 5 OR w.lines + r.n > 10 THEN 1 ELSE 0 END, CASE WHEN w.c >= 5 OR w.lines + r.n > 10 THEN 1 ELSE w.c + 1 END,
+  CASE WHEN w.c >= 5 OR w.lines + r.n > 10 THEN r.n ELSE w.lines + r.n END FROM w JOIN r ON r.grp = w.grp AND r.k = w.k + 1) SELECT grp, CAST(seg AS BIGINT) AS segment, min(ord) AS first_ord, count(*) AS n FROM w GROUP BY grp, seg""")
 def f08_segments(spark, sf):
     rows = t(spark, sf, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("ord"), F.size(F.split("text", "\n")).alias("n_lines"))
     return sequential.segment_statements(rows)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT conv_id AS grp, turn AS ord, turn % 3 > 1 AS merge_point, turn % 4 = 0 AS branch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+w AS (SELECT grp, k, ord, branch, 0 AS b, 1 AS c FROM r WHERE k = 1 UNION ALL SELECT r.grp, r.k, r.ord, r.branch, w.b + CASE WHEN w.branch OR r.merge_point OR w.c >= 8 THEN 1 ELSE 0 END, CASE WHEN w.branch OR r.merge_point OR w.c >= 8 THEN 1 ELSE w.c + 1 END FROM w JOIN r ON r.grp = w.grp AND r.k = w.k + 1),
+z AS (SELECT grp, b, count(*) AS c FROM w GROUP BY grp, b),
+m AS (SELECT grp, b, c, 0 AS batch FROM z WHERE b = 0 UNION ALL SELECT z.grp, z.b, CASE WHEN z.c = 1 AND m.c < 8 THEN m.c + 1 ELSE z.c END, m.batch + CASE WHEN z.c = 1 AND m.c < 8 THEN 0 ELSE 1 END FROM m JOIN z ON z.grp = m.grp AND z.b = m.b + 1)
+SELECT w.grp, w.ord, CAST(m.batch AS BIGINT) AS batch FROM w JOIN m ON m.grp = w.grp AND m.b = w.b""")
 def f09_region_batches(spark, sf):
     rows = t(spark, sf, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("ord"), (F.col("turn") % 3).alias("in_degree"), (F.col("turn") % 4 == 0).alias("is_branch"))
     return sequential.region_batches(rows)
 
 
-@query()
+@query("""WITH i AS (SELECT conv_id AS grp, turn AS id, turn % 3 AS priority, [length(text), length(text) // 2, length(text) // 4, length(text) // 8, length(text) // 16] AS c FROM conversations),
+total AS (SELECT grp, sum(c[1]) AS total FROM i GROUP BY grp),
+steps AS (SELECT grp, id, priority, lvl, CASE WHEN lvl < 5 THEN c[lvl] - c[lvl + 1] ELSE c[5] END AS saved FROM i, (VALUES (1), (2), (3), (4), (5)) x(lvl)),
+run AS (SELECT *, coalesce(sum(saved) OVER (PARTITION BY grp ORDER BY lvl, priority, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM steps)
+SELECT i.grp, i.id, CAST(coalesce((SELECT CASE WHEN max(lvl) = 5 THEN -1 ELSE max(lvl) END FROM run JOIN total USING (grp) WHERE run.grp = i.grp AND run.id = i.id AND total - before > 500), 0) AS BIGINT) AS level FROM i""")
 def f12_fit_ladder(spark, sf):
     n = F.char_length("text")
     rows = t(spark, sf, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("id"), (F.col("turn") % 3).alias("priority"), n.alias("c0"), (n / 2).cast("int").alias("c1"), (n / 4).cast("int").alias("c2"), (n / 8).cast("int").alias("c3"), (n / 16).cast("int").alias("c4"))
     return sequential.fit_ladder(rows, 500)
 
 
-@query()
+@query("""WITH y AS (SELECT user_id AS grp, event_id % 1000 AS y FROM events), k AS (SELECT DISTINCT grp, ideal FROM y, (VALUES (250), (500), (750)) x(ideal))
+SELECT k.grp, CAST(coalesce(arg_min(y.y, abs(y.y - ideal) * 1000 + y.y), ideal) AS BIGINT) AS cut FROM k LEFT JOIN y ON y.grp = k.grp AND abs(y.y - ideal) <= 37.5 GROUP BY k.grp, ideal""")
 def f13_snapped_cuts(spark, sf):
     rows = t(spark, sf, "events").select(F.col("user_id").alias("grp"), (F.col("event_id") % 1000).alias("y"), F.lit(1000).alias("height"))
     return sequential.snapped_cuts(rows, 4)

@@ -8,7 +8,7 @@ import os
 
 import duckdb
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
