@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from factloom.functions import keys
-from factloom.operators import derive
+from factloom.operators import catalog, derive
 from factloom.plans.inputs import ACCESS, CALLS, FUNCTIONS, access, calls, functions, query, t
 
 MEMBERS = "members AS (SELECT fid, unit FROM functions)"
@@ -301,18 +301,18 @@ def e11_kind_counts(spark, sf):
 
 @query("SELECT p_brand, CASE WHEN min(v) IS NULL THEN 'NA' ELSE min(v) || '-' || max(v) END AS range FROM (SELECT p_brand, CASE WHEN p_size % 3 = 0 THEN p_size END AS v FROM part) GROUP BY p_brand")
 def e10_enum_range(spark, sf):
-    p = t(spark, sf, "part").groupBy("p_brand").agg(F.min(F.when(F.col("p_size") % 3 == 0, F.col("p_size"))).alias("a"), F.max(F.when(F.col("p_size") % 3 == 0, F.col("p_size"))).alias("b"))
-    return p.select("p_brand", F.coalesce(F.concat("a", F.lit("-"), "b"), F.lit("NA")).alias("range"))
+    p = t(spark, sf, "part").groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") % 3 == 0, F.col("p_size"))).alias("v"))
+    return p.select("p_brand", catalog.value_range(F.col("v")).alias("range"))
 
 
 @query("SELECT count(DISTINCT p_brand) AS components, count(DISTINCT p_partkey % 97) AS units, count(*) AS functions FROM part")
 def e16_unit_component_counts(spark, sf):
-    return functions(spark, sf).agg(F.count_distinct("component").alias("components"), F.count_distinct("unit").alias("units"), F.count("*").alias("functions"))
+    return catalog.counted(functions(spark, sf), [], {"components": "component", "units": "unit"}, "functions")
 
 
 @query("SELECT p_brand AS component, count(DISTINCT p_partkey // 10) AS files, count(*) AS functions FROM part GROUP BY p_brand")
 def e17_files_per_component(spark, sf):
-    return functions(spark, sf).groupBy("component").agg(F.count_distinct("file").alias("files"), F.count("*").alias("functions"))
+    return catalog.counted(functions(spark, sf), ["component"], {"files": "file"}, "functions")
 
 
 @query("SELECT CAST(sum(n) AS BIGINT) AS edges, count(*) AS tus FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey)")
@@ -361,13 +361,22 @@ def x01_record_linkage(spark, sf):
     return derive.link_records(w, c).select("wid", "cid", "score")
 
 
-@query("SELECT p_partkey, coalesce(a.s, b.s, c.s, '') AS summary FROM part LEFT JOIN (SELECT n_nationkey AS k, n_name AS s FROM nation WHERE n_nationkey % 2 = 0) a ON a.k = p_size LEFT JOIN (SELECT n_nationkey AS k, 'dir ' || n_name AS s FROM nation WHERE n_nationkey % 3 = 0) b ON b.k = p_size LEFT JOIN (SELECT r_regionkey AS k, r_name AS s FROM region) c ON c.k = p_size % 10")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'file ' || p_size WHEN p_size % 2 = 0 THEN 'dir' WHEN p_size % 5 > 0 THEN 'top ' || p_size % 5 ELSE '' END AS summary,
+  CASE WHEN p_size % 3 = 0 THEN 'q' || p_size WHEN p_size % 4 = 1 THEN 'q' || (p_size // 4 * 4 + 4) END AS said FROM (SELECT *, p_size // 4 * 4 + 4 AS nxt FROM part)""")
 def x02_x03_hierarchy_lookup(spark, sf):
-    p, n = t(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_size") % 10).alias("k")), t(spark, sf, "nation")
-    a = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("p_size"), F.col("n_name").alias("a"))
-    b = n.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("p_size"), F.concat(F.lit("dir "), "n_name").alias("b"))
-    c = t(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("c"))
-    return p.join(a, "p_size", "left").join(b, "p_size", "left").join(c, "k", "left").select("p_partkey", F.coalesce("a", "b", "c", F.lit("")).alias("summary"))
+    s = F.col("p_size")
+    file = F.concat(F.lit("top"), s % 5, F.lit("/dir"), s % 2, F.lit("/f"), s)
+    p = t(spark, sf, "part").select("p_partkey", "p_size", file.alias("file"))
+    known = p.where("p_size % 3 = 0").select(F.col("file").alias("path"), F.concat(F.lit("file "), "p_size").alias("said")).distinct()
+    known = known.unionByName(p.where("p_size % 2 = 0").select(F.regexp_replace("file", "/[^/]*$", "").alias("path"), F.lit("dir").alias("said")).distinct())
+    known = known.unionByName(p.where("p_size % 5 > 0").select(F.regexp_extract("file", "^[^/]*", 0).alias("path"), F.concat(F.lit("top "), F.col("p_size") % 5).alias("said")).distinct())
+    # names: the qualified one is known for every third size, and under another scope the short one of some others
+    names = p.select(F.concat(F.lit("a::n"), "p_size").alias("name")).distinct()
+    sizes = spark.range(1, 101)
+    said = sizes.where("id % 3 = 0").selectExpr("concat('a::n', id) AS name", "concat('q', id) AS said").unionByName(sizes.where("id % 4 = 1").selectExpr("concat('b::n', id) AS name", "concat('q', id div 4 * 4 + 4) AS said"))
+    named = catalog.by_name(names, said)
+    out = catalog.nearest_summary(p, known).withColumn("name", F.concat(F.lit("a::n"), "p_size")).join(named, "name")
+    return out.select("p_partkey", "summary", "said")
 
 
 @query(f"""WITH {FUNCTIONS}, {CALLS}, n AS (SELECT DISTINCT callee AS fid, 'callee' AS role FROM calls WHERE caller = 40 UNION SELECT caller, 'caller' FROM calls WHERE callee = 40 UNION SELECT fid, 'same file' FROM functions WHERE file = 'f4' AND fid <> 40)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import extensions
 from factloom.functions import keys
-from factloom.operators import derive, graph, incremental as inc
+from factloom.operators import catalog, derive, graph, incremental as inc
 from factloom.plans.inputs import ACCESS, CALLS, FUNCTIONS, access, calls, functions, query, t, versions
 from factloom.scratch import shared_dir
 from factloom.sources import readers, sinks
@@ -49,24 +49,28 @@ def w17_w18_diagram_plan(spark, sf):
     return all_units.join(hit, "unit", "left").join(stored, "unit", "left").select("unit", F.when(F.col("hit"), "regenerate").when(F.col("stored"), "carry").otherwise("skip").alias("action"))
 
 
-@query("SELECT o_custkey AS project, arg_min(o_orderkey, (o_orderkey * 7919) % 1009 * 10000000 + o_orderkey) AS baseline, 'nearest' AS reason FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+@query("""SELECT o_custkey AS project, arg_min(o_orderkey, (o_orderkey * 7919) % 1009 * 10000000 + o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS baseline, CASE WHEN count(*) FILTER (WHERE o_orderstatus <> 'P') > 0 THEN 'incremental' ELSE 'full' END AS decision FROM orders GROUP BY 1""")
 def w19_baseline_preview(spark, sf):
-    o = t(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("baseline"), ((F.col("o_orderkey") * 7919) % 1009).alias("distance"), F.col("o_orderkey").alias("ord"))
-    return inc.nearest_ancestor(o, "project", "baseline", "distance", "ord").withColumn("reason", F.lit("nearest"))
+    """Of each project: the nearest complete version, and what a run from it would be."""
+    from factloom.operators.documents import choose_baseline
 
+    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("baseline"), ((F.col("o_orderkey") * 7919) % 1009).alias("distance"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
+    near = o.select("project").distinct().join(inc.nearest_ancestor(o.where("o_orderstatus <> 'P'"), "project", "baseline", "distance", "ord"), "project", "left")
+    none = F.lit(None)
+    return near.withColumn("b", choose_baseline(F.col("baseline"), none.cast("long"), none.cast("string"), none.cast("boolean"))).select("project", F.col("b.base").alias("baseline"), "b.decision")
 
-@query("SELECT p_brand AS component, count(*) AS actions, count(*) >= 6 AS may_simplify FROM part WHERE p_size % 3 = 0 GROUP BY 1")
+
+@query("""SELECT p_brand AS grp, count(*) FILTER (WHERE p_size % 3 = 0) AS actions, count(*) FILTER (WHERE p_size % 3 = 0) >= 6 AS may_simplify FROM part GROUP BY 1""")
 def x11_simplify_guard(spark, sf):
-    return t(spark, sf, "part").where("p_size % 3 = 0").groupBy(F.col("p_brand").alias("component")).agg(F.count("*").alias("actions")).withColumn("may_simplify", F.col("actions") >= 6)
+    kinds = F.when(F.col("p_size") % 3 == 0, "ACTION").otherwise("DECISION")
+    return catalog.may_simplify(t(spark, sf, "part").select(F.col("p_brand").alias("grp"), kinds.alias("type")))
 
 
 @query("SELECT l_orderkey, string_agg(callee, ',' ORDER BY first) AS calls FROM (SELECT l_orderkey, 'f' || l_partkey AS callee, min(l_linenumber * 1000000 + l_partkey) AS first FROM lineitem WHERE NOT starts_with('f' || l_partkey, 'f1') GROUP BY 1, 2) GROUP BY 1")
 def x15_project_calls(spark, sf):
     """Calls in order of first sight without repeats, library prefixes left out."""
-    li = t(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("f"), "l_partkey").alias("callee"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"))
-    first = li.where(~F.col("callee").startswith("f1")).groupBy("l_orderkey", "callee").agg(F.min("ord").alias("first"))
-    m = first.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("first", "callee"))).alias("m"))
-    return m.select("l_orderkey", F.array_join(F.transform("m", lambda x: x["callee"]), ",").alias("calls"))
+    li = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fid"), F.concat(F.lit("f"), "l_partkey").alias("callee"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"))
+    return catalog.project_calls(li, ["f1"]).select(F.col("fid").alias("l_orderkey"), F.array_join("callees", ",").alias("calls"))
 
 
 @query("SELECT p_brand AS component, string_agg(path, ',' ORDER BY path) AS paths, count(*) AS n FROM (SELECT DISTINCT p_brand, 'src/' || p_size AS path FROM part) GROUP BY 1")
@@ -160,3 +164,13 @@ def a20b_git_log(spark, sf):
     o = t(spark, sf, "orders")
     line = F.concat_ws("\x1f", F.md5("o_orderstatus"), F.lit("a"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderkey").cast("string"))
     return readers.parse_log(o.select(line.alias("value"))).select(F.col("message").cast("long").alias("o_orderkey"), "sha", "author", F.unix_timestamp("committed_at").alias("at"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'd' || p_size END AS diagram FROM part")
+def w18_stored_diagram(spark, sf):
+    """A unit's diagram in an earlier version, of several the last."""
+    wanted = t(spark, sf, "part").select("p_partkey", F.lit("v1").alias("version"), F.concat(F.lit("u"), "p_size").alias("unit"))
+    sizes = spark.range(1, 101)
+    stored = sizes.where("id % 3 <> 0").selectExpr("'v1' AS version", "concat('u', id) AS unit", "concat('d', id) AS diagram", "2 AS ord")
+    stored = stored.unionByName(sizes.selectExpr("CASE WHEN id % 3 = 0 THEN 'v2' ELSE 'v1' END AS version", "concat('u', id) AS unit", "'old' AS diagram", "1 AS ord"))
+    return catalog.stored_diagram(wanted, stored).select("p_partkey", "diagram")

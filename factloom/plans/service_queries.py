@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from factloom.operators import diff, service
+from factloom.operators import catalog, diff, service
 from factloom.plans.inputs import query, t
 
 
@@ -21,13 +21,14 @@ def c12_c13_search(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority = '1-URGENT' AND contains(CAST(o_custkey AS VARCHAR), '7')")
 def c14_c15_client_filter(spark, sf):
-    return t(spark, sf, "orders").where(F.col("o_orderstatus").isin("O", "P") & (F.col("o_orderpriority") == "1-URGENT") & F.contains(F.col("o_custkey").cast("string"), F.lit("7"))).select("o_orderkey")
+    o = t(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status")
+    return catalog.chosen_documents(o, {"o_orderpriority": "1-URGENT", "o_clerk": None}, ("O", "P"), {"o_custkey": "7"}).select("o_orderkey")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END IS NULL")
 def c16_unread(spark, sf):
     e = t(spark, sf, "events").withColumn("read_at", F.when(F.col("event_id") % 3 != 0, F.col("ts")))
-    return e.where((F.col("event_type") == "click") & F.col("read_at").isNull()).select("event_id")
+    return catalog.unread(e, F.col("event_type") == "click").select("event_id")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
@@ -36,10 +37,10 @@ def c18_d27_membership(spark, sf):
     return t(spark, sf, "supplier").join(n, "s_nationkey", "left_semi").select("s_suppkey", "s_name")
 
 
-@query("SELECT c_custkey, list_sort(map_keys(m)) [1] AS k, len(map_keys(m)) AS n FROM (SELECT c_custkey, MAP {'name': c_name} AS m FROM customer)")
+@query("""SELECT c_custkey, 'name' AS k, CAST(1 + c_custkey % 2 AS BIGINT) AS n FROM customer""")
 def c17_secret_redaction(spark, sf):
-    m = F.create_map(F.lit("name"), F.col("c_name"), F.lit("token"), F.lit("x"))
-    safe = F.map_filter(m, lambda k, v: k != "token")
+    m = F.create_map(F.lit("name"), F.col("c_name"), F.concat(F.lit("token"), F.col("c_custkey") % 2), F.lit("x"))
+    safe = catalog.without_secrets(m, ("token0",))
     return t(spark, sf, "customer").select("c_custkey", F.array_sort(F.map_keys(safe))[0].alias("k"), F.size(safe).cast("long").alias("n"))
 
 
@@ -53,15 +54,16 @@ def c19_throttle(spark, sf):
 def c20_file_kinds(spark, sf):
     k = F.col("p_partkey") % 4
     f = t(spark, sf, "part").select(F.concat(F.lit("f"), "p_partkey", F.when(k == 0, ".cpp").when(k == 1, ".h").when(k == 2, ".hpp").otherwise(".txt")).alias("file"))
-    return f.select("file", F.col("file").rlike(r"\.(h|hh|hpp|hxx)$").alias("is_header"), F.col("file").rlike(r"\.(cpp|cc|cxx)$").alias("is_tu"))
+    return f.select("file", catalog.is_header(F.col("file")).alias("is_header"), catalog.is_unit(F.col("file")).alias("is_tu"))
 
 
 @query("SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE lower(replace(n_name, ' ', '-')) IN (SELECT lower(replace(n_name, ' ', '-')) FROM nation WHERE n_regionkey < 2)")
 def c05_c06_component_filter(spark, sf):
-    norm = F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("c")
     n = t(spark, sf, "nation")
-    allowed = n.where("n_regionkey < 2").select(norm)
-    return t(spark, sf, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).withColumn("c", norm).join(allowed, "c", "left_semi").select("s_suppkey")
+    layers = n.select(F.concat(F.lit("Layer "), "n_regionkey").alias("layer"), F.col("n_name").alias("component"))
+    allowed = catalog.components_in(layers, "layer 0").unionByName(catalog.components_in(layers, "LAYER-1"))
+    s = t(spark, sf, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"))
+    return catalog.of_components(s, "n_name", allowed).select("s_suppkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_size % 2 = 1 AND p_brand IN (SELECT p_brand FROM part WHERE p_size = 1)")
@@ -75,12 +77,14 @@ def c08_external_unit(spark, sf):
     p = t(spark, sf, "part")
     li = t(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey").distinct()
     x = li.join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("b")), "l_partkey").join(p.select(F.col("p_partkey").alias("l_orderkey"), F.col("p_brand").alias("own")), "l_orderkey")
-    return x.select("l_orderkey", "l_partkey", (~F.col("b").isin("Brand#1", "Brand#2") | (F.col("b") != F.col("own"))).alias("external"))
+    return x.select("l_orderkey", "l_partkey", catalog.is_external(F.col("b"), F.col("own"), ["Brand#1", "Brand#2"]).alias("external"))
 
 
-@query("SELECT p_partkey FROM part WHERE NOT (p_size % 4 = 0 AND regexp_matches(upper(p_name), '(_H|GREEN)'))")
+@query("""SELECT p_partkey FROM part WHERE NOT (p_size % 4 = 0 AND p_size % 3 = 0)""")
 def c10_include_guards(spark, sf):
-    return t(spark, sf, "part").where(~((F.col("p_size") % 4 == 0) & F.upper("p_name").rlike("(_H|GREEN)"))).select("p_partkey")
+    s = F.col("p_size")
+    d = t(spark, sf, "part").select("p_partkey", F.concat(F.lit("FILE"), s, F.when(s % 3 == 0, "_H_").otherwise("_HIGH")).alias("name"), F.when(s % 4 == 0, " ").otherwise("1").alias("value"))
+    return catalog.without_guards(d).select("p_partkey")
 
 
 @query("SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'draft') AS draft FROM orders GROUP BY o_custkey")
@@ -104,10 +108,12 @@ def e13_latest(spark, sf):
     return service.latest(t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT coalesce(nullif(lang, 'xx'), 'Other') AS layer, count(*) AS n, CAST(floor(100.0 * count(*) FILTER (WHERE n_chars > 1000) / count(*) + 0.5) AS BIGINT) AS percent FROM documents GROUP BY 1")
+@query("""SELECT layer, CASE layer WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END AS place, n, percent FROM (SELECT coalesce(nullif(lang, ''), 'Other') AS layer, count(*) AS n, CAST(floor(100.0 * count(*) FILTER (WHERE n_chars > 1000) / count(*) + 0.5) AS BIGINT) AS percent FROM documents GROUP BY 1)""")
 def e22_e23_groups(spark, sf):
-    d = t(spark, sf, "documents").groupBy(F.coalesce(F.nullif("lang", F.lit("xx")), F.lit("Other")).alias("layer"))
-    return d.agg(F.count("*").alias("n"), F.floor(100.0 * F.count_if(F.col("n_chars") > 1000) / F.count("*") + 0.5).alias("percent"))
+    d = t(spark, sf, "documents").withColumnRenamed("lang", "layer")
+    long = catalog.in_order(d.where("n_chars > 1000"), "layer", ["fr", "en"], "Other").select("layer", F.col("n").alias("long"))
+    out = catalog.in_order(d, "layer", ["fr", "en"], "Other").join(long, "layer", "left")
+    return out.select("layer", "place", "n", catalog.percentage(F.coalesce("long", F.lit(0)), F.col("n")).alias("percent"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) THEN 'approved' ELSE o_orderstatus END AS status FROM orders")

@@ -79,14 +79,14 @@ def a16_j08_config(spark, sf):
     return spark.createDataFrame([("layers", len(shallow["layers"]), deep["x"]["y"], shallow["mode"])], "name string, n int, kept string, mode string")
 
 
-@query("SELECT n_name AS input, r_name AS output, 1 AS n_tags FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey <> 2")
+@query("""SELECT n_name AS input, r_name AS output, 2 AS n_tags FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey <> 2""")
 def a18_few_shot(spark, sf):
+    """Example files written to a folder and read by the reader; one without an output is left out."""
     folder = _folder(spark, "shots")
     n = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    rows = n.select(F.array("r_name").alias("tags"), F.col("n_name").alias("input"), F.when(F.col("n_regionkey") != 2, F.col("r_name")).alias("output"))
-    rows.coalesce(1).write.json(folder)
-    back = spark.read.schema("tags array<string>, input string, output string").json(folder).where("input is not null and output is not null")
-    return back.select("input", "output", F.size("tags").alias("n_tags"))
+    rows = n.select(F.array("r_name", "n_name").alias("tags"), F.col("n_name").alias("input"), F.when(F.col("n_regionkey") != 2, F.col("r_name")).alias("output"))
+    rows.repartition(5).write.json(folder)
+    return readers.few_shot(spark, folder, multi_line=False).select("input", "output", F.size("tags").alias("n_tags"))
 
 
 @query("SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 100, 'seed'")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.functions import keys, text as tx
-from factloom.operators import sequential
+from factloom.operators import catalog, sequential
 from factloom.plans.inputs import calls, query, t
 from factloom.scratch import shared_dir
 from factloom.sources import readers, sinks
@@ -156,17 +156,19 @@ def x08_detail_ladder(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.array_join(F.slice(F.split(full, "\n"), F.lit(1), 3 - k), "\n").alias("detail"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'p_2.png,p_10.png' ELSE 'p.png' END AS parts FROM part")
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'p_2.png,p_10.png,p_' || (p_size + 100) || '.png' WHEN 1 THEN 'p.png,p_' || p_size || '.png' ELSE 'p.png' END AS parts FROM part""")
 def x14_image_parts(spark, sf):
-    names = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("p_10.png"), F.lit("p_2.png"))).otherwise(F.array(F.lit("p.png")))
-    item = F.transform(names, lambda x: F.struct(F.coalesce(F.nullif(F.regexp_extract(x, r"_(\d+)\.png$", 1), F.lit("")).cast("int"), F.lit(0)).alias("n"), x.alias("x")))
-    return t(spark, sf, "part").select("p_partkey", F.array_join(F.transform(F.array_sort(item), lambda x: x["x"]), ",").alias("parts"))
+    k, n = F.col("p_size") % 3, F.col("p_size").cast("string")
+    names = F.when(k == 0, F.array(F.concat(F.lit("p_"), (F.col("p_size") + 100).cast("string"), F.lit(".png")), F.lit("p_10.png"), F.lit("p_2.png"))).when(k == 1, F.array(F.concat(F.lit("p_"), n, F.lit(".png")), F.lit("p.png"))).otherwise(F.array(F.lit("p.png")))
+    return t(spark, sf, "part").select("p_partkey", F.array_join(catalog.ordered_parts(names), ",").alias("parts"))
 
 
-@query("SELECT p_partkey, least(coalesce(CASE WHEN p_size % 3 = 0 THEN p_size * 1000 END, 8192), 32000) AS max_tokens, CASE WHEN p_size % 2 = 0 THEN 'layer=' || p_brand ELSE 'all' END AS scope FROM part")
+@query("""SELECT p_partkey, least(CASE WHEN p_size % 3 = 0 THEN p_size * 1000 ELSE 8192 END, 32000) AS max_tokens, CASE p_size % 4 WHEN 0 THEN '--layer ' || p_brand WHEN 1 THEN '--group ' || p_brand WHEN 2 THEN '--component ' || p_brand ELSE '--all' END AS scope FROM part""")
 def x22_x24_resolve_settings(spark, sf):
-    s = F.col("p_size")
-    return t(spark, sf, "part").select("p_partkey", F.least(F.coalesce(F.when(s % 3 == 0, s * 1000), F.lit(8192)), F.lit(32000)).alias("max_tokens"), F.when(s % 2 == 0, F.concat(F.lit("layer="), "p_brand")).otherwise("all").alias("scope"))
+    s, k = F.col("p_size"), F.col("p_size") % 4
+    explicit = F.when(s % 3 == 0, s * 1000).when(s % 3 == 1, -s)
+    kind = F.when(k == 0, "layer").when(k == 1, "group").when(k == 2, "component").otherwise("project")
+    return t(spark, sf, "part").select("p_partkey", catalog.token_window(explicit, 8192, 32000).alias("max_tokens"), F.array_join(catalog.scope_flags(kind, F.col("p_brand")), " ").alias("scope"))
 
 
 # ---- sources and sinks ----------------------------------------------------------------------------------------------

@@ -104,9 +104,9 @@ def abbreviations(lines: DataFrame) -> DataFrame:
     return parts.groupBy("abbrev").agg(F.max_by("meaning", "ord").alias("meaning"))
 
 
-def few_shot(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, tags, input, output): example files in order of name; those without input or output drop."""
-    df = spark.read.schema("tags array<string>, input string, output string").option("multiLine", True).json(folder)
+def few_shot(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+    """(file, tags, input, output): examples, a file (or, without multi_line, a line) each; those without input or output drop."""
+    df = spark.read.schema("tags array<string>, input string, output string").option("multiLine", multi_line).json(folder)
     return df.select(keys.stem(F.input_file_name()).alias("file"), "tags", "input", "output").where("input is not null and output is not null")
 
 
