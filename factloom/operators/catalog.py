@@ -156,3 +156,57 @@ def stored_diagram(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """wanted (version, unit) with the diagram stored for both, null where there is none. stored: version, unit, diagram, ord (last wins)."""
     last = stored.groupBy("version", "unit").agg(F.max_by("diagram", "ord").alias("diagram"))
     return wanted.join(last, ["version", "unit"], "left")
+
+
+def siblings(functions: DataFrame) -> DataFrame:
+    """(fid, file, n_siblings): each function with its class, the file, and how many functions of another name the file has. The siblings
+    themselves are the members of the class; they aren't written out, which would be the square of a file's size. functions: fid, file,
+    name."""
+    files = functions.groupBy("file").agg(F.count("*").alias("members"))
+    same = functions.groupBy("file", "name").agg(F.count("*").alias("same"))
+    return functions.join(files, "file").join(same, ["file", "name"]).select("fid", "file", (F.col("members") - F.col("same")).alias("n_siblings"))
+
+
+def names_of(ids: DataFrame, names: DataFrame) -> DataFrame:
+    """(owner, names, dangling): an array of the sorted names of each owner's ids, and how many of them nothing has. ids: owner, ids (array);
+    names: id, name."""
+    each = ids.select("owner", F.explode_outer("ids").alias("id")).join(names.select("id", "name"), "id", "left")
+    return each.groupBy("owner").agg(F.array_sort(F.collect_set("name")).alias("names"), F.count_if(F.col("id").isNotNull() & F.col("name").isNull()).alias("dangling"))
+
+
+def type_kinds(types: DataFrame, enums: DataFrame, typedefs: DataFrame) -> DataFrame:
+    """types (type) with kind and target: `enum`, `typedef` (target: the type it stands for), or `plain`. enums: name; typedefs: name, underlying.
+    An enum wins over a typedef of the same name."""
+    e = enums.select(F.col("name").alias("type"), F.lit(True).alias("_e")).distinct()
+    d = typedefs.groupBy(F.col("name").alias("type")).agg(F.min("underlying").alias("target"))
+    kind = F.when(F.col("_e"), "enum").when(F.col("target").isNotNull(), "typedef").otherwise("plain")
+    return types.join(e, "type", "left").join(d, "type", "left").select(*types.columns, kind.alias("kind"), F.when(kind == "typedef", F.col("target")).alias("target"))
+
+
+def unit_entries(units: DataFrame, own: DataFrame, shared: DataFrame) -> DataFrame:
+    """(unit, entry): what a unit's header lists: the entries defined under its stem and those of its component, once. units: unit, stem,
+    component; own: stem, entry; shared: component, entry."""
+    return units.join(own, "stem").select("unit", "entry").unionByName(units.join(shared, "component").select("unit", "entry")).distinct()
+
+
+def having(rows: DataFrame, key: str, holders: DataFrame) -> DataFrame:
+    """rows whose key occurs in `holders` (key)."""
+    return rows.join(holders.select(key).distinct(), key, "left_semi")
+
+
+def layers_map(flat: DataFrame) -> DataFrame:
+    """(layer, groups): a map of each layer's groups to their sorted components. flat: layer, grp, component."""
+    g = flat.groupBy("layer", "grp").agg(F.array_sort(F.collect_set("component")).alias("components"))
+    return g.groupBy("layer").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("grp", "components")))).alias("groups"))
+
+
+def group_changed(tables_differ: Column, complete: Column, renders_differ: Column) -> Column:
+    """A group changed if its tables differ, or else if the rest of its render does; where a project or a document is missing, the render
+    can't tell."""
+    return tables_differ | (complete & F.coalesce(renders_differ, F.lit(False)))
+
+
+def script_of(config: Column, default: str) -> Column:
+    """struct(script, overridden): the script that a JSON configuration names, else the default."""
+    named = F.nullif(F.trim(F.coalesce(F.get_json_object(config, "$.script"), F.lit(""))), F.lit(""))
+    return F.struct(F.coalesce(named, F.lit(default)).alias("script"), named.isNotNull().alias("overridden"))

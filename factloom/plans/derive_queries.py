@@ -176,17 +176,16 @@ def d06_first_unit(spark, sf):
     return t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min_by("l_suppkey", "l_suppkey").alias("unit"))
 
 
-@query("SELECT a.p_partkey AS fid, b.p_partkey AS sibling FROM part a JOIN part b ON a.p_partkey // 10 = b.p_partkey // 10 AND a.p_name <> b.p_name")
+@query("""WITH f AS (SELECT p_partkey AS fid, 'f' || p_partkey // 10 AS file, p_name AS name FROM part) SELECT fid, file, count(*) OVER (PARTITION BY file) - count(*) OVER (PARTITION BY file, name) AS n_siblings FROM f""")
 def d18_siblings(spark, sf):
-    p = functions(spark, sf)
-    return p.join(p.select("file", F.col("fid").alias("sibling"), F.col("name").alias("other")), "file").where("name <> other").select("fid", "sibling")
+    return catalog.siblings(functions(spark, sf))
 
 
-@query("""SELECT o_orderkey, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 4 <> 0""")
+@query("""SELECT o_custkey AS owner, count(DISTINCT c.c_custkey) AS n, count(*) FILTER (WHERE c.c_custkey IS NULL) AS dangling, coalesce(string_agg(DISTINCT c.c_name, ',' ORDER BY c.c_name), '') AS names FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c.c_custkey = (o_orderkey % 50) + 1 GROUP BY 1""")
 def d19_ids_to_names(spark, sf):
     names = t(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    ids = t(spark, sf, "orders").select("o_orderkey", F.explode(F.array("o_custkey")).alias("id"))
-    return ids.join(names, "id").select("o_orderkey", "name")
+    ids = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.collect_list(F.col("o_orderkey") % 50 + 1).alias("ids"))
+    return catalog.names_of(ids, names).select("owner", F.size("names").cast("long").alias("n"), "dangling", F.array_join("names", ",").alias("names"))
 
 
 DICT = """d(name, range, underlying) AS (VALUES ('Speed', '', 'Base'), ('Base', '', 'uint8_t'), ('Flag', '0-1', ''), ('Deep', '', 'Speed'), ('Loop', '', 'Loop'))"""
@@ -201,18 +200,17 @@ def d22_s11_range_lookup(spark, sf):
     return derive.resolve_ranges(t(spark, sf, "part").select(kinds.alias("type")).distinct(), d)
 
 
-@query("SELECT p_partkey, coalesce(n_name, '') AS enum_name FROM part LEFT JOIN nation ON n_nationkey = p_size")
+@query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 24 AND p_size % 2 = 0 THEN 'base' || p_size ELSE '' END AS enum_name FROM part""")
 def d23_typedef_target(spark, sf):
-    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("p_size"), "n_name")
-    return t(spark, sf, "part").join(n, "p_size", "left").select("p_partkey", F.coalesce("n_name", F.lit("")).alias("enum_name"))
+    kinds = _part_types(spark, sf)
+    return kinds.select("p_partkey", F.coalesce("target", F.lit("")).alias("enum_name"))
 
 
 @query("""SELECT s_suppkey AS unit, 'g' || p_partkey AS entry FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100 UNION SELECT s_suppkey, 'd' || n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def d24_unit_headers(spark, sf):
-    s = t(spark, sf, "supplier").withColumn("stem", keys.stem(F.concat(F.lit("src/"), F.col("s_suppkey") % 100, F.lit(".h"))))
-    g = t(spark, sf, "part").select(F.concat(F.lit("g"), "p_partkey").alias("entry"), keys.stem(F.concat(F.lit("src/"), F.col("p_partkey") % 100, F.lit(".cpp"))).alias("stem"))
-    d = t(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.concat(F.lit("d"), "n_nationkey").alias("entry"))
-    return s.join(g, "stem").select(F.col("s_suppkey").alias("unit"), "entry").union(s.join(d, "s_nationkey").select("s_suppkey", "entry")).distinct()
+    s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit"), keys.stem(F.concat(F.lit("src/"), F.col("s_suppkey") % 100, F.lit(".h"))).alias("stem"), F.col("s_nationkey").alias("component"))
+    own = t(spark, sf, "part").select(F.concat(F.lit("g"), "p_partkey").alias("entry"), keys.stem(F.concat(F.lit("src/"), F.col("p_partkey") % 100, F.lit(".cpp"))).alias("stem"))
+    return catalog.unit_entries(s, own, t(spark, sf, "nation").select(F.col("n_nationkey").alias("component"), F.concat(F.lit("d"), "n_nationkey").alias("entry")))
 
 
 @query("SELECT DISTINCT a.l_orderkey AS header, a.l_partkey AS includes FROM lineitem a JOIN part p ON p.p_partkey = a.l_partkey WHERE p_brand = 'Brand#1'")
@@ -252,19 +250,24 @@ def d40_d41_tokens_in_code(spark, sf):
     return tokens.join(names, "token", "left_semi").select("conv_id", "token")
 
 
-@query("SELECT p_partkey, coalesce('enum ' || n_name, 'typedef ' || r_name, 'none') AS kind FROM part LEFT JOIN nation ON n_nationkey = p_size - 20 LEFT JOIN region ON r_regionkey = p_size - 18")
+@query("""SELECT p_partkey, CASE WHEN p_size < 5 THEN 'enum' WHEN p_size <= 24 AND p_size % 2 = 0 THEN 'typedef' ELSE 'plain' END AS kind FROM part""")
 def d42_param_types(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", "p_size")
-    n = t(spark, sf, "nation").select((F.col("n_nationkey") + 20).alias("p_size"), F.concat(F.lit("enum "), "n_name").alias("e"))
-    r = t(spark, sf, "region").select((F.col("r_regionkey") + 18).alias("p_size"), F.concat(F.lit("typedef "), "r_name").alias("d"))
-    return p.join(n, "p_size", "left").join(r, "p_size", "left").select("p_partkey", F.coalesce("e", "d", F.lit("none")).alias("kind"))
+    return _part_types(spark, sf).select("p_partkey", "kind")
+
+
+def _part_types(spark, sf):
+    """Types of the parts' sizes: enums under 5, typedefs of even numbers under 25 (one of them hidden by an enum), plain ones."""
+    p = t(spark, sf, "part").select("p_partkey", F.concat(F.lit("T"), "p_size").alias("type"))
+    enums = spark.range(0, 5).select(F.concat(F.lit("T"), "id").alias("name"))
+    typedefs = spark.range(0, 25, 2).select(F.concat(F.lit("T"), "id").alias("name"), F.concat(F.lit("base"), "id").alias("underlying"))
+    return catalog.type_kinds(p, enums, typedefs)
 
 
 @query("SELECT n_name, s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
 def d43_documents_of_components(spark, sf):
     n = t(spark, sf, "nation")
     have = t(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
-    return n.join(have, "n_nationkey", "left_semi").join(t(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_name")
+    return catalog.having(n, "n_nationkey", have).join(t(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_name")
 
 
 @query("SELECT o_orderkey, o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 <> 0) AS is_new FROM orders")

@@ -174,3 +174,10 @@ def w18_stored_diagram(spark, sf):
     stored = sizes.where("id % 3 <> 0").selectExpr("'v1' AS version", "concat('u', id) AS unit", "concat('d', id) AS diagram", "2 AS ord")
     stored = stored.unionByName(sizes.selectExpr("CASE WHEN id % 3 = 0 THEN 'v2' ELSE 'v1' END AS version", "concat('u', id) AS unit", "'old' AS diagram", "1 AS ord"))
     return catalog.stored_diagram(wanted, stored).select("p_partkey", "diagram")
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 OR (p_size % 3 > 0 AND p_size % 5 = 0) AS changed FROM part")
+def m04_group_changed(spark, sf):
+    """Whether a group of a document changed: by its tables, else by its render where both documents are there."""
+    s = F.col("p_size")
+    return t(spark, sf, "part").select("p_partkey", catalog.group_changed(s % 2 == 0, s % 3 > 0, F.when(s % 7 > 0, s % 5 == 0).otherwise(F.when(s % 5 == 0, F.lit(True)))).alias("changed"))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.functions.keys import or_default
-from factloom.operators import incremental as inc
+from factloom.operators import catalog, incremental as inc
 from factloom.plans.inputs import query, t
 from factloom.scratch import shared_dir
 from factloom.sources import facts, readers, sinks
@@ -120,11 +120,16 @@ def b03_partitioned_sink(spark, sf):
     return spark.read.parquet(folder).where("component = 'Brand#1'").groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("""SELECT p_brand AS component, p_partkey AS fid, CASE WHEN p_size % 2 = 0 THEN 'Count ' || p_size ELSE 'Run me input' END AS input_name, CASE WHEN p_size % 2 = 0 THEN 'Count ' || p_size ELSE 'Run me result' END AS output_name FROM part""")
 def b05_behaviour_rows(spark, sf):
-    folder = _folder(spark, "behaviour")
-    sinks.write_table(t(spark, sf, "events").where("event_type = 'click'").select("user_id", "event_id"), folder, fmt="json")
-    return spark.read.schema("user_id long, event_id long").json(folder).groupBy("user_id").agg(F.count("*").alias("n"))
+    """Behaviour rows written as JSON by component and read back."""
+    from factloom.functions.keys import behaviour_names
+
+    folder, s, none = _folder(spark, "behaviour"), F.col("p_size"), F.lit(None).cast("string")
+    names = behaviour_names(none, F.when(s % 2 == 0, F.concat(F.lit("g_count_"), s)), none, F.lit("void"), none, F.lit("A::run_me"))
+    rows = t(spark, sf, "part").select(F.col("p_brand").alias("component"), F.col("p_partkey").alias("fid"), names.alias("b")).select("component", "fid", "b.*")
+    sinks.write_table(rows, folder, ["component"], fmt="json")
+    return spark.read.schema("fid long, input_name string, output_name string, component string").json(folder)
 
 
 @query("SELECT 'total ' || count(*) AS value FROM orders UNION ALL SELECT 'open ' || count(*) FILTER (WHERE o_orderstatus = 'O') FROM orders")
@@ -154,7 +159,8 @@ def l06_l07_memo(spark, sf):
     return p.join(memo, "hash").select("p_partkey", "result")
 
 
-@query("SELECT 'tools/flow.py' AS script, true AS overridden UNION ALL SELECT 'default.py', false")
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'tools/' || p_size || '.py' ELSE 'default.py' END AS script, p_size % 3 = 0 AS overridden FROM part""")
 def u05_script_override(spark, sf):
-    pick = lambda config: (config.get("script") or "default.py", bool(config.get("script")))
-    return spark.createDataFrame([pick(json.loads('{"script": "tools/flow.py"}')), pick({})], "script string, overridden boolean")
+    k = F.col("p_size") % 3
+    config = F.when(k == 0, F.concat(F.lit('{"script": "tools/'), "p_size", F.lit('.py"}'))).when(k == 1, '{"script": " "}')
+    return t(spark, sf, "part").select("p_partkey", catalog.script_of(config, "default.py").alias("s")).select("p_partkey", "s.*")
\ No newline at end of file

@@ -128,11 +128,11 @@ def j03_j04_extract_json(spark, sf):
     return t(spark, sf, "events").select("event_id", F.get_json_object(tx.extract_json(noisy), "$.k").alias("k"))
 
 
-@query("""SELECT r_name AS layer, string_agg(n_name, ',' ORDER BY n_name) AS groups FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query("""SELECT r_name AS layer, string_agg(g, ';' ORDER BY g) AS groups FROM (SELECT r_name, 'g' || n_nationkey % 2 || '=' || string_agg(n_name, ',' ORDER BY n_name) AS g FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, n_nationkey % 2) GROUP BY r_name""")
 def j09_layers_map(spark, sf):
     n = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    m = n.groupBy(F.col("r_name").alias("layer")).agg(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
-    return m.select("layer", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("groups"))
+    m = catalog.layers_map(n.select(F.col("r_name").alias("layer"), F.concat(F.lit("g"), F.col("n_nationkey") % 2).alias("grp"), F.col("n_name").alias("component")))
+    return m.select("layer", F.array_join(F.transform(F.map_entries("groups"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ","))), ";").alias("groups"))
 
 
 @query("SELECT p_partkey, list_sort(list_distinct(list_filter(regexp_extract_all(p_name || ' FOO_BAR while', '[A-Za-z_][A-Za-z0-9_]*'), lambda x: length(x) > 2 AND x <> 'while' AND NOT regexp_full_match(x, '[A-Z_0-9]+')))) [1] AS first FROM part")
