@@ -169,6 +169,8 @@ def encode_payload(payload: bytes, packet: int = PACKET) -> bytes:
 
 def decode_payload(media: bytes) -> tuple[bytes, dict[int, Stream]]:
     streams = demux(media)
+    if not streams:
+        raise OggError("no page at byte 0")
     parts: dict[int, list[bytes]] = {}
     total = 0
     for s in streams.values():
@@ -213,16 +215,23 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """id, n_bytes, media of media_column() to digests and features of the decoded payload. Damaged media raise."""
-
-    def decode(all_media: list[bytes]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for m in all_media:
+    """id, n_bytes, media of media_column() to digests and features of the decoded payload. A row whose media are missing or damaged
+    has null in their place, and in `status` what is wrong; that of other rows is `ok`. Of damaged media only media_bytes and
+    media_sha256 are known. Empty tables give empty ones."""
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "status")
+
+    def one(m: bytes | None) -> tuple:
+        if m is None:
+            return (None,) * 6 + ("no media",)
+        stored = (len(m), hashlib.sha256(m).hexdigest())
+        try:
             payload, streams = decode_payload(m)
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload, streams))
-            for k, v in zip(out, row, strict=True):
-                out[k].append(v)
-        return out
+            return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature(payload, streams), "ok")
+        except (OggError, struct.error) as wrong:
+            return (None, None, None, *stored, None, str(wrong))
+
+    def decode(all_media: list) -> dict[str, list]:
+        return dict(zip(names, map(list, zip(*map(one, all_media), strict=True)), strict=True)) if all_media else {n: [] for n in names}
 
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, status string"
     return map_column(media.select("id", "n_bytes", "media"), "media", decode, schema, keep=["id", "n_bytes"])

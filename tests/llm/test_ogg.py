@@ -77,3 +77,29 @@ def test_columns_keep_every_row(spark):
     assert None in by
     assert ogg.media_features(ogg.media_column(empty(spark))).count() == 0
     assert struct.calcsize("<8sIIQI") == ogg.HEAD.size
+
+
+def test_damaged_media_cost_their_row_only(spark):
+    good = ogg.encode_payload(b"a" * 192)
+    bad = {1: good[:40] + bytes([good[40] ^ 1]) + good[41:], 2: good[:-5], 3: b"", 4: None, 5: b"OggS", 6: good[: len(good) // 2]}
+    df = spark.createDataFrame([(0, 192, good), *[(k, 192, m) for k, m in bad.items()]], "id long, n_bytes long, media binary")
+    out = {r["id"]: r for r in ogg.media_features(df).collect()}
+    assert out[0].status == "ok" and out[0].payload_bytes == 192
+    for k, m in bad.items():
+        assert out[k].status != "ok" and out[k].payload_sha256 is None and out[k].feature is None, k
+        assert out[k].media_bytes == (None if m is None else len(m))
+
+
+def test_payload_columns_of_whole_documents_against_plain_code(spark):
+    import hashlib
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["id"]: r for r in ogg.media_features(ogg.media_column(docs)).collect()}
+    for d in docs.collect():
+        raw = (d.text or "").encode()
+        pad = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
+        x = [b - 128 for b in pad]
+        assert f"sum={sum(x)};energy={sum(v * v for v in x)};" in r.feature and r.feature.endswith(f"peak={max(map(abs, x))}")
