@@ -147,7 +147,9 @@ def _sample(rows: DataFrame, total: int, bound: int) -> np.ndarray:
     """Features of about `bound` of the `total` rows (doc_id, text), chosen by a hash of the row; whole repeated rows are chosen
     together, and 2 * bound rows are the end of it."""
     share, parts = min(1.0, bound / max(total, 1)), 1 << 30
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < int(share * parts)).limit(2 * bound)
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < int(share * parts))
+    if chosen.count() > 2 * bound:  # only where one row repeats very often; a limit brings its rows to one task
+        chosen = chosen.limit(2 * bound)
 
     def run(texts: list[str]) -> dict[str, list]:
         return {"x": [text_features(t) for t in texts]}
