@@ -152,6 +152,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node", s
             ready = left
         labelled = ready.withColumn("level", F.lit(level))
         done = labelled if done is None else done.unionByName(labelled)
+        if level % 16 == 15:
+            done = scratch.put(done, "done")  # the plan of the union stays small
         left = scratch.put(left.join(ready, "node", "left_anti"), "left")
         deps = scratch.put(deps.join(ready, deps["_on"] == ready["node"], "left_anti"), "deps")
         level += 1
