@@ -25,9 +25,11 @@ CHUNK_ROWS, CHUNK_BYTES = 256, 16 << 20
 
 
 def chunks(batch: pa.RecordBatch, column: str, rows: int = CHUNK_ROWS, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most so many rows, and so many bytes in a text column."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
-    ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
+    """Slices of a batch of at most so many rows, and so many bytes in a column of texts, bytes or arrays of numbers."""
+    values = batch.column(batch.schema.get_field_index(column))
+    nested = pa.types.is_list(values.type) or pa.types.is_large_list(values.type)
+    lengths = pc.fill_null(pc.list_value_length(values) if nested else pc.binary_length(values), 0)
+    ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)) * (8 if nested else 1)
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
