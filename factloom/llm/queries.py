@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factloom.llm import chat, exact_dedup, license_scan, line_dedup, ogg, packing, pii, piece_codec, quality, simhash
+from factloom.llm import chat, curve_packing, exact_dedup, fim, license_scan, line_dedup, ogg, packing, phrases, pii, piece_codec, quality, simhash
 from factloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -123,10 +123,57 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(unnest(pieces), '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM d),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(list_slice(ws, i, i + m - 1), ' '))) AS ph FROM p, (VALUES (1), (2), (3), (4)) AS lengths(m)),
+f AS MATERIALIZED (SELECT lang, m, ph, count(*) AS c FROM g GROUP BY lang, m, ph HAVING count(*) >= {phrases.MIN_COUNT}),
+total AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, m, string_split(ph, ' ') AS ws, ph, c AS a FROM f WHERE m >= 2),
+parts AS (SELECT lang, m, ph, a, k, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM cand, (VALUES (1), (2), (3)) AS ks(k) WHERE k < m),
+cuts AS (SELECT parts.lang, parts.ph, a, k, fx.c AS l, fy.c AS r, CAST(2000000::HUGEINT * a // (fx.c + fy.c) AS BIGINT) AS score
+  FROM parts JOIN f fx ON fx.lang = parts.lang AND fx.ph = x JOIN f fy ON fy.lang = parts.lang AND fy.ph = y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+within AS (SELECT lang, array_to_string(ws[i:j], ' ') AS ph, a FROM cand, (VALUES (1), (2), (3)) AS s(i), (VALUES (2), (3), (4)) AS e(j) WHERE j > i AND j <= m AND j - i + 1 < m),
+gone AS (SELECT DISTINCT cand.lang, cand.ph FROM cand JOIN within USING (lang, ph) WHERE 100 * within.a >= {phrases.COVERED} * cand.a),
+ranked AS (SELECT lang, ph AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM best ANTI JOIN gone USING (lang, ph) JOIN total USING (lang))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {phrases.TOP}"""
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = curve_packing.pack_along_curve(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"), columns=("id", "n", "form", "prefix", "middle", "output_sha256", "restored_sha256"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"),
+        "output_sha256", "restored_sha256")
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS x FROM t),
+p AS (SELECT *, list_sort([x[1] % (n + 1), x[2] % (n + 1)]) AS c, text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR x[3] % 100 >= 50 AS plain FROM d),
+f AS (SELECT doc_id, text, n, plain, x[4] % 100 < 80 AS first, array_to_string(u[:c[1]], '') AS pre, array_to_string(u[c[1] + 1:c[2]], '') AS mid, array_to_string(u[c[2] + 1:], '') AS suf FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN first THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(pre) END AS prefix_chars, CASE WHEN NOT plain THEN length(mid) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN first THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM f"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_chat_format, op2_ogg_media, op3_best_fit_packing, op4_pii, op5_license_scan, op6_simhash, op7_quality, op8_exact_dedup, op9_piece_codec, op10_line_dedup)}
+        op1_chat_format, op2_ogg_media, op3_best_fit_packing, op4_pii, op5_license_scan, op6_simhash, op7_quality, op8_exact_dedup, op9_piece_codec, op10_line_dedup,
+        op11_phrases, op12_curve_packing, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op5_license_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_license_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL, "op11_phrases": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
