@@ -51,15 +51,16 @@ class Scratch:
         self._n = 0
         _roots.append(self.root)
 
-    def put(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, label: str = "t", *by: str) -> DataFrame:
         """Write df once; later reads come from files, so a lost executor costs no recomputation. What the write has shuffled
-        is of no use after it, so Spark is told to delete those files when it ends."""
+        is of no use after it, so Spark is told to delete those files when it ends. Rows that differ in the columns `by` go to folders of
+        their own, so a filter on them reads no others."""
         self._n += 1
         path = f"{self.root}/{label}-{self._n}"
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").partitionBy(*by).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
