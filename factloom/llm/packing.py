@@ -13,6 +13,7 @@ the pieces of FAN_IN * OPEN_BINS bins at most and may keep as many open; it take
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,10 @@ from factloom.scratch import Scratch
 OPEN_BINS, FAN_IN, CAPACITY, END_ID = 256, 16, 1024, 2
 
 
+#: White space as the tokenizer's pattern knows it, in runs that its engine may not be able to hold.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
 class Tokenizer:
     """Ids that the tokenizers library gives by the vocabulary file `name`, without special tokens added but with those in a text
     recognised. They are computed by tiktoken from the same vocabulary as ranks, in a fifth of the time whatever the text (the
@@ -41,10 +46,27 @@ class Tokenizer:
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(ranks), "rb"))}
         special = {t.content: i for i, t in Library.from_file(P.path(name)).get_added_tokens_decoder().items()}
+        self.special = tuple(special)
         self.encoding = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens=special)
 
     def encode(self, text: str) -> list[int]:
-        return self.encoding.encode(text, allowed_special="all")
+        try:
+            return self.encoding.encode(text, allowed_special="all")
+        except ValueError:  # its pattern gives up on very long runs of white space
+            return self._in_parts(text)
+
+    def _in_parts(self, text: str) -> list[int]:
+        """The same ids, with every long run of white space taken out before the pattern sees the text. The pattern makes one word of a run, but
+        leaves its last character to what follows, if anything but a special token does."""
+        ids, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end()
+            alone = end == len(text) or text.startswith(self.special, end)
+            stop = end if alone else end - 1
+            ids += self.encoding.encode(text[at : run.start()], allowed_special="all")
+            ids += self.encoding._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return ids + self.encoding.encode(text[at:], allowed_special="all")
 
 
 @lru_cache(maxsize=2)
@@ -163,13 +185,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     """Adds sequence_id and offset to token_pieces()' rows. Each level is written to the shared folder, so sequences are final once
     written, whatever executors are lost later."""
     scratch = Scratch(pieces.sparkSession, "packing")
-    placed, level, done = scratch.put(_packed(pieces, capacity, open_bins, 0, False), "placed"), 0, []
+    # pieces of open and of closed bins are files of their own, so that a level reads what is open only
+    placed, level, done = scratch.put(_packed(pieces, capacity, open_bins, 0, False), "placed", "open"), 0, []
     while (tasks := placed.where("open").agg(F.count_distinct("task")).first()[0]) > 0:
         done.append(placed.where("not open"))
         level, n = level + 1, -(-tasks // fan_in)
         first = F.col("length").desc() if n == 1 else F.xxhash64("doc_id", "start", "task")
         left = placed.where("open").coalesce(n).sortWithinPartitions(first, "doc_id", "start", "ids")
-        placed = scratch.put(_packed(left, capacity, open_bins * (fan_in if n == 1 else 1), level, last=n == 1), "placed")
+        placed = scratch.put(_packed(left, capacity, open_bins * (fan_in if n == 1 else 1), level, last=n == 1), "placed", "open")
     out = placed
     for part in done:
         out = out.unionByName(part)

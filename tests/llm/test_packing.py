@@ -30,6 +30,22 @@ def test_ids_of_whole_documents_equal_the_library(spark):
     assert all(own.encode(x) == e.ids for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
+def test_ids_of_millions_of_blanks_equal_the_library():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t, own, n = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.tokenizer(), 2_000_000
+    texts = [" " * n, "\n" * n, "a" + "\t" * n + "b", "x" * n, "a" + " \n\t\u3000" * (n // 4) + "<|endoftext|> b" + " " * n + "c\n", " " * n + " \u00e9", " " * n + "\x1c" + " " * n + "."]
+    for x in texts:
+        assert own.encode(x) == t.encode(x, add_special_tokens=False).ids
+
+
+def test_a_row_of_ten_million_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 10_000_000), (2, "\n" * 3_000_000 + "end"), (3, "short")], "doc_id long, text string")
+    out = packing.pack_documents(docs).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in out} == {i: len(packing.tokenizer().encode(t)) + 1 for i, t in docs.collect()}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_ids_of_any_text_equal_the_library(text):
