@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.document import edge_line, node_line
 from factloom.functions.text import edge_label
 from factloom.operators.sequential import breadth_first_order, reverse_post_order
+from factloom.scratch import Scratch
 
 
 def _listed(rows: DataFrame, key: list[str], order: str, text: str, alias: str) -> DataFrame:
@@ -67,51 +67,92 @@ def section_tree(units: DataFrame, introduction: list[tuple[str, str]]) -> DataF
 
 
 # ---- flow graphs ----------------------------------------------------------------------------------------------------
+LOOPS, LEAVABLE = ("while", "for", "do"), ("while", "for", "do", "switch")
+
+
+def _entries(s: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(fkey, id, entry) of the `do` statements: where they are entered, at the first statement of their body, which may be a `do` itself.
+    None if there are none. Pointers are doubled each round."""
+    dos = s.where("kind = 'do'").select("fkey", "id")
+    if dos.isEmpty():
+        return None
+    body = s.where("branch = 'body'").groupBy("fkey", F.col("parent").alias("id")).agg(F.min(F.struct("ord", F.col("id").alias("first")))["first"].alias("entry"))
+    at = scratch.put(dos.join(body, ["fkey", "id"]), "entries")
+    while True:
+        further = at.select("fkey", F.col("id").alias("entry"), F.col("entry").alias("next"))
+        moved = scratch.put(at.join(further, ["fkey", "entry"], "left").select("fkey", "id", F.coalesce("next", "entry").alias("entry"), F.col("next").isNotNull().alias("moved")), "entries")
+        if moved.where("moved").isEmpty():
+            return moved.drop("moved")
+        at = moved.drop("moved")
+
+
+def _with_path(s: DataFrame, scratch: Scratch) -> DataFrame:
+    """s (fkey, id, parent, kind, lead, ..) with `path`: the statement and all that it lies in, innermost first, as structs of id, kind and
+    lead. The length doubles each round, so a function's depth costs its logarithm."""
+    at = s.withColumn("path", F.array(F.struct("id", "kind", "lead"))).withColumn("up", F.col("parent"))
+    while True:
+        at = scratch.put(at, "paths")
+        if at.where("up <> 0").isEmpty():
+            return at.drop("up")
+        above = at.select("fkey", F.col("id").alias("up"), F.col("path").alias("more"), F.col("up").alias("further"))
+        at = at.join(above, ["fkey", "up"], "left").withColumn("path", F.concat("path", F.coalesce("more", F.array().cast(at.schema["path"].dataType))))
+        at = at.withColumn("up", F.coalesce("further", F.lit(0).cast("long"))).drop("more", "further")
+
+
+def _after(path: Column) -> Column:
+    """The node that follows the first statement of a path: the next one in its list; else, as its list ends, what follows the list."""
+    def known(x: Column, i: Column) -> Column:
+        outer = F.get(path, i + 1)
+        ends = F.when(outer.isNull(), F.lit(-1).cast("long")).when(outer["kind"].isin(*LOOPS), outer["id"])
+        # handlers are alternatives: one is not followed by the next
+        return F.coalesce(F.when(x["kind"] != "catch", x["lead"]), ends)
+
+    return F.get(F.filter(F.transform(path, known), lambda v: v.isNotNull()), F.lit(0))
+
+
+def _around(path: Column, kinds: tuple[str, ...]) -> Column:
+    """The rest of a path from the innermost statement around the first that is of one of the kinds; empty if there is none."""
+    at = F.array_position(F.transform(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), lambda x: x["kind"].isin(*kinds)), True)
+    return F.when(at > 0, F.slice(path, (at + 1).cast("int"), F.size(path)))
+
+
 def statement_flow(statements: DataFrame) -> DataFrame:
-    """(fkey, source, target, label): edges of each function's flow graph. statements: fkey, id (long), parent (null at the top), branch (which part
-    of the parent: `then`, `else`, `body`), ord, kind (action, if, while, for, do, switch, case, default, return, break, continue,
-    goto, label), name (of a label, a goto's target, a case's value). Node 0 is the start, -1 the end. A function is one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {int(r.id): r for r in pdf.itertuples(index=False)}
-        parts: dict[tuple[int, str], list[int]] = {}
-        for r in pdf.sort_values(["ord", "id"]).itertuples(index=False):
-            parts.setdefault((0 if r.parent != r.parent or r.parent is None else int(r.parent), r.branch or "body"), []).append(int(r.id))
-        labels = {r.name: i for i, r in rows.items() if r.kind == "label"}
-        out: list[tuple[int, int, str | None]] = []
-        of = lambda i, branch="body": parts.get((i, branch), [])
-
-        def entry(ids: list[int], after: int) -> int:
-            if not ids:
-                return after
-            return entry(of(ids[0]), ids[0]) if rows[ids[0]].kind == "do" else ids[0]
-
-        # (statements, node after them, node after a break, node after a continue)
-        todo = [(of(0), -1, -1, -1)]
-        out.append((0, entry(of(0), -1), None))
-        while todo:
-            ids, after, leave, again = todo.pop()
-            for k, i in enumerate(ids):
-                kind, nxt = rows[i].kind, entry(ids[k + 1 :], after)
-                if kind == "if":
-                    out += [(i, entry(of(i, "then"), nxt), "Yes"), (i, entry(of(i, "else"), nxt), "No")]
-                    todo += [(of(i, "then"), nxt, leave, again), (of(i, "else"), nxt, leave, again)]
-                elif kind in ("while", "for", "do"):
-                    out += [(i, entry(of(i), i), "Yes"), (i, nxt, "No")]
-                    todo.append((of(i), i, nxt, i))
-                elif kind == "switch":
-                    cases = of(i)
-                    out += [(i, c, "default" if rows[c].kind == "default" else f"case {rows[c].name}") for c in cases]
-                    if not any(rows[c].kind == "default" for c in cases):
-                        out.append((i, nxt, "default"))
-                    for c, following in zip(cases, [*cases[1:], nxt], strict=True):
-                        out.append((c, entry(of(c), following), None))
-                        todo.append((of(c), following, nxt, again))
-                else:
-                    out.append((i, {"return": -1, "break": leave, "continue": again, "goto": labels.get(rows[i].name, nxt)}.get(kind, nxt), None))
-        return pd.DataFrame([(pdf["fkey"].iloc[0], *e) for e in out], columns=["fkey", "source", "target", "label"])
-
-    return statements.groupBy("fkey").applyInPandas(lambda pdf: run(pdf), "fkey long, source long, target long, label string")
+    """(fkey, source, target, label): edges of each function's flow graph. statements: fkey, id (long, from 1), parent (null at the top), branch (which part
+    of the parent: `then`, `else`, `body`, `catch`), ord, kind (action, if, while, for, do, switch, case, default, try, catch, return, break, continue,
+    goto, label; any other is an action, `throw` too), name (of a label, a goto's target, a case's value). Node 0 is the start, -1 the end.
+
+    A try goes on to its body, and by `exception` to each of its handlers, which are its children in the branch `catch`; body and
+    handlers go on after the try. An empty branch is passed. A break or continue outside a loop goes to the end, a goto without a label on. All
+    functions are built at once, by joins: no function is a group in a task. Of labels of one name the last id counts."""
+    scratch = Scratch(statements.sparkSession, "flow")
+    zero = F.lit(0).cast("long")
+    s = statements.select("fkey", F.col("id").cast("long").alias("id"), F.coalesce(F.col("parent").cast("long"), zero).alias("parent"), F.coalesce("branch", F.lit("body")).alias("branch"), "ord", F.coalesce("kind", F.lit("action")).alias("kind"), "name")
+    entries = _entries(s, scratch)
+    s = s.withColumn("entry", F.col("id")) if entries is None else s.join(entries, ["fkey", "id"], "left").withColumn("entry", F.coalesce("entry", "id"))
+    listed = s.withColumn("lead", F.lead("entry").over(Window.partitionBy("fkey", "parent", "branch").orderBy("ord", "id")))
+    at = _with_path(listed, scratch)
+    first = lambda b: F.min(F.when(F.col("branch") == b, F.struct("ord", "id", "entry")))["entry"].alias(f"first_{b}")
+    kids = at.groupBy("fkey", F.col("parent").alias("id")).agg(first("then"), first("else"), first("body"), F.max(F.col("kind") == "default").alias("has_default"))
+    labels = at.where("kind = 'label'").groupBy("fkey", "name").agg(F.max("id").alias("label_id")).withColumn("kind", F.lit("goto"))
+    top = kids.where("id = 0").select("fkey", zero.alias("source"), F.coalesce("first_body", F.lit(-1).cast("long")).alias("target"), F.lit(None).cast("string").alias("label"))
+    whole = at.join(kids, ["fkey", "id"], "left").join(labels, ["fkey", "name", "kind"], "left")
+    path, kind, end = F.col("path"), F.col("kind"), F.lit(-1).cast("long")
+    whole = whole.withColumn("nxt", _after(path)).withColumn("leave", F.when(kind == "break", F.coalesce(_after(_around(path, LEAVABLE)), end))).withColumn("again", F.when(kind == "continue", F.coalesce(F.get(_around(path, LOOPS), F.lit(0))["id"], end)))
+    edge = lambda target, label=None, source="id": F.struct(F.col(source).alias("source"), target.alias("target"), (F.lit(label) if label is None or isinstance(label, str) else label).cast("string").alias("label"))
+    into = lambda b, empty="nxt": F.coalesce(F.col(f"first_{b}"), F.col(empty))
+    outer = F.get(path, F.lit(1))["kind"]
+    case = edge(F.col("id"), F.when(kind == "default", "default").otherwise(F.concat(F.lit("case "), F.coalesce("name", F.lit("")))), "parent")
+    caught = edge(F.col("id"), "exception", "parent")
+    out = (
+        F.when(kind == "if", F.array(edge(into("then"), "Yes"), edge(into("else"), "No")))
+        .when(kind.isin(*LOOPS), F.array(edge(into("body", "id"), "Yes"), edge(F.col("nxt"), "No")))
+        .when(kind == "switch", F.when(F.coalesce("has_default", F.lit(False)), F.array().cast("array<struct<source:bigint,target:bigint,label:string>>")).otherwise(F.array(edge(F.col("nxt"), "default"))))
+        .when(kind.isin("case", "default") & (outer == "switch"), F.array(case, edge(into("body"))))
+        .when((kind == "catch") & (outer == "try"), F.array(caught, edge(into("body"))))
+        .when(kind == "try", F.array(edge(into("body"))))
+        .otherwise(F.array(edge(F.when(kind == "return", end).when(kind == "break", F.col("leave")).when(kind == "continue", F.col("again")).when(kind == "goto", F.coalesce("label_id", "nxt")).otherwise(F.col("nxt")))))
+    )
+    return top.unionByName(whole.select("fkey", F.explode(out).alias("x")).select("fkey", "x.*"))
 
 
 def forward_in_degree(edges: DataFrame) -> DataFrame:
