@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factloom.operators import service
+from factloom.sources.tables import StoredTable
 
 View = Callable[[dict[str, DataFrame], dict], DataFrame]
 VIEWS: dict[str, View] = {}
@@ -30,26 +31,32 @@ def run_views(model: dict[str, DataFrame], config: dict) -> dict[str, DataFrame]
 
 
 class Repository:
-    """One catalog table behind create, get, list, update and delete. The backend is a folder of Parquet versions; each change
-    writes the next version and then moves the pointer, so a reader never sees half of one."""
+    """One catalog table behind create, get, list, update and delete. The backend is a stored table with a transaction log: all
+    repositories on a folder see each other's changes, and a reader never sees half of one."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, key: str = "id"):
-        self.spark, self.folder, self.schema, self.key, self.version = spark, folder, schema, key, 0
+        self.table, self.key = StoredTable(spark, folder, schema, key), key
 
-    def all(self) -> DataFrame:
-        if self.version == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{self.version}")
+    @property
+    def version(self) -> int:
+        return self.table.version()
 
-    def _commit(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{self.version + 1}")
-        self.version += 1
+    def all(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
 
     def put(self, rows: DataFrame) -> None:
-        self._commit(service.upsert(self.all(), rows.select(*self.all().columns), [self.key]))
+        self.table.put(rows)
+
+    def create(self, rows: DataFrame) -> None:
+        """Rows whose keys are new; others stay as they are."""
+        self.table.insert_missing(rows)
+
+    def update(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Puts what `change` makes of the rows as they are."""
+        self.table.update(change)
 
     def delete(self, keys: DataFrame) -> None:
-        self._commit(service.delete(self.all(), keys, [self.key]))
+        self.table.delete(keys)
 
     def get(self, value) -> DataFrame:
         return self.all().where(F.col(self.key) == F.lit(value))
