@@ -3,7 +3,7 @@ shared scratch folder, so lineage stays one round deep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from factloom.scratch import Scratch
 
@@ -58,32 +58,89 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     ).distinct()
 
 
-#: Steps that one round of a closure takes before its result is written.
-HOPS = 3
-
+#: Steps that one round of a closure takes before its result is written; rounds after which chains are contracted.
+HOPS, PATIENCE = 4, 6
+
+
+def _counted(scratch: Scratch, df: DataFrame, label: str, what: Column) -> tuple[DataFrame, int]:
+    """df written, and the number of its rows for which `what` holds, counted by the write itself."""
+    seen = Observation()
+    table = scratch.put(df.observe(seen, F.count_if(what).alias("n")), label)
+    return table, int(seen.get["n"] or 0)
+
+
+def _doubled(scratch: Scratch, jumps: DataFrame, n: int, carry) -> DataFrame:
+    """Pointer doubling: jumps (node, ptr, ..) until no ptr is itself a node of the table, or all ways are run through (a cycle never
+    ends). carry(near, far): the further columns of a jump made of two, by the prefixes of their columns. n: jumps."""
+    extra = [c for c in jumps.columns if c not in ("node", "ptr")]
+    jumps = scratch.put(jumps, "jumps")
+    for _ in range(max(n, 1).bit_length() + 1):
+        far = jumps.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), *[F.col(c).alias(f"_{c}") for c in extra])
+        both = jumps.join(far, "ptr", "left")
+        moved = F.col("_ptr").isNotNull()
+        new = both.select("node", F.coalesce("_ptr", "ptr").alias("ptr"), *[F.when(moved, carry(c)).otherwise(F.col(c)).alias(c) for c in extra], moved.alias("_moved"))
+        new, left = _counted(scratch, new, "jumps", F.col("_moved"))
+        scratch.drop(jumps)
+        jumps = new.drop("_moved")
+        jumps._scratch_path = new._scratch_path
+        if not left:
+            break
+    return jumps
+
+
+def _single(hop: DataFrame) -> DataFrame:
+    """(node, ptr) of the nodes with one way down, to another node."""
+    one = hop.groupBy(F.col("_up").alias("node")).agg(F.count("*").alias("_n"), F.min("_down").alias("ptr"))
+    return one.where("_n = 1 and node <> ptr").select("node", "ptr")
+
+
+def _merged(state: DataFrame, *more: DataFrame) -> DataFrame:
+    """(node, block, bits, delta): bits of all; delta are those that state lacks."""
+    rows = state.select("node", "block", "bits", F.lit(0).cast("long").alias("new"))
+    for m in more:
+        rows = rows.unionByName(m.select("node", "block", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("new")))
+    both = rows.groupBy("node", "block").agg(F.bit_or("bits").alias("old"), F.bit_or("new").alias("new"))
+    return both.select("node", "block", F.col("old").bitwiseOR(F.col("new")).alias("bits"), F.col("new").bitwiseAND(F.bitwise_not("old")).alias("delta"))
+
+
+def _contract(scratch: Scratch, hop: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one way down get the bits of all that lies on their way as long as it is single, in rounds of pointer doubling; what
+    they can still get comes from the end of that way, to which they are linked instead. A way that runs into a cycle has no end. Taking
+    bits twice changes nothing, so cycles do no harm."""
+    single = scratch.put(_single(hop), "single")
+    n, jumps = single.count(), single
+    for _ in range(max(n, 1).bit_length() + 1):
+        ahead = jumps.join(state.select(F.col("node").alias("ptr"), "block", "bits"), "ptr").select("node", "block", "bits")
+        state = scratch.put(_merged(state, ahead), "state")
+        far = jumps.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"))
+        new = jumps.join(far, "ptr", "left").select("node", F.coalesce("_ptr", "ptr").alias("ptr"), F.col("_ptr").isNotNull().alias("_moved"))
+        new, left = _counted(scratch, new, "jumps", F.col("_moved"))
+        jumps = new.drop("_moved")
+        if not left:
+            break
+    ends = jumps.join(single.select(F.col("node").alias("ptr")), "ptr", "left_anti")
+    rest = hop.join(single.select(F.col("node").alias("_up")), "_up", "left_anti")
+    return scratch.put(rest.unionByName(ends.select(F.col("node").alias("_up"), F.col("ptr").alias("_down"))), "links"), state
 
-def _expand(frontier: DataFrame, seen: DataFrame, step, key: list[str], hops: int) -> DataFrame:
-    """Rows that `hops` steps reach and seen lacks, with the step (_hop) at which each is first met."""
-    layer, found = frontier, None
-    for k in range(1, hops + 1):
-        layer = step(layer).distinct().join(seen, key, "left_anti")
-        tagged = layer.withColumn("_hop", F.lit(k))
-        found = tagged if found is None else found.unionByName(tagged)
-    return found.groupBy(*key).agg(F.min("_hop").alias("_hop"))
 
+def _spread(scratch: Scratch, hop: DataFrame, start: DataFrame, hops: int, max_rounds: int) -> DataFrame:
+    """(node, block, bits): every node's bits and those of all nodes below it. hop: _up, _down, distinct; start: node, block, bits.
 
-def _fixed_point(scratch: Scratch, start: DataFrame, step, key: list[str], hops: int, max_rounds: int) -> DataFrame:
-    """start and everything that repeated steps add. Only rows met at a round's last step are expanded in the next; the table of
-    what has been seen is written anew every few rounds, so plans stay small."""
-    seen = frontier = scratch.put(start, "seen")
+    Semi-naive: a round passes on only the bits that were new in the round before, `hops` steps far. A graph that is deeper than PATIENCE
+    rounds reach is contracted once: chains and cycles of any length cost the logarithm of their length."""
+    first = start.groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
+    state = scratch.put(first.withColumn("delta", F.col("bits")), "state")
     for k in range(1, max_rounds + 1):
-        new = scratch.put(_expand(frontier, seen, step, key, hops), "new")
-        frontier = new.where(F.col("_hop") == hops).select(*key)
-        seen = seen.unionByName(new.select(*key))
-        if frontier.isEmpty():
-            return seen
-        if k % 8 == 0:
-            seen = scratch.put(seen, "seen")
+        if k == PATIENCE + 1:
+            hop, state = _contract(scratch, hop, state)
+            state = state.withColumn("delta", F.col("bits"))
+        layer, layers = state.where("delta <> 0").select("node", "block", F.col("delta").alias("bits")), []
+        for _ in range(hops):
+            layer = layer.join(hop, layer["node"] == hop["_down"]).groupBy(F.col("_up").alias("node"), "block").agg(F.bit_or("bits").alias("bits"))
+            layers.append(layer)
+        state, new = _counted(scratch, _merged(state, *layers), "state", F.col("delta") != 0)
+        if not new:
+            return state.select("node", "block", "bits")
     raise RuntimeError("no fixed point")
 
 
@@ -91,9 +148,9 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: s
     """(node): seeds and everything from which a seed can be reached over src -> dst. Cycles end by themselves: each round
     only carries nodes that are new. Seeds that have no edge stay in the result."""
     scratch = Scratch(edges.sparkSession, "closure")
-    back = scratch.put(edges.select(F.col(src).alias("_to"), F.col(dst).alias("_at")).where("_at is not null and _to is not null").distinct(), "links")
-    step = lambda f: f.join(back, f["node"] == back["_at"]).select(F.col("_to").alias("node"))
-    return _fixed_point(scratch, seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), step, ["node"], hops, max_rounds)
+    hop = scratch.put(edges.select(F.col(src).alias("_up"), F.col(dst).alias("_down")).where("_up is not null and _down is not null").distinct(), "links")
+    one = [F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("bits")]
+    return _spread(scratch, hop, seeds.select(F.col(node).alias("node"), *one).where("node is not null"), hops, max_rounds).select("node")
 
 
 def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst", node: str = "node", per_level: int | None = None) -> DataFrame:
@@ -129,35 +186,52 @@ def spread_families(calls: DataFrame, override_pairs: DataFrame, keys: DataFrame
 
 
 def propagate_facts(calls: DataFrame, facts: DataFrame, columns: tuple[str, ...], fid: str = "fid", max_rounds: int = 10_000, hops: int = HOPS) -> DataFrame:
-    """(fid, *columns): each function's facts and those of everything it calls, to a fixed point (semi-naive: a round only
-    extends the rows that were new in the round before). Rows with nulls in `columns` don't spread."""
+    """(fid, *columns): each function's facts and those of everything it calls, to a fixed point. Rows with nulls in `columns` stay but
+    don't spread. Facts are numbered and travel as bits, 64 to a row; cycles, chains and hubs need no care of the caller."""
     scratch = Scratch(calls.sparkSession, "propagate")
     hop = scratch.put(calls.select(F.col("caller").alias("_up"), F.col("callee").alias("_down")).where("_up is not null and _down is not null").distinct(), "links")
-    step = lambda d: d.join(hop, d[fid] == hop["_down"]).select(F.col("_up").alias(fid), *columns)
-    return _fixed_point(scratch, facts.select(fid, *columns).distinct(), step, [fid, *columns], hops, max_rounds)
+    whole = " and ".join(f"`{c}` is not null" for c in (fid, *columns))
+    numbered = facts.where(whole).select(*columns).distinct().withColumn("_n", F.monotonically_increasing_id())
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_n").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    known = scratch.put(numbered.select(*columns, F.shiftright("_n", 6).alias("block"), mask.alias("mask")), "facts")
+    start = facts.where(whole).join(known, list(columns)).select(F.col(fid).alias("node"), "block", F.col("mask").alias("bits"))
+    state = _spread(scratch, hop, start, hops, max_rounds)
+    met = state.join(known, "block").where(F.col("bits").bitwiseAND(F.col("mask")) != 0).select(F.col("node").alias(fid), *columns)
+    return met.unionByName(facts.where(f"not ({whole})").select(fid, *columns).distinct())
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, level): level 0 calls nothing; a node comes once all it calls has come. When a cycle leaves nothing ready,
-    everything that is left is released at once."""
+    everything that is left is released at once.
+
+    Nodes with one dependency are taken out by pointer doubling: such a node's level is that of the end of its single way and the steps to
+    it. The others are levelled in rounds, over links that count those steps; so only branching costs rounds."""
     scratch = Scratch(nodes.sparkSession, "levels")
-    left = scratch.put(nodes.select(F.col(node).alias("node")).distinct(), "left")
-    deps = edges.select(F.col(src).alias("_at"), F.col(dst).alias("_on")).where("_at <> _on").distinct()
-    deps = scratch.put(deps.join(left, deps["_on"] == left["node"], "left_semi"), "deps")
-    done, level = None, 0
-    while not left.isEmpty():
-        ready = left.join(deps, left["node"] == deps["_at"], "left_anti")
-        ready = scratch.put(ready, "ready")
-        if ready.isEmpty():
-            ready = left
-        labelled = ready.withColumn("level", F.lit(level))
-        done = labelled if done is None else done.unionByName(labelled)
-        if level % 16 == 15:
-            done = scratch.put(done, "done")  # the plan of the union stays small
-        left = scratch.put(left.join(ready, "node", "left_anti"), "left")
-        deps = scratch.put(deps.join(ready, deps["_on"] == ready["node"], "left_anti"), "deps")
-        level += 1
-    return done if done is not None else nodes.select(F.col(node).alias("node")).limit(0).withColumn("level", F.lit(0))
+    names = scratch.put(nodes.select(F.col(node).alias("node")).where("node is not null").distinct(), "nodes")
+    deps = edges.select(F.col(src).alias("_up"), F.col(dst).alias("_down")).where("_up <> _down").distinct()
+    deps = deps.join(names.select(F.col("node").alias("_down")), "_down", "left_semi").join(names.select(F.col("node").alias("_up")), "_up", "left_semi")
+    deps = scratch.put(deps, "deps")
+    single = scratch.put(_single(deps).withColumn("steps", F.lit(1).cast("long")), "single")
+    ways = _doubled(scratch, single, single.count(), lambda c: F.col(c) + F.col(f"_{c}"))
+    ends = ways.join(single.select(F.col("node").alias("ptr")), "ptr", "left_anti")  # the others run into a cycle
+    inner = deps.join(single.select(F.col("node").alias("_up")), "_up", "left_anti")
+    links = inner.join(ways.select(F.col("node").alias("_down"), "ptr", "steps"), "_down", "left").select(
+        F.col("_up").alias("node"), F.coalesce("ptr", "_down").alias("on"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    links = scratch.put(links.groupBy("node", "on").agg(F.max("steps").alias("steps")), "links")
+    left = names.join(single, "node", "left_anti")
+    done = scratch.put(left.join(links, "node", "left_anti").withColumn("level", F.lit(0).cast("long")), "done")
+    while True:
+        ready = links.join(done.select(F.col("node").alias("on"), "level"), "on", "left").groupBy("node").agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        new, n = _counted(scratch, ready.where("open = 0").select("node", "level"), "done", F.lit(True))
+        if not n:
+            break
+        links = scratch.put(links.join(new, "node", "left_anti"), "links")
+        done = scratch.put(done.unionByName(new), "done")
+    levels = done.unionByName(ends.join(done.select(F.col("node").alias("ptr"), "level"), "ptr").select("node", (F.col("level") + F.col("steps")).alias("level")))
+    levels = scratch.put(levels, "levels")
+    last = levels.agg(F.coalesce(F.max("level") + 1, F.lit(0)).alias("last"))
+    rest = names.join(levels, "node", "left_anti").crossJoin(F.broadcast(last)).select("node", F.col("last").alias("level"))
+    return levels.unionByName(rest).withColumn("level", F.col("level").cast("int"))
 
 
 def affected_units(impact: DataFrame, calls: DataFrame, unit_of: DataFrame) -> DataFrame:
@@ -188,19 +262,29 @@ def validate_flow_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return no_start.unionByName(starts).unionByName(no_end).unionByName(dangling).unionByName(empty).unionByName(lost)
 
 
-def tree_order(nodes: DataFrame, node: str = "id", parent: str = "parent", order: str = "ord", max_depth: int = 64) -> DataFrame:
-    """Nodes of a forest (adjacency list) with depth and path (array of sibling places from the root): sorting by path is
-    pre-order. Nodes whose parent is missing are no part of the result."""
+def tree_order(nodes: DataFrame, node: str = "id", parent: str = "parent", order: str = "ord") -> DataFrame:
+    """Nodes of a forest (adjacency list) with depth, root and place: their place in pre-order in the tree of their root, siblings by order, then
+    id. Nodes whose parent is missing, and those below them or in a cycle, are no part of the result.
+
+    Each node is entered and left once on a walk around its tree: a list whose next element follows from siblings and parents. Ranking that
+    list by pointer doubling takes rounds in the logarithm of its length, however deep a tree is."""
     scratch = Scratch(nodes.sparkSession, "tree")
-    kids = nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_parent"), F.struct(F.col(order), F.col(node)).alias("_place"))
-    step = F.transform(F.array("_place"), lambda x: x)
-    level = scratch.put(kids.where("_parent is null").select("_id", step.alias("path")), "level")
-    out, depth = level.withColumn("depth", F.lit(0)), 0
-    while depth < max_depth:
-        depth += 1
-        up = level.select(F.col("_id").alias("_up"), F.col("path").alias("_path"))
-        level = scratch.put(kids.join(up, kids["_parent"] == up["_up"]).select("_id", F.concat("_path", step).alias("path")), "level")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return nodes.join(out.withColumnRenamed("_id", node), node)
+    own = scratch.put(nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_parent"), F.col(order).alias("_ord"), F.monotonically_increasing_id().alias("_n")), "numbered")
+    placed = own.join(own.select(F.col("_id").alias("_parent"), F.col("_n").alias("_up")), "_parent", "left")
+    inner = placed.where("_up is not null").withColumn("_next", F.lead("_n").over(Window.partitionBy("_up").orderBy("_ord", "_id")))
+    tops = placed.where("_up is null").withColumn("_next", F.lit(None).cast("long"))
+    first = placed.where("_up is not null").groupBy(F.col("_up").alias("_n")).agg(F.min(F.struct("_ord", "_id", F.col("_n").alias("k")))["k"].alias("_first"))
+    walk = inner.unionByName(tops).join(first, "_n", "left")
+    enter, leave = F.col("_n") * 2, F.col("_n") * 2 + 1
+    # below zero: the end of a tree, naming its root; or of one that hangs on nothing
+    end = F.when(F.col("_parent").isNull(), -1 - F.col("_n")).otherwise(F.lit(-(1 << 62)))
+    down = F.struct(enter.alias("node"), F.coalesce(F.col("_first") * 2, leave).alias("ptr"), F.lit(1).cast("long").alias("met"), F.lit(1).cast("long").alias("sunk"))
+    up = F.struct(leave.alias("node"), F.coalesce(F.col("_next") * 2, F.col("_up") * 2 + 1, end).alias("ptr"), F.lit(0).cast("long").alias("met"), F.lit(-1).cast("long").alias("sunk"))
+    steps = scratch.put(walk.select(F.explode(F.array(down, up)).alias("x")).select("x.*"), "steps")
+    ranked = _doubled(scratch, steps, steps.count(), lambda c: F.col(c) + F.col(f"_{c}"))
+    ranked = ranked.where((F.col("node") % 2 == 0) & F.col("ptr").between(F.lit(-(1 << 62) + 1), F.lit(-1))).select(F.shiftright("node", 1).alias("_n"), (-1 - F.col("ptr")).alias("_root"), "met", "sunk")
+    whole = ranked.where("_n = _root").select("_root", F.col("met").alias("_size"))
+    names = own.select(F.col("_n").alias("_root"), F.col("_id").alias("root"))
+    found = ranked.join(whole, "_root").join(names, "_root").join(own.select("_n", "_id"), "_n")
+    out = found.select(F.col("_id").alias(node), (-F.col("sunk")).cast("int").alias("depth"), "root", (F.col("_size") - F.col("met")).alias("place"))
+    return nodes.join(out, node)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -84,7 +86,66 @@ def test_flow_graph_validation(spark):
 
 def test_tree_order(spark):
     n = df(spark, [("r", None, 1), ("b", "r", 2), ("a", "r", 1), ("c", "b", 1)], "id string, parent string, ord int")
-    assert [r.id for r in graph.tree_order(n).orderBy("path").collect()] == ["r", "a", "b", "c"]
+    assert [r.id for r in graph.tree_order(n).orderBy("place").collect()] == ["r", "a", "b", "c"]
+    odd = df(spark, [("r", None, 1), ("q", None, 0), ("x", "gone", 1), ("y", "x", 1), ("u", "v", 1), ("v", "u", 1), ("s", "s", 1), ("b", "r", None), ("a", "r", 1)], "id string, parent string, ord int")
+    assert {(r.id, r.depth, r.root, r.place) for r in graph.tree_order(odd).collect()} == {("r", 0, "r", 0), ("q", 0, "q", 0), ("b", 1, "r", 1), ("a", 1, "r", 2)}
+    assert graph.tree_order(n.limit(0)).count() == 0
+
+
+def test_tree_order_of_random_trees(spark):
+    r = random.Random(4)
+    parent = {k: None if k < 3 else r.randrange(k) for k in range(400)}
+    order = {k: r.randrange(5) for k in parent}
+    got = {x.id: (x.depth, x.root, x.place) for x in graph.tree_order(df(spark, [(k, p, order[k]) for k, p in parent.items()], "id long, parent long, ord int")).collect()}
+    want = {}
+    for root in range(3):
+        stack, place = [(root, 0)], 0
+        while stack:
+            k, d = stack.pop()
+            want[k] = (d, root, place)
+            place += 1
+            stack += [(c, d + 1) for c in sorted((c for c, p in parent.items() if p == k), key=lambda c: (order[c], c), reverse=True)]
+    assert got == want
+
+
+def test_a_tree_that_is_a_chain_of_100_000(spark):
+    out = graph.tree_order(spark.range(100_000).selectExpr("id", "nullif(id - 1, -1) AS parent", "0 AS ord"))
+    assert out.where("depth <> id or place <> id or root <> 0").count() == 0 and out.count() == 100_000
+
+
+def test_closures_of_a_long_chain_and_of_a_big_cycle(spark):
+    chain = spark.range(100_000).selectExpr("id AS caller", "id + 1 AS callee")
+    assert graph.reverse_closure(chain, df(spark, [(99_000,)], "node long"), "caller", "callee").count() == 99_001
+    cycle = spark.range(100_000).selectExpr("id AS caller", "(id + 1) % 100000 AS callee").unionByName(df(spark, [(-1, 5), (-2, -1), (-1, -3)], "caller long, callee long"))
+    facts = df(spark, [(7, "g"), (50_000, "h"), (-3, "k")], "fid long, gid string")
+    got = graph.propagate_facts(cycle, facts, ("gid",)).groupBy("gid").count().collect()
+    assert {x[0]: x[1] for x in got} == {"g": 100_002, "h": 100_002, "k": 3}
+    levels = graph.topological_levels(spark.range(100_000).withColumnRenamed("id", "node"), chain.where("callee < 100000").withColumnsRenamed({"caller": "src", "callee": "dst"}))
+    assert levels.where("level <> 99999 - node").count() == 0 and levels.count() == 100_000
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60), st.lists(st.tuples(st.integers(0, 30), st.integers(0, 200)), min_size=1, max_size=40), st.integers(0, 2))
+def test_facts_and_levels_against_plain_loops(spark, pairs, facts, patience):
+    was, graph.PATIENCE = graph.PATIENCE, patience
+    try:
+        e = df(spark, pairs, "caller long, callee long")
+        got = {tuple(x) for x in graph.propagate_facts(e, df(spark, facts, "fid long, gid long"), ("gid",), hops=1 + patience).collect()}
+        levels = {x.node: x.level for x in graph.topological_levels(spark.range(31).withColumnRenamed("id", "node"), e.withColumnsRenamed({"caller": "src", "callee": "dst"})).collect()}
+    finally:
+        graph.PATIENCE = was
+    want, size = set(facts), -1
+    while size != len(want):
+        size = len(want)
+        want |= {(a, g) for a, b in pairs for f, g in want if f == b}
+    assert got == want
+    left, out, level = set(range(31)), {}, 0
+    while left:
+        ready = {n for n in left if not any(a == n and b in left and b != n for a, b in pairs)} or set(left)
+        out |= dict.fromkeys(ready, level)
+        left -= ready
+        level += 1
+    assert levels == out
 
 
 def test_affected_units(spark):
