@@ -128,20 +128,53 @@ def resolve_ranges(wanted: DataFrame, dictionary: DataFrame, depth: int = 10) ->
     return out.select("type", F.coalesce("got", keys.type_range(F.col("type"))).alias("range"))
 
 
-def line_ranges(lines: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
-    """ranges (doc, rid, line, end_line) with the text of their lines (doc, pos, text). The range join has an equality key: both
-    sides are dealt by document and bucket of `width` lines."""
-    r = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("line") / width), F.floor(F.col("end_line") / width))))
-    hit = lines.withColumn("_b", F.floor(F.col("pos") / width)).join(r, ["doc", "_b"]).where("pos between line and end_line")
-    joined = hit.groupBy("doc", "rid").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"))
+#: Levels of the dyadic index: ranges of up to 2 ** LEVELS lines, from 0.
+LEVELS = 40
+
+
+def dyadic_nodes(first: Column, last: Column) -> Column:
+    """array<struct<level, node>>: the fewest dyadic intervals [node * 2^level, (node + 1) * 2^level) that make up first..last, two a level
+    at most. Empty if last < first; places below 0 are left out."""
+    lo, hi = F.greatest(first.cast("long"), F.lit(0)), last.cast("long") + 1
+    edge = lambda x, k: F.call_function("shiftright", x, k)
+
+    def at(k: Column) -> Column:
+        # what is left after the levels below: both ends rounded inwards to multiples of 2^k
+        a = edge(lo + (F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1), k)
+        b = edge(hi, k)
+        node = lambda n: F.struct(k.alias("level"), n.alias("node"))
+        none = F.array().cast("array<struct<level:int,node:bigint>>")
+        left = F.when((a < b) & (a % 2 == 1), F.array(node(a))).otherwise(none)
+        right = F.when((a < b) & (b % 2 == 1) & ~((a == b - 1) & (a % 2 == 1)), F.array(node(b - 1))).otherwise(none)
+        return F.concat(left, right)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
+
+
+def dyadic_probes(place: Column) -> Column:
+    """array<struct<level, node>>: the dyadic intervals that hold a place, one a level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place.cast("long"), k).alias("node")))
+
+
+def held_by(points: DataFrame, ranges: DataFrame, group: str, pos: str = "pos", line: str = "line", end_line: str = "end_line") -> DataFrame:
+    """Every pair of a point and a range of its group that holds it: the columns of both. An equality join: a range is a row for each of
+    its dyadic intervals (O(log length)), a point one for each level that the group's ranges use (O(log) probes at most)."""
+    r = ranges.withColumn("_node", F.explode(dyadic_nodes(F.col(line), F.col(end_line)))).withColumn("_level", F.col("_node.level")).withColumn("_node", F.col("_node.node"))
+    used = r.groupBy(group).agg(F.collect_set("_level").alias("_levels"))  # LEVELS + 1 at most
+    probes = points.where(F.col(pos) >= 0).join(used, group)
+    probes = probes.withColumn("_level", F.explode("_levels")).withColumn("_node", F.expr(f"shiftright(cast(`{pos}` as bigint), _level)")).drop("_levels")
+    return probes.join(r, [group, "_level", "_node"]).drop("_level", "_node")
+
+
+def line_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (doc, rid, line, end_line) with the text of their lines (doc, pos, text), from the dyadic index."""
+    joined = held_by(lines, ranges, "doc").groupBy("doc", "rid").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"))
     return joined.select("doc", "rid", F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("text"))
 
 
-def in_range_first(points: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
+def in_range_first(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """points (grp, pos) with label: the first (by ord) of the ranges (grp, line, end_line, label, ord) that hold the point; null if none."""
-    r = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("line") / width), F.floor(F.col("end_line") / width))))
-    hit = points.withColumn("_b", F.floor(F.col("pos") / width)).join(r, ["grp", "_b"]).where("pos between line and end_line")
-    best = hit.groupBy("grp", "pos").agg(F.min_by("label", "ord").alias("label"))
+    best = held_by(points, ranges, "grp").groupBy("grp", "pos").agg(F.min_by("label", "ord").alias("label"))
     return points.join(best, ["grp", "pos"], "left")
 
 

@@ -69,3 +69,16 @@ def document_fingerprint(blocks: DataFrame, group: str, order: str, text: str, i
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ignore, "")
     items = blocks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), clean.alias("t")))).alias("m"))
     return items.select(group, F.sha2(F.array_join(F.transform("m", lambda x: x["t"]), "\n"), 256).alias("fp"))
+
+
+def multiset_hash(*columns: str) -> list[Column]:
+    """Aggregates (size, sum_a, sum_b) that tell a multiset of rows by sums of 128 bits of each row's hash: the order of rows makes no
+    difference, repeated rows count, and parts of a group add up, so a group of any size is a few numbers. Nulls differ from empty texts."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.conv(F.substring(row, k, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count("*").alias("size"), F.sum(part(1)).alias("sum_a"), F.sum(part(16)).alias("sum_b")]
+
+
+def group_fingerprints(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """(group.., fp): a text that is the same for two groups if they hold the same rows."""
+    return rows.groupBy(*group).agg(*multiset_hash(*columns)).select(*group, F.concat_ws(":", "size", "sum_a", "sum_b").alias("fp"))

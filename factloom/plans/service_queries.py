@@ -171,10 +171,7 @@ def _docs(spark, sf):
 @query(f"""WITH {DOCS}, a AS (SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS fp FROM l WHERE lang <> 'fr' GROUP BY lang), b AS (SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS fp FROM r WHERE lang <> 'de' GROUP BY lang)
 SELECT lang, CASE WHEN a.fp IS NULL THEN 'added' WHEN b.fp IS NULL THEN 'removed' WHEN a.fp = b.fp THEN 'unchanged' ELSE 'changed' END AS diff_type FROM a FULL JOIN b USING (lang)""")
 def d30_compare_groups(spark, sf):
-    def fp(df):
-        m = df.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("m"))
-        return m.select("lang", F.sha2(F.array_join(F.transform("m", lambda x: x["h"]), ""), 256).alias("fp"))
-
+    fp = lambda df: diff.group_fingerprints(df, ["lang"], ["doc_id", "text"])
     a, b = _docs(spark, sf)
     return diff.sections(fp(a.where("lang <> 'fr'")), fp(b.where("lang <> 'de'")), "lang", "fp")
 
