@@ -82,3 +82,51 @@ def enrich(rows: DataFrame, prompt: str, provider: Provider = null_provider, out
             yield b.assign(**{out: pd.Series(provider(b[prompt].tolist()), index=b.index, dtype=object)})
 
     return rows.mapInPandas(run, schema)
+
+
+#: Times a failed batch may be cut in two.
+MOST_CUTS = 12
+
+
+def _asked(prompts: list[str], provider: Provider, cuts: int) -> list[tuple[str | None, str | None, int]]:
+    """(answer, reason, size of the batch that settled it) for each prompt. A batch fails as a whole by an error or by an answer of another
+    length; it is cut in two then, until a batch of one or of the last cut fails. An answer that is missing or blank fails alone."""
+    out: list[tuple[str | None, str | None, int]] = []
+    todo = [(0, len(prompts), cuts)]
+    while todo:
+        lo, hi, left = todo.pop()
+        if lo == hi:
+            continue
+        try:
+            answers = provider(prompts[lo:hi])
+            if len(answers) != hi - lo:
+                raise ValueError(f"{len(answers)} answers to {hi - lo} prompts")
+        except Exception as error:  # whatever a provider raises
+            if hi - lo > 1 and left:
+                mid = (lo + hi) // 2
+                todo += [(mid, hi, left - 1), (lo, mid, left - 1)]  # the first half is next
+            else:
+                out += [(None, f"{type(error).__name__}: {error}", hi - lo)] * (hi - lo)
+            continue
+        out += [(a, None if a is not None and a.strip() else "no answer", hi - lo) for a in answers]
+    return out
+
+
+def enrich_halving(rows: DataFrame, prompt: str, provider: Provider = null_provider, batch: int = 32, cuts: int = MOST_CUTS, out: str = "answer") -> DataFrame:
+    """rows with `out`, `reason` (null if there is an answer) and `settled_by` (the size of the batch that gave either). Prompts go to the
+    provider `batch` at a time; a batch that fails is halved, so rows that make a provider fail lose only themselves. A null prompt
+    isn't asked."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType()), T.StructField("reason", T.StringType()), T.StructField("settled_by", T.IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, found = b[prompt].tolist(), [(None, "no prompt", 0)] * len(b)
+            asked = [k for k, t in enumerate(texts) if isinstance(t, str)]
+            for at in range(0, len(asked), batch):
+                part = asked[at : at + batch]
+                for k, result in zip(part, _asked([texts[j] for j in part], provider, cuts), strict=True):
+                    found[k] = result
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield b.assign(**{c: pd.Series(list(v), index=b.index, dtype=t) for c, v, t in zip((out, "reason", "settled_by"), columns, (object, object, "int32"), strict=True)})
+
+    return rows.mapInPandas(run, schema)

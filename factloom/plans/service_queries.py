@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from factloom.operators import catalog, diff, service
@@ -299,3 +301,62 @@ def n01_log_cursor(spark, sf):
     from factloom.streaming.progress import read_log
 
     return read_log(spark, t(spark, sf, "events").select("event_id", "user_id", "event_type"), f"{sf}/events.parquet", 500)
+
+
+PHASE_SQL = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, event_type, {PHASE_SQL} AS p FROM events),
+o AS (SELECT *, coalesce(max(p) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT user_id, count(*) AS n_lines, CAST(max(p) AS INTEGER) AS phase, arg_max(event_type || ' ' || event_id, (ts, event_id)) AS activity,
+  array_to_string([coalesce(min(epoch_us(ts)) FILTER (WHERE p = k AND p > before), -1) for k in [1, 2, 3, 4]], ',') AS began FROM o GROUP BY user_id""".replace(
+    "array_to_string([coalesce(min(epoch_us(ts)) FILTER (WHERE p = k AND p > before), -1) for k in [1, 2, 3, 4]], ',')",
+    " || ',' || ".join(f"CAST(coalesce(min(epoch_us(ts)) FILTER (WHERE p = {k} AND p > before), -1) AS VARCHAR)" for k in (1, 2, 3, 4))))
+def n02_job_phases(spark, sf):
+    """The log in three parts, tracked by three calls of one job: each goes on where the last one stopped."""
+    from factloom.scratch import shared_dir
+    from factloom.sources.tables import StoredTable
+    from factloom.streaming import progress
+
+    name = f"phases-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}"
+    e = t(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", F.concat_ws(" ", "event_type", "event_id").alias("activity"))
+    low, high = e.agg(F.expr("percentile_approx(ts, array(0.33, 0.66))")).first()[0]
+    table = StoredTable(spark, f"{folder}/jobs", f"user_id {e.schema['user_id'].dataType.simpleString()}, {progress.STATE}", "user_id")
+    for part in (e.where(F.col("ts") <= F.lit(low)), e.where((F.col("ts") > F.lit(low)) & (F.col("ts") <= F.lit(high))), e.where(F.col("ts") > F.lit(high))):
+        part.write.mode("append").parquet(f"{folder}/log")
+        done = progress.track_jobs(spark, progress.stream_log(spark, e.schema, f"{folder}/log"), name, table, job="user_id")
+    return done.select("user_id", "n_lines", "phase", "activity", F.array_join(F.col("began").cast("array<string>"), ",").alias("began"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 3 = 2")
+def n01_log_resumed(spark, sf):
+    """What a second call of a job finds: only the lines that came after the first."""
+    from factloom.scratch import shared_dir
+    from factloom.streaming import progress
+
+    job = f"resumed-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{job}"
+    e = t(spark, sf, "events").select("event_id", "user_id")
+    e.where("event_id % 3 <> 2").write.parquet(f"{folder}/log")
+    stream = progress.stream_log(spark, e.schema, f"{folder}/log")
+    progress.follow(spark, stream, job)
+    e.where("event_id % 3 = 2").write.mode("append").parquet(f"{folder}/log")
+    return progress.follow(spark, stream, job)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 97 <> 5 AND c_custkey % 89 <> 7 THEN upper(c_name) END AS answer,
+  CASE WHEN c_custkey % 97 = 5 THEN 'ValueError: refused' WHEN c_custkey % 89 = 7 THEN 'no answer' END AS reason FROM customer""")
+def x10_halving(spark, sf):
+    """A provider that fails on a whole batch for one row in it, and has no answer to others: only those rows are lost."""
+    from factloom.extensions import enrich_halving
+
+    def provider(prompts):
+        keys = [int(p.rpartition("#")[2]) for p in prompts]
+        if any(k % 97 == 5 for k in keys):
+            raise ValueError("refused")
+        return [" " if k % 89 == 7 else p.upper() for k, p in zip(keys, [p.rpartition(" ")[0] for p in prompts], strict=True)]
+
+    c = t(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" #"), "c_custkey").alias("prompt"))
+    out = enrich_halving(c, "prompt", provider)
+    return out.select("c_custkey", F.when(F.col("reason").isNull(), F.col("answer")).alias("answer"), "reason")
