@@ -66,8 +66,42 @@ SENTENCES |= {
     ]
     for code in CC_CODES for v in ("4 0", "3 0")
 }
+# titles of whole texts, short notices and grants of further licenses
+SENTENCES["APACHE2_TITLE"] += ["apache license version 2 0 january 2004"]
+SENTENCES["BSL1_TITLE"] += ["boost software license version 1 0 august 17th 2003", "distributed under the boost software license version 1 0"]
+SENTENCES |= {
+    "GPL3_HEAD": ["gnu general public license version 3 29 june 2007"], "GPL2_HEAD": ["gnu general public license version 2 june 1991"], "LGPL3_HEAD": ["gnu lesser general public license version 3 29 june 2007"],
+    "LGPL21_HEAD": ["gnu lesser general public license version 2 1 february 1999"], "AGPL3_HEAD": ["gnu affero general public license version 3 19 november 2007"],
+    "MIT0_TITLE": ["mit no attribution", "mit no attribution license", "licensed under the mit 0 license"],
+    "MIT0_GRANT": [SENTENCES["MIT_GRANT"][0].removesuffix(" subject to the following conditions")],
+    "ZERO_BSD_GRANT": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "EPL2_TITLE": ["eclipse public license v 2 0", "eclipse public license version 2 0", "licensed under the eclipse public license 2 0"],
+    "EPL2_NOTICE": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which accompanies this distribution",
+    ],
+    "ARTISTIC2_TITLE": ["the artistic license 2 0", "artistic license 2 0", "licensed under the artistic license 2 0"],
+    "MSPL_TITLE": ["microsoft public license ms pl", "licensed under the microsoft public license ms pl", "microsoft public license"],
+    "WTFPL_TITLE": ["do what the fuck you want to public license"],
+    "POSTGRES_GRANT": ["permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
+}
+# a name in the middle: `*` stands for one to SLOT words
+SENTENCES |= {f"{k}_FREE": [*SENTENCES[f"{k}_FREE"], *(x.replace("this program", "*", 1) for x in SENTENCES[f"{k}_FREE"] if x.startswith("this program"))] for k in GNU}
+SENTENCES["BSD_NAMES"] += [
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "the names of * may not be used to endorse or promote products derived from this software without specific prior written permission",
+]
+#: Most words that a name may have.
+SLOT = 8
+#: Names that a tag line `SPDX-License-Identifier: ..` may have.
+TAGGED = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "Artistic-2.0", "MS-PL", "WTFPL", "PostgreSQL",
+    *(f"CC-{c.replace(' ', '-').upper()}-{v}" for c in CC_CODES for v in ("4.0", "3.0")),
+)
+SENTENCES |= {"TAG_" + "".join(c if c.isalnum() else "_" for c in n.upper()): ["spdx license identifier " + " ".join("".join(c if c.isalnum() else " " for c in n.lower()).split())] for n in TAGGED}
 #: Every known sentence holds one of these.
-HINTS = ("licen", "permission", "copyright", "redistribution", "software", "disclaimer", "claim")
+HINTS = ("licen", "permission", "copyright", "redistribution", "software", "disclaimer", "claim", "mit no attribution")
 #: Unknown segments that may stand between two parts of a license.
 GAP = r"(?:<\?>){0,5}"
 
@@ -81,6 +115,8 @@ _GRANT = _parts("MIT_GRANT", "MIT_NOTICE", "ASIS", "MIT_LIABILITY")
 _BSD = f"<BSD_REDIST>{GAP}<BSD_SOURCE>{GAP}<BSD_BINARY>"
 #: (license, pattern over identifiers each written as "<ID>"); earlier rules win.
 RULES = [
+    *[(n, f"<TAG_{''.join(c if c.isalnum() else '_' for c in n.upper())}>") for n in TAGGED],
+    ("MIT-0", f"(?:<MIT0_TITLE>{GAP})?<MIT0_GRANT>(?:{GAP}<ASIS>)?(?:{GAP}<MIT_LIABILITY>)?|<MIT0_TITLE>"),
     ("MIT", f"(?:<MIT_TITLE>{GAP})?{_GRANT}"),
     ("MIT", r"<MIT_TITLE>"),
     ("Apache-2.0", _parts("APACHE2_TITLE", "APACHE2_USE", "APACHE2_COPY")),
@@ -90,13 +126,19 @@ RULES = [
     ("BSD-2-Clause", r"<BSD2_TITLE>"),
     ("BSD", r"<BSD_REDIST>"),
     ("ISC", f"(?:<ISC_TITLE>{GAP})?<ISC_GRANT>|<ISC_TITLE>"),
-    *[(f"{k.rstrip('0123456789')}-{v.replace(' ', '.')}{'.0' if ' ' not in v else ''}", f"<{k}_TITLE>(?:{GAP}<{k}_FREE>)?|<{k}_FREE>") for k, (_, v) in GNU.items()],
+    *[(f"{k.rstrip('0123456789')}-{v.replace(' ', '.')}{'.0' if ' ' not in v else ''}", f"<{k}_TITLE>(?:{GAP}<{k}_FREE>)?|<{k}_FREE>|<{k}_HEAD>") for k, (_, v) in GNU.items()],
     *[(f"CC-{code.replace(' ', '-').upper()}-{v}.0", f"<CC_{code.replace(' ', '_').upper()}_{v}>") for code in CC_CODES for v in "43"],
     ("CC0-1.0", r"<CC0_TITLE>"),
     ("MPL-2.0", r"<MPL2_TITLE>"),
     ("Unlicense", r"<UNLICENSE>"),
     ("BSL-1.0", r"<BSL1_TITLE>"),
     ("Zlib", r"<ZLIB_GRANT>"),
+    ("0BSD", r"<ZERO_BSD_GRANT>"),
+    ("EPL-2.0", f"<EPL2_TITLE>(?:{GAP}<EPL2_NOTICE>)?|<EPL2_NOTICE>"),
+    ("Artistic-2.0", r"<ARTISTIC2_TITLE>"),
+    ("MS-PL", r"<MSPL_TITLE>"),
+    ("WTFPL", r"<WTFPL_TITLE>"),
+    ("PostgreSQL", r"<POSTGRES_GRANT>"),
 ]
 #: A sentence begins and ends at a line feed, or at . ! ? ; : followed by white space. Runs over the whole text.
 BREAK = r"\n|[.!?;:]+[ \t\r\f\x0B]"
@@ -114,7 +156,26 @@ def normalise(sentence: Column) -> Column:
 def _pattern(sentence: str) -> str:
     """A known sentence in a text whose breaks are written as words of their own."""
     words = sentence.split()
-    return words[0] + "".join(("(?: [|~]+)* " if pair in ACROSS else "(?: [|])* ") + pair[1] for pair in zip(words, words[1:], strict=False))
+    word = lambda w: rf"[a-z0-9]+(?:(?: [|])* [a-z0-9]+){{0,{SLOT - 1}}}?" if w == "*" else w
+    return word(words[0]) + "".join(("(?: [|~]+)* " if pair in ACROSS else "(?: [|])* ") + word(pair[1]) for pair in zip(words, words[1:], strict=False))
+
+
+#: Sentences with a slot, as patterns over normalised text: what stands for the slot is replaced by `*`, so that such a sentence is looked up
+#: as any other.
+_NAME = rf"[a-z0-9]+(?: [a-z0-9]+){{0,{SLOT - 1}}}?"
+SLOTS = [
+    (rf"^{_NAME} (is free software you can redistribute it and or modify it under the terms of .*)$", r"* $1"),
+    (rf"^neither the name of {_NAME} (nor the names of its contributors may be used .*)$", r"neither the name of * $1"),
+    (rf"^the names of {_NAME} (may not be used to endorse .*)$", r"the names of * $1"),
+]
+
+
+def named(sentence: Column, lookup: Column) -> Column:
+    """The identifier of a normalised sentence: as it is, else with a name replaced by `*`; null if it isn't known."""
+    slotted = sentence
+    for pattern, to in SLOTS:
+        slotted = F.regexp_replace(slotted, pattern, to)
+    return F.coalesce(F.try_element_at(lookup, sentence), F.try_element_at(lookup, slotted))
 
 
 def sentence_ids(text: Column, sentences: dict[str, list[str]] | None = None) -> Column:
@@ -127,7 +188,7 @@ def sentence_ids(text: Column, sentences: dict[str, list[str]] | None = None) ->
     marked = F.regexp_replace(F.concat(F.lit("| "), marked, F.lit(" |")), "[^a-z0-9|~]+", " ")
     whole = "|".join(_pattern(s) for s, _ in sorted(known, key=lambda x: -len(x[0])))
     found = F.regexp_extract_all(marked, F.lit(rf"(?<=[|~] )((?:{whole})(?= [|~])|[a-z0-9][^|~]*+)"), 1)
-    ids = F.transform(found, lambda s: F.coalesce(F.try_element_at(lookup, normalise(s)), F.lit("?")))
+    ids = F.transform(found, lambda s: F.coalesce(named(normalise(s), lookup), F.lit("?")))
     # a text without any of these holds no known sentence and is left out before the costly part
     ids = F.when(text.rlike("(?i)" + "|".join(HINTS)), ids).otherwise(F.array().cast("array<string>"))
     return F.transform(F.array(ids), lambda x: F.when(F.exists(x, lambda i: i != "?"), x).otherwise(F.array().cast("array<string>")))[0]

@@ -76,13 +76,16 @@ def _op5_sql() -> str:
     """Every segment by itself: the SQL doesn't find sentences that run across breaks, which the tests hold against plain loops."""
     known = _values([(s, k) for k, v in license_scan.SENTENCES.items() for s in v])
     whole = "|".join(f"(?:{p})" for _, p in license_scan.RULES)
+    slot = "n.sentence"
+    for pattern, to in license_scan.SLOTS:
+        slot = f"regexp_replace({slot}, '{pattern}', '{to.replace('$', chr(92))}')"
     name = " ".join(f"WHEN regexp_full_match(m, '{p}') THEN '{n}'" for n, p in license_scan.RULES)
     return f"""
 WITH known(sentence, sid) AS (VALUES {known}),
 s AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, ''), '\\n|[.!?;:]+[ \\t\\r\\f\\x0B]') AS parts FROM documents),
 p AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM s),
 n AS (SELECT r, pos, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM p),
-k AS (SELECT n.r, n.pos, coalesce(sid, '?') AS sid FROM n LEFT JOIN known USING (sentence) WHERE n.sentence <> ''),
+k AS (SELECT n.r, n.pos, coalesce(known.sid, slotted.sid, '?') AS sid FROM n LEFT JOIN known USING (sentence) LEFT JOIN known slotted ON slotted.sentence = {slot} WHERE n.sentence <> ''),
 f AS (SELECT r, coalesce(string_agg(sid, ',' ORDER BY pos) FILTER (WHERE sid <> '?'), '') AS sentence_ids, string_agg('<' || sid || '>', '' ORDER BY pos) AS seq FROM k GROUP BY r),
 m AS (SELECT r, sentence_ids, list_transform(regexp_extract_all(seq, '{whole}'), lambda m: CASE {name} END) AS found FROM f WHERE sentence_ids <> '')
 SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses,
