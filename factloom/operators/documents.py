@@ -230,3 +230,100 @@ def known_tokens(code: DataFrame, enums: DataFrame, macros: DataFrame, typedefs:
         .unionByName(said(any_word.join(typedefs.withColumnRenamed("name", "w"), "w"), "typedef"))
         .unionByName(said(words(r"(?:\.|->)\s*([A-Za-z_]\w*)").join(first, "w"), "member"))
     )
+
+
+# ---- the tree of a whole document -----------------------------------------------------------------------------------
+_SECTION = ("section", "parent", "number", "title", "level", "type", "body", "input_name", "output_name", "path")
+
+
+def _section(rows: DataFrame, section: Column, parent: Column, number: Column, title: Column, level: int, kind: Column | str, body: Column, path: list[Column | int], names: bool = False) -> DataFrame:
+    text = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("string")
+    place = F.array(*[(p if isinstance(p, Column) else F.lit(p)).cast("int") for p in path])
+    given = [F.col(c).cast("string") if names else F.lit(None).cast("string") for c in ("input_name", "output_name")]
+    values = [section, parent, number, title, F.lit(level), text(kind), body, *given, place]
+    return rows.select(*[(v if c in ("level", "path") else v.cast("string")).alias(c) for c, v in zip(_SECTION, values, strict=True)])
+
+
+def render_tree(units: DataFrame, interfaces: DataFrame, headers: DataFrame, flowcharts: DataFrame, behaviours: DataFrame, diagrams: DataFrame,
+                purpose: str, scope: str, terms: DataFrame, appendices: list[tuple[str, str]], most: int = 120) -> DataFrame:
+    """A whole document as rows: section, parent, number (empty: not numbered), title, level, type, body, input_name, output_name and path, by which
+    they are in order. The table of contents are the rows that have a number.
+
+    1 is the introduction (purpose, scope with the components, terms). Then each component has its static design (diagrams, a table of its units,
+    and for each unit: diagram, n.1.u.1 header, n.1.u.2 interface, n.1.u.3 .. its functions) and its dynamic behaviour; the appendices (title,
+    body) come last. units: component, unit; interfaces: component, unit, ord, fid, name, kind (`Function`, `Global Variable`), description,
+    hidden, cells (array of texts), input_name, output_name; headers: component, unit, ord, declaration, information; flowcharts: component, unit, name,
+    mermaid; behaviours: component, unit, ord, name, external; diagrams: component, unit (null for a component's), kind (`container`,
+    `dependency`, `unit`). What is hidden isn't shown. Numbers are ranks within the parent, so all kinds of section come from one pass over
+    their own rows; only the list of components is ranked as a whole."""
+    lit, num = F.lit, lambda *p: F.concat_ws(".", *p)
+    whole = interfaces.where(~F.coalesce("hidden", lit(False)))
+    # ranks
+    names = units.select("component").distinct().withColumn("n", F.row_number().over(Window.orderBy("component")) + 1)  # a row a component
+    ranked = units.select("component", "unit").distinct().join(names, "component").withColumn("u", F.row_number().over(Window.partitionBy("component").orderBy("unit")))
+    at = ["component", "unit"]
+    shown = F.replace("component", lit("-"), lit(" "))
+    unit_id = F.concat_ws("|", *at)
+    static = F.concat(F.col("component"), lit("-static"))
+    unit_section = F.concat(F.col("component"), lit("-unit-"), F.col("u"))
+    number = num(F.col("n"), lit(1), F.col("u"))
+    none = lit(None).cast("string")
+    out = []
+    # introduction
+    one = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list("component")), lambda c: F.concat(lit("• "), F.replace(c, lit("-"), lit(" ")))), "\n").alias("list"), F.count("*").alias("count"))
+    listed_terms = terms.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" | ", "term", "meaning"))), "\n").alias("t"))
+    out.append(_section(one, lit("intro"), none, lit("1"), lit("Introduction"), 1, "richtext", none, [1]))
+    out.append(_section(one, lit("intro-purpose"), lit("intro"), lit("1.1"), lit("Purpose"), 2, "richtext", lit(purpose), [1, 1]))
+    out.append(_section(one, lit("intro-scope"), lit("intro"), lit("1.2"), lit("Scope"), 2, "richtext", F.concat_ws("\n", lit(scope), F.nullif("list", lit(""))), [1, 2]))
+    empty_terms = F.col("t") == ""
+    out.append(_section(listed_terms, lit("intro-terms"), lit("intro"), lit("1.3"), lit("Terms, Abbreviations and Definitions"), 2, F.when(empty_terms, "richtext").otherwise("table"), F.when(empty_terms, "[Terms, abbreviations and definitions.]").otherwise(F.col("t")), [1, 3]))
+    # components
+    n = F.col("n")
+    comp = F.concat(lit("comp-"), F.col("component"))
+    out.append(_section(names, comp, none, n, shown, 1, "richtext", none, [n]))
+    out.append(_section(names, static, comp, num(n, lit(1)), lit("Static Design"), 2, "richtext", none, [n, 1]))
+    out.append(_section(names, F.concat(F.col("component"), lit("-dynamic")), comp, num(n, lit(2)), lit("Dynamic Behaviour"), 2, "richtext", none, [n, 2]))
+    for k, (kind, suffix, title, said) in enumerate((("container", "container", "Component Structure", "Component structure for "), ("dependency", "dep", "Include Dependencies", "Include dependencies for "))):
+        drawn = diagrams.where((F.col("kind") == kind) & F.col("unit").isNull()).select("component").distinct().join(names, "component")
+        out.append(_section(drawn, F.concat(F.col("component"), lit(f"-{suffix}")), static, lit(""), lit(title), 3, "diagram", F.concat(lit(said), shown, lit(".")), [n, 1, 0, k]))
+    # what is said about a unit: its functions' descriptions, then its variables', each once
+    said = F.trim(F.regexp_replace(F.coalesce("description", lit("")), r"\s+", " "))
+    told = whole.withColumn("said", said).where("said not in ('', '-', 'N/A')").withColumn("later", (F.col("kind") == "Global Variable").cast("int"))
+    told = told.groupBy(*at).agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("later", "ord", "said"))), lambda x: x["said"])), "; ").alias("told"))
+    lines = ranked.join(told, at, "left").select("component", "n", F.struct("u", F.concat_ws(" | ", shown, "unit", F.coalesce(F.substring("told", 1, most), lit("N/A")), lit("N/A")).alias("line")).alias("x"))
+    table = lines.groupBy("component", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("rows"))
+    out.append(_section(table, F.concat(F.col("component"), lit("-unit-table")), static, lit(""), lit("Component/Unit Table"), 3, "table", F.col("rows"), [n, 1, 0, 2]))
+    # units
+    u = F.col("u")
+    out.append(_section(ranked, unit_section, static, number, F.col("unit"), 3, "richtext", none, [n, 1, u]))
+    drawn = diagrams.where((F.col("kind") == "unit") & F.col("unit").isNotNull()).select(*at).distinct().join(ranked, at)
+    out.append(_section(drawn, F.concat(lit("unit-"), unit_id), unit_section, lit(""), F.concat(lit("Unit — "), F.col("unit")), 4, "diagram", F.concat(lit("Static structure of unit "), F.col("unit"), lit(".")), [n, 1, u, 0]))
+    for k, (suffix, title, rows, line) in enumerate((
+        ("header", "unit header", headers, F.concat_ws(" | ", F.coalesce("declaration", lit("N/A")), F.coalesce("information", lit("N/A")))),
+        ("iface", "unit interface", whole, F.array_join("cells", " | "))), 1):
+        own = rows.groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("rows"))
+        given = ranked.join(own, at, "left")
+        out.append(_section(given, F.concat(unit_id, lit(f"-{suffix}")), unit_section, num(number, lit(k)), lit(title), 4, F.when(F.col("rows").isNull(), "richtext").otherwise("table"), F.coalesce("rows", lit("NA")), [n, 1, u, k]))
+    # functions
+    functions = whole.where((F.col("kind") != "Global Variable") & (F.coalesce("name", lit("")) != "")).withColumn("f", F.row_number().over(Window.partitionBy(*at).orderBy("ord", "fid")) + 2)
+    charts = flowcharts.where(F.coalesce("mermaid", lit("")) != "").select(*at, "name").distinct().withColumn("chart", lit(True))
+    functions = functions.join(ranked, at).join(charts, [*at, "name"], "left")
+    f = F.col("f")
+    out.append(_section(functions, F.concat(unit_id, lit("-fn-"), F.col("name")), unit_section, num(number, f), F.concat_ws("-", "unit", "name"), 4, F.when(F.col("chart"), "flowchart_table").otherwise("richtext"),
+                        F.coalesce(F.nullif("description", lit("")), lit("-")), [n, 1, u, f], names=True))
+    # behaviour
+    secret = interfaces.where(F.coalesce("hidden", lit(False))).select(*at, "name").distinct()
+    acts = behaviours.join(secret, [*at, "name"], "left_anti").withColumn("b", F.row_number().over(Window.partitionBy("component").orderBy("unit", "ord", "name"))).join(names, "component")
+    spoken = whole.groupBy(*at, "name").agg(F.min_by("input_name", "ord").alias("input_name"), F.min_by("output_name", "ord").alias("output_name"))
+    acts = acts.join(spoken, [*at, "name"], "left")
+    b = F.col("b")
+    title = F.concat(F.concat_ws(" - ", "unit", "name"), F.when(F.coalesce("external", lit("")) != "", F.concat(lit(" ("), F.col("external"), lit(")"))).otherwise(""))
+    out.append(_section(acts, F.concat(F.col("component"), lit("-dyn-"), b), F.concat(F.col("component"), lit("-dynamic")), num(n, lit(2), b), title, 3, "behavior_table", none, [n, 2, b], names=True))
+    # what comes last
+    for k, (title, body) in enumerate(appendices):
+        at_end = F.col("count") + 2 + k
+        out.append(_section(one, lit(f"end-{k + 1}"), none, at_end, lit(title), 1, "richtext", lit(body), [at_end]))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows

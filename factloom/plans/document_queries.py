@@ -182,3 +182,57 @@ def d40_known_tokens(spark, sf):
     return ops.known_tokens(
         t(spark, sf, "part").select(F.col("p_partkey").alias("id"), code.alias("code")), one([("Color", "RED", "e"), ("Color", "GREEN", "e"), ("Other", None, "o")], "name string, value string, said string"), macros,
         one([("speed_t", "t")], "name string, said string"), one([("B", 2, "len", "B.len"), ("A", 1, "len", "A.len"), ("B", 2, "pos", "B.pos")], "struct_name string, ord int, member string, said string"))
+
+
+def _rendered(spark, sf):
+    """Regions are components, nations units, suppliers interfaces; customers' segments are the terms."""
+    n = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat(F.lower("r_name"), F.lit("-x")).alias("component"), F.col("n_name").alias("unit"))
+    s = t(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    word = F.concat(F.lit("about "), (k % 11).cast("string"))
+    i = s.select("component", "unit", k.alias("ord"), k.alias("fid"), F.col("s_name").alias("name"), F.when(k % 4 == 0, "Global Variable").otherwise("Function").alias("kind"), F.when(k % 5 != 0, word).alias("description"), (k % 17 == 0).alias("hidden"),
+                 F.array(F.lit("IF"), "s_name", k.cast("string")).alias("cells"), F.concat("s_name", F.lit(" input")).alias("input_name"), F.concat("s_name", F.lit(" result")).alias("output_name"))
+    units = n.select("component", "unit")
+    headers = n.where("n_nationkey % 3 <> 0").select("component", "unit", F.explode(F.array(F.lit(1), F.lit(2))).alias("ord"), "n_nationkey").select("component", "unit", "ord", F.concat(F.lit("int g"), F.col("ord")).alias("declaration"), F.when(F.col("ord") == 1, F.col("n_nationkey").cast("string")).alias("information"))
+    flows = i.where("fid % 3 = 0").select("component", "unit", "name", F.lit("flowchart TD").alias("mermaid"))
+    acts = i.where("fid % 10 = 1").select("component", "unit", "ord", "name", F.when(F.col("fid") % 20 == 1, F.lit("Other")).alias("external"))
+    drawn = units.select("component", F.lit(None).cast("string").alias("unit"), F.lit("container").alias("kind")).distinct().unionByName(n.where("n_nationkey % 2 = 0").select("component", "unit", F.lit("unit").alias("kind")))
+    terms = t(spark, sf, "customer").select(F.col("c_mktsegment").alias("term"), F.lower("c_mktsegment").alias("meaning")).distinct()
+    return ops.render_tree(units, i, headers, flows, acts, drawn, "Why.", "What.", terms, [("Code Metrics", "[Code metrics.]"), ("Design Guideline", "[Design guidelines.]")])
+
+
+RENDER = """n AS (SELECT n_nationkey, lower(r_name) || '-x' AS c, n_name AS u FROM nation JOIN region ON n_regionkey = r_regionkey),
+r AS (SELECT n_nationkey, c, u, dense_rank() OVER (ORDER BY c) + 1 AS n, dense_rank() OVER (PARTITION BY c ORDER BY u) AS k, replace(c, '-', ' ') AS shown FROM n),
+cs AS (SELECT DISTINCT c, n, shown FROM r),
+i AS (SELECT r.*, s_suppkey AS s, s_name AS name, s_suppkey % 4 = 0 AS v, CASE WHEN s_suppkey % 5 <> 0 THEN 'about ' || s_suppkey % 11 END AS d FROM supplier JOIN r ON s_nationkey = n_nationkey WHERE s_suppkey % 17 <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY c, u ORDER BY s) + 2 AS j FROM i WHERE NOT v),
+b AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY u, s) AS j FROM i WHERE s % 10 = 1),
+told AS (SELECT c, u, string_agg(d, '; ' ORDER BY o) AS told FROM (SELECT c, u, d, min((v, s)) AS o FROM i WHERE d IS NOT NULL GROUP BY c, u, d) GROUP BY c, u),
+x AS (
+  SELECT 'intro' AS section, NULL AS parent, '1' AS number, 'Introduction' AS title, 1 AS level, 'richtext' AS type, NULL AS body, NULL AS input_name, NULL AS output_name, '1' AS path
+  UNION ALL SELECT 'intro-purpose', 'intro', '1.1', 'Purpose', 2, 'richtext', 'Why.', NULL, NULL, '1.1'
+  UNION ALL SELECT 'intro-scope', 'intro', '1.2', 'Scope', 2, 'richtext', 'What.' || chr(10) || (SELECT string_agg('• ' || shown, chr(10) ORDER BY c) FROM cs), NULL, NULL, '1.2'
+  UNION ALL SELECT 'intro-terms', 'intro', '1.3', 'Terms, Abbreviations and Definitions', 2, 'table', (SELECT string_agg(m || ' | ' || lower(m), chr(10) ORDER BY m) FROM (SELECT DISTINCT c_mktsegment AS m FROM customer)), NULL, NULL, '1.3'
+  UNION ALL SELECT 'comp-' || c, NULL, '' || n, shown, 1, 'richtext', NULL, NULL, NULL, '' || n FROM cs
+  UNION ALL SELECT c || '-static', 'comp-' || c, n || '.1', 'Static Design', 2, 'richtext', NULL, NULL, NULL, n || '.1' FROM cs
+  UNION ALL SELECT c || '-dynamic', 'comp-' || c, n || '.2', 'Dynamic Behaviour', 2, 'richtext', NULL, NULL, NULL, n || '.2' FROM cs
+  UNION ALL SELECT c || '-container', c || '-static', '', 'Component Structure', 3, 'diagram', 'Component structure for ' || shown || '.', NULL, NULL, n || '.1.0.0' FROM cs
+  UNION ALL SELECT c || '-unit-table', c || '-static', '', 'Component/Unit Table', 3, 'table', string_agg(shown || ' | ' || u || ' | ' || coalesce(substr(told, 1, 120), 'N/A') || ' | N/A', chr(10) ORDER BY u), NULL, NULL, n || '.1.0.2' FROM r LEFT JOIN told USING (c, u) GROUP BY c, n
+  UNION ALL SELECT c || '-unit-' || k, c || '-static', n || '.1.' || k, u, 3, 'richtext', NULL, NULL, NULL, n || '.1.' || k FROM r
+  UNION ALL SELECT 'unit-' || c || '|' || u, c || '-unit-' || k, '', 'Unit — ' || u, 4, 'diagram', 'Static structure of unit ' || u || '.', NULL, NULL, n || '.1.' || k || '.0' FROM r WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT c || '|' || u || '-header', c || '-unit-' || k, n || '.1.' || k || '.1', 'unit header', 4, CASE WHEN n_nationkey % 3 = 0 THEN 'richtext' ELSE 'table' END, CASE WHEN n_nationkey % 3 = 0 THEN 'NA' ELSE 'int g1 | ' || n_nationkey || chr(10) || 'int g2 | N/A' END, NULL, NULL, n || '.1.' || k || '.1' FROM r
+  UNION ALL SELECT r.c || '|' || r.u || '-iface', r.c || '-unit-' || r.k, r.n || '.1.' || r.k || '.2', 'unit interface', 4, CASE WHEN count(s) = 0 THEN 'richtext' ELSE 'table' END, coalesce(string_agg('IF | ' || name || ' | ' || s, chr(10) ORDER BY s), 'NA'), NULL, NULL, r.n || '.1.' || r.k || '.2' FROM r LEFT JOIN i USING (c, u) GROUP BY r.c, r.u, r.n, r.k
+  UNION ALL SELECT c || '|' || u || '-fn-' || name, c || '-unit-' || k, n || '.1.' || k || '.' || j, u || '-' || name, 4, CASE WHEN s % 3 = 0 THEN 'flowchart_table' ELSE 'richtext' END, coalesce(d, '-'), name || ' input', name || ' result', n || '.1.' || k || '.' || j FROM f
+  UNION ALL SELECT c || '-dyn-' || j, c || '-dynamic', n || '.2.' || j, u || ' - ' || name || CASE WHEN s % 20 = 1 THEN ' (Other)' ELSE '' END, 3, 'behavior_table', NULL, name || ' input', name || ' result', n || '.2.' || j FROM b
+  UNION ALL SELECT 'end-' || e, NULL, '' || ((SELECT count(*) FROM cs) + 1 + e), CASE e WHEN 1 THEN 'Code Metrics' ELSE 'Design Guideline' END, 1, 'richtext', CASE e WHEN 1 THEN '[Code metrics.]' ELSE '[Design guidelines.]' END, NULL, NULL, '' || ((SELECT count(*) FROM cs) + 1 + e) FROM (VALUES (1), (2)) AS q(e))"""
+
+
+@query(f"WITH {RENDER} SELECT section, parent, number, title, level, type, body, input_name, output_name, path FROM x")
+def w11_w12_render_tree(spark, sf):
+    out = _rendered(spark, sf)
+    return out.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "."))
+
+
+@query(f"WITH {RENDER} SELECT number, title, level FROM x WHERE number <> ''")
+def w11_table_of_contents(spark, sf):
+    return _rendered(spark, sf).where("number <> ''").select("number", "title", "level")
