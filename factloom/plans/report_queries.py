@@ -181,3 +181,58 @@ def m04_group_changed(spark, sf):
     """Whether a group of a document changed: by its tables, else by its render where both documents are there."""
     s = F.col("p_size")
     return t(spark, sf, "part").select("p_partkey", catalog.group_changed(s % 2 == 0, s % 3 > 0, F.when(s % 7 > 0, s % 5 == 0).otherwise(F.when(s % 5 == 0, F.lit(True)))).alias("changed"))
+
+
+@query("""SELECT n_regionkey || '/v1/' || lower(r_name) AS id, 'nations' AS name, 'n' || n_nationkey AS key, n_nationkey AS number, n_name AS title FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT n_regionkey || '/v1/' || lower(r_name), 'suppliers', CAST(s_suppkey AS VARCHAR), s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'bad', 'nowhere.json', 'not a table''s path', NULL, NULL UNION ALL SELECT 'bad', '0/v1/africa/broken.json', 'broken JSON', NULL, NULL""")
+def x23_import_folder(spark, sf):
+    """A folder of a project a region, with its nations as an object by key and its suppliers as a list, a broken file and a stray one, read back as
+    typed tables."""
+    from factloom.sources import ingest
+    from factloom.sources.tables import Folder
+
+    folder = f"{shared_dir(spark)}/output-{uuid.uuid4().hex}"
+    n = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    at = [F.concat_ws("/", "n_regionkey", F.lit("v1"), F.lower("r_name")).alias("at")]
+    keyed = n.groupBy(*at).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), "n_nationkey"), F.struct(F.col("n_nationkey").alias("number"), F.col("n_name").alias("title")))))).alias("text"))
+    s = t(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    listed = s.groupBy(*at).agg(F.to_json(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("number"), F.col("s_name").alias("title")))).alias("text"))
+    files = Folder(spark, folder)
+    for name, frame in (("nations", keyed), ("suppliers", listed)):  # a file a region
+        for row in frame.toLocalIterator():
+            files.put_if_absent(f"{row['at']}/{name}.json", row.text if name == "nations" else f'{{"entries": {row.text}}}')
+    files.put_if_absent("0/v1/africa/broken.json", '{"a": {"b": 1}')
+    files.put_if_absent("nowhere.json", "{}")
+    files.delete("drafts")
+    entries, bad = ingest.read_folder(spark, folder)
+    fields = ingest.infer_fields(entries)
+    tables = [ingest.typed_table(entries, fields, name).select(F.concat_ws("/", "project", "version", "grp").alias("id"), F.lit(name).alias("name"), "key", "number", "title") for name in ("nations", "suppliers")]
+    none = [F.lit(None).cast("bigint").alias("number"), F.lit(None).cast("string").alias("title")]
+    return tables[0].unionByName(tables[1]).unionByName(bad.select(F.lit("bad").alias("id"), F.col("path").alias("name"), F.col("reason").alias("key"), *none))
+
+
+@query(f"""WITH {FUNCTIONS}, {CALLS}, u AS (SELECT component, count(*) AS n FROM functions GROUP BY component), h AS (SELECT count(DISTINCT md5(name || '|' || size)) AS n FROM functions), e AS (SELECT count(*) AS n FROM calls)
+SELECT 'components' AS what, count(*) AS n FROM u UNION ALL SELECT 'functions', CAST(sum(n) AS BIGINT) FROM u UNION ALL SELECT 'hashes', n FROM h UNION ALL SELECT 'edges', n FROM e
+UNION ALL SELECT 'first run wrote', 5 UNION ALL SELECT 'second run wrote', 0 UNION ALL SELECT 'third run wrote', 3""")
+def x21_incremental_generation(spark, sf):
+    """Units, hashes, edges, interfaces and a report derived from raw rows by tasks: the second run writes nothing, one with another size of a
+    function only what depends on it."""
+    from factloom.operators.generation import Task, generate
+
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    f, c = functions(spark, sf), calls(spark, sf)
+    tasks = [
+        Task("edges", ("calls",), lambda c: c.distinct()),
+        Task("interfaces", ("edges",), lambda e: e.groupBy(F.col("callee").alias("fid")).agg(F.count("*").alias("callers"))),
+        Task("units", ("functions",), lambda f: f.groupBy("component", "file").agg(F.count("*").alias("n"))),
+        Task("hashes", ("functions",), lambda f: f.select("fid", F.md5(F.concat_ws("|", "name", "size")).alias("hash"))),
+        Task("report", ("units", "hashes", "edges"), lambda u, h, e: u.agg(F.count_distinct("component").alias("components"), F.sum("n").alias("functions")).crossJoin(h.agg(F.count_distinct("hash").alias("hashes"))).crossJoin(e.agg(F.count("*").alias("edges")))),
+    ]
+    wrote = lambda run: sum(s == "written" for s in run.status.values())
+    first = generate(spark, folder, {"functions": f, "calls": c}, tasks)
+    second = generate(spark, folder, {"functions": f, "calls": c}, tasks)
+    third = generate(spark, folder, {"functions": f.withColumn("size", F.when(F.col("fid") == 7, 99).otherwise(F.col("size"))), "calls": c}, tasks)
+    said = second.tables["report"].select(F.explode(F.create_map(*[x for k in ("components", "functions", "hashes", "edges") for x in (F.lit(k), F.col(k))])).alias("what", "n"))
+    runs = [(f"{k} run wrote", wrote(r)) for k, r in (("first", first), ("second", second), ("third", third))]
+    return said.unionByName(spark.createDataFrame(runs, "what string, n long"))
