@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,18 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _roots.pop())
 
 
+@contextlib.contextmanager
+def only_result(spark: SparkSession) -> Iterator[None]:
+    """Around a step whose result is written elsewhere: the scratch tables that it has made are deleted when it is done."""
+    before = len(_roots)
+    try:
+        yield
+    finally:
+        for path in _roots[before:]:
+            _delete(spark, path)
+        del _roots[before:]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
