@@ -9,7 +9,7 @@ from factloom.llm import line_dedup, packing, pii, quality, simhash
 from factloom.llm.common import text_or_empty
 from factloom.llm.queries import packed_digest
 from factloom.operators.graph import connected_components
-from factloom.scratch import Scratch
+from factloom.scratch import Scratch, only_result
 
 #: Near copies: words of a shingle.
 COPY_WORDS = 5
@@ -93,5 +93,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with only_result(spark):  # what a stage has written besides its result goes, and then the result before
+            last, docs = docs, scratch.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(last)
     return docs
