@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import extensions
 from factloom.functions import keys
-from factloom.operators import catalog, derive, graph, incremental as inc
+from factloom.operators import catalog, context, derive, graph, incremental as inc
 from factloom.plans.inputs import ACCESS, CALLS, FUNCTIONS, access, calls, functions, query, t, versions
 from factloom.scratch import shared_dir
 from factloom.sources import readers, sinks
@@ -236,3 +236,66 @@ def x21_incremental_generation(spark, sf):
     said = second.tables["report"].select(F.explode(F.create_map(*[x for k in ("components", "functions", "hashes", "edges") for x in (F.lit(k), F.col(k))])).alias("what", "n"))
     runs = [(f"{k} run wrote", wrote(r)) for k, r in (("first", first), ("second", second), ("third", third))]
     return said.unionByName(spark.createDataFrame(runs, "what string, n long"))
+
+
+@query(f"""WITH {FUNCTIONS}, {CALLS}, m AS (SELECT fid, component || '|' || unit AS unit, component, CASE WHEN fid % 5 <> 0 THEN 'IF_' || fid END AS iface FROM functions),
+e AS (SELECT a.unit AS f, b.unit AS t, a.component AS fc, b.component AS tc, string_agg(DISTINCT b.iface, '<br/>' ORDER BY b.iface) AS label FROM calls JOIN m a ON a.fid = caller JOIN m b ON b.fid = callee WHERE a.unit <> b.unit AND b.iface IS NOT NULL GROUP BY ALL),
+s AS (SELECT t AS unit, tc AS component, f AS other, fc AS home, true AS calls_it, label FROM e UNION ALL SELECT f, fc, t, tc, false, label FROM e),
+x AS (SELECT *, home = component AS inside, max(calls_it) OVER (PARTITION BY unit, other) AS any_in, replace(replace(unit, '|', '_'), ' ', '-') AS i, replace(replace(other, '|', '_'), ' ', '-') AS j FROM s),
+o AS (SELECT DISTINCT unit, other, home, inside, any_in, i, j, j || '["' || replace(home || '/' || other, '-', ' ') || '"]' AS node FROM x),
+p AS (SELECT DISTINCT unit, component, replace(replace(unit, '|', '_'), ' ', '-') AS i FROM m),
+a AS (SELECT *, CASE WHEN calls_it THEN j || ' ' || i ELSE i || ' ' || j END AS ends, CASE WHEN calls_it THEN j || ' -->|' || label || '| ' || i ELSE i || ' -->|' || label || '| ' || j END AS arrow FROM x),
+l(unit, section, ord, line) AS (
+  SELECT unit, 0, '', '%%{{init: {{''flowchart'': {{''splines'': ''ortho''}}}}}}%%' || chr(10) || 'flowchart LR' || chr(10) || '  classDef internal fill:#87CEEB,stroke:#333,stroke-width:1px' || chr(10) || '  classDef mainUnit fill:#87CEEB,stroke:#4682B4,stroke-width:3px' || chr(10) FROM p
+  UNION ALL SELECT unit, 1, j, '  ' || node FROM o WHERE any_in AND NOT inside
+  UNION ALL SELECT unit, 2, '', '  subgraph internal_mod["' || replace(component, '-', ' ') || '"]' || chr(10) || '    direction TB' || chr(10) || '    style internal_mod fill:#ffffcc,stroke:#d4d400,stroke-width:2px' || chr(10) FROM p
+  UNION ALL SELECT unit, 3, j, '    ' || node FROM o WHERE any_in AND inside UNION ALL SELECT unit, 4, '', '    ' || i || '["' || unit || '"]' FROM p UNION ALL SELECT unit, 5, j, '    ' || node FROM o WHERE NOT any_in AND inside
+  UNION ALL SELECT unit, 6, '', '' FROM p UNION ALL SELECT unit, 7, ends, '    ' || arrow FROM a WHERE inside UNION ALL SELECT unit, 8, '', chr(10) || '    class ' || i || ' mainUnit' FROM p
+  UNION ALL SELECT unit, 9, '', '    class ' || string_agg(j, ',' ORDER BY NOT any_in, j) || ' internal' FROM o WHERE inside GROUP BY unit UNION ALL SELECT unit, 10, '', '  end' || chr(10) FROM p
+  UNION ALL SELECT unit, 11, j, '  ' || node FROM o WHERE NOT any_in AND NOT inside UNION ALL SELECT unit, 12, '', '' FROM p UNION ALL SELECT unit, 13, ends, '  ' || arrow FROM a WHERE NOT inside AND (calls_it OR NOT any_in))
+SELECT unit, string_agg(line, chr(10) ORDER BY section, ord) AS mermaid FROM l GROUP BY unit""")
+def b04_unit_diagrams(spark, sf):
+    """Every unit's diagram, its edges labelled by interface ids."""
+    m = functions(spark, sf).select("fid", F.concat_ws("|", "component", "unit").alias("unit"), "component", F.when(F.col("fid") % 5 != 0, F.concat(F.lit("IF_"), "fid")).alias("iface"))
+    return context.unit_diagrams(m, calls(spark, sf))
+
+
+@query(f"""WITH {FUNCTIONS}, {CALLS}, {ACCESS}, d AS (SELECT fid, name, component, file, CASE WHEN fid % 3 <> 0 THEN 'does ' || type END AS about, size FROM functions),
+c AS (SELECT callee AS fid, string_agg(chr(10) || '  ' || name || CASE WHEN about IS NULL THEN '' ELSE ': ' || about END, '' ORDER BY name, caller) AS t FROM (SELECT callee, caller, name, about, row_number() OVER (PARTITION BY callee ORDER BY name, caller) AS k FROM (SELECT DISTINCT * FROM calls) JOIN d ON d.fid = caller) WHERE k <= 5 GROUP BY callee),
+u AS (SELECT fid, gid, string_agg(DISTINCT CASE mode WHEN 'w' THEN 'writes' ELSE 'reads' END, ' and ' ORDER BY CASE mode WHEN 'w' THEN 'writes' ELSE 'reads' END) AS how FROM access GROUP BY fid, gid),
+g AS (SELECT fid, string_agg(chr(10) || '  ' || how || ' ' || s_name || CASE WHEN gid % 2 = 0 THEN ': nation ' || s_nationkey ELSE '' END, '' ORDER BY s_name, gid) AS t FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY s_name, gid) AS k FROM u JOIN supplier ON s_suppkey = gid) WHERE k <= 5 GROUP BY fid)
+SELECT fid, 'Location: all > ' || component || ' > ' || file || coalesce(chr(10) || 'Called by:' || c.t, '') || CASE WHEN size % 4 > 0 THEN chr(10) || 'Parameters: T' || size % 7 || ' a' || CASE WHEN size % 4 > 1 THEN ', int b' ELSE '' END ELSE '' END
+  || CASE WHEN size % 4 > 0 AND size % 7 < 5 THEN chr(10) || 'Parameter type context:' || chr(10) || '  T' || size % 7 || ': type ' || size % 7 ELSE '' END || coalesce(chr(10) || 'Purpose: ' || about, '')
+  || CASE WHEN fid % 4 = 0 THEN chr(10) || 'Function execution phases:' || chr(10) || '  Phase 1 (lines 1-' || size || '): begin' || chr(10) || '  Phase 2 (lines ' || (size + 1) || '-' || (size + 9) || '): end' ELSE '' END || coalesce(chr(10) || 'Globals:' || g.t, '') AS packet
+FROM d LEFT JOIN c USING (fid) LEFT JOIN g USING (fid)""")
+def x04_base_context(spark, sf):
+    """The whole context packet of every function."""
+    f = functions(spark, sf)
+    size = F.col("size")
+    param = lambda t_, n: F.struct(t_.alias("type"), F.lit(n).alias("name"))
+    params = F.slice(F.array(param(F.concat(F.lit("T"), size % 7), "a"), param(F.lit("int"), "b")), F.lit(1), F.least(size % 4, F.lit(2)).cast("int"))
+    fs = f.select("fid", "name", F.lit("all").alias("project"), "component", "file", F.when(F.col("fid") % 3 != 0, F.concat(F.lit("does "), "type")).alias("description"), params.alias("params"))
+    g = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("gid"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("nation "), "s_nationkey")).alias("said"))
+    types = t(spark, sf, "region").select(F.concat(F.lit("T"), "r_regionkey").alias("type"), F.concat(F.lit("type "), "r_regionkey").alias("said"))
+    part = lambda a, b, said: F.struct(a.alias("start_line"), b.alias("end_line"), F.lit(said).alias("said"))
+    steps = f.where("fid % 4 = 0").select("fid", F.explode(F.array(part(F.lit(1), size, "begin"), part(size + 1, size + 9, "end"))).alias("x")).select("fid", "x.*")
+    return context.context_packets(fs, calls(spark, sf), access(spark, sf), g, types, steps)
+
+
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN sig || chr(10) || d || chr(10) || p_comment_ WHEN 1 THEN sig || chr(10) || p_brand || chr(10) || p_type || chr(10) || 'three' WHEN 2 THEN sig || chr(10) || p_brand WHEN 3 THEN sig ELSE p_name END AS detail
+FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'void ' || p_name || '()' END AS sig, p_brand || chr(10) || p_type || chr(10) || 'three' || chr(10) || 'four' AS d, 'code ' || p_size AS p_comment_ FROM part) WHERE p_partkey % 3 <> 0 OR p_size % 5 <> 0
+UNION ALL SELECT p_partkey, p_brand || chr(10) || p_type || chr(10) || 'three' || chr(10) || 'four' || chr(10) || 'code ' || p_size FROM part WHERE p_partkey % 3 = 0 AND p_size % 5 = 0""")
+def x08_five_levels(spark, sf):
+    p, none = t(spark, sf, "part"), F.lit(None).cast("string")
+    signature = F.when(F.col("p_partkey") % 3 == 0, none).otherwise(F.concat(F.lit("void "), "p_name", F.lit("()")))
+    said = F.concat_ws("\n", "p_brand", "p_type", F.lit("three"), F.lit("four"))
+    return p.select("p_partkey", context.detail_text(F.col("p_size") % 5, F.col("p_name"), signature, said, F.concat(F.lit("code "), "p_size")).alias("detail"))
+
+
+@query(f"""WITH {FUNCTIONS}, {CALLS}, r AS (SELECT fid, other, min(role) AS role FROM (SELECT caller AS fid, callee AS other, 'callee' AS role FROM calls WHERE caller <> callee UNION ALL SELECT callee, caller, 'caller' FROM calls WHERE caller <> callee) GROUP BY fid, other),
+n AS (SELECT r.fid, f.file, f.name, f.fid AS id, role FROM r JOIN functions f ON f.fid = other UNION ALL SELECT a.fid, a.file, b.name, b.fid, NULL FROM functions a JOIN functions b ON a.file = b.file AND a.fid <> b.fid WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.fid = a.fid AND other = b.fid)),
+m AS (SELECT fid, file, string_agg(name || coalesce(' [' || role || ']', ''), chr(10) ORDER BY name, id) AS t FROM n GROUP BY fid, file)
+SELECT coalesce(m.fid, f.fid) AS fid, coalesce(m.file, f.file) AS file, CASE WHEN f.fid IS NULL THEN t ELSE concat_ws(chr(10), f.name || ' [target]', t) END AS members FROM m FULL JOIN functions f ON f.fid = m.fid AND f.file = m.file""")
+def x09_all_neighbourhoods(spark, sf):
+    """The neighbourhood of every function, by file."""
+    return context.neighbourhoods(functions(spark, sf), calls(spark, sf))
