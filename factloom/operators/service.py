@@ -99,3 +99,43 @@ def dashboard(projects: DataFrame, versions: DataFrame, documents: DataFrame, jo
 def running_max(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(f"{value}_so_far", F.max(value).over(w))
+
+
+# ---- small reads that reports are made of ---------------------------------------------------------------------------
+def members(rows: DataFrame, allowed: DataFrame, key: str | list[str]) -> DataFrame:
+    """The rows whose key is among the allowed ones; repeated keys there don't repeat rows."""
+    return rows.join(allowed, key, "left_semi")
+
+
+def visible(rows: DataFrame, file: str, hidden: str, suffixes: tuple[str, ...], components: DataFrame | None = None, component: str = "component") -> DataFrame:
+    """The rows of files with one of the suffixes that aren't hidden (null: not hidden) and lie in one of the components, if any are named."""
+    kept = rows.where(~F.coalesce(F.col(hidden), F.lit(False)))
+    ends = F.lit(False)
+    for s in suffixes:
+        ends = ends | F.endswith(F.col(file), F.lit(s))
+    kept = kept.where(ends)
+    return kept if components is None else members(kept, components, component)
+
+
+def assignees(items: DataFrame, ids: str, users: DataFrame, item: str, user: str) -> DataFrame:
+    """(item, columns of users, place): the known users among an item's array of ids, in the order of the array, places from 1."""
+    each = items.select(item, F.posexplode(ids).alias("_at", user)).join(users, user)
+    return each.select(item, *users.columns, F.row_number().over(Window.partitionBy(item).orderBy("_at", user)).alias("place"))
+
+
+def commits_with_tags(commits: DataFrame, tags: DataFrame, head: DataFrame, commit: str, order: str) -> DataFrame:
+    """commits with their last tag by `order` (null: none), and whether each is the head. head: a frame of one row with the commit."""
+    last = tags.groupBy(commit).agg(F.max_by("tag", order).alias("tag"))
+    at = head.select(F.col(commit), F.lit(True).alias("_head"))
+    return commits.join(last, commit, "left").join(F.broadcast(at), commit, "left").select(*commits.columns, "tag", F.coalesce("_head", F.lit(False)).alias("is_current"))
+
+
+def review_progress(rows: DataFrame, group: list[str], done: Column, hidden: Column) -> DataFrame:
+    """(group.., total, done, hidden): how many rows there are, are done, and are hidden; null counts as neither."""
+    return rows.groupBy(*group).agg(F.count("*").alias("total"), F.count_if(done).alias("done"), F.count_if(hidden).alias("hidden"))
+
+
+def in_order(rows: DataFrame, group: list[str], order: str, text: str, separator: str, out: str) -> DataFrame:
+    """(group.., out): the texts of each group in order, joined."""
+    held = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_m"))
+    return held.select(*group, F.array_join(F.transform("_m", lambda x: x["t"]), separator).alias(out))

@@ -36,7 +36,7 @@ def c16_unread(spark, sf):
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def c18_d27_membership(spark, sf):
     n = t(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
-    return t(spark, sf, "supplier").join(n, "s_nationkey", "left_semi").select("s_suppkey", "s_name")
+    return service.members(t(spark, sf, "supplier"), n, "s_nationkey").select("s_suppkey", "s_name")
 
 
 @query("""SELECT c_custkey, 'name' AS k, CAST(1 + c_custkey % 2 AS BIGINT) AS n FROM customer""")
@@ -70,8 +70,8 @@ def c05_c06_component_filter(spark, sf):
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_size % 2 = 1 AND p_brand IN (SELECT p_brand FROM part WHERE p_size = 1)")
 def c01_c07_visible_rows(spark, sf):
-    p = t(spark, sf, "part").withColumn("file", F.concat("p_partkey", F.when(F.col("p_partkey") % 3 == 0, ".cpp").otherwise(".cc")))
-    return p.where(F.col("file").endswith(".cpp") & (F.col("p_size") % 2 == 1)).join(p.where("p_size = 1").select("p_brand"), "p_brand", "left_semi").select("p_partkey")
+    p = t(spark, sf, "part").withColumn("file", F.concat("p_partkey", F.when(F.col("p_partkey") % 3 == 0, ".cpp").otherwise(".cc"))).withColumn("hidden", F.col("p_size") % 2 == 0)
+    return service.visible(p, "file", "hidden", (".cpp",), p.where("p_size = 1").select("p_brand"), "p_brand").select("p_partkey")
 
 
 @query("SELECT l_orderkey, l_partkey, p.p_brand NOT IN ('Brand#1', 'Brand#2') OR p.p_brand <> q.p_brand AS external FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1) l JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = l_orderkey")
@@ -97,7 +97,7 @@ def e07_status_counts(spark, sf):
 @query("SELECT lang, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS done, count(*) FILTER (WHERE toxic = 1) AS hidden FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def e08_e09_review_progress(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "lang").join(t(spark, sf, "labels"), "doc_id")
-    return d.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("done"), F.count_if(F.col("toxic") == 1).alias("hidden"))
+    return service.review_progress(d, ["lang"], F.col("quality") == 1, F.col("toxic") == 1)
 
 
 @query("""WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS calls, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber FROM lineitem GROUP BY 1, 2) SELECT * FROM g UNION ALL SELECT 'TOTAL', 'TOTAL', CAST(sum(calls) AS BIGINT), CAST(sum(l_linenumber) AS BIGINT) FROM g HAVING count(*) > 1""")
@@ -133,23 +133,20 @@ def h01_h02_paging(spark, sf):
 
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def h03_h06_sorted_sections(spark, sf):
-    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("m"))
-    return c.select("conv_id", F.array_join(F.transform("m", lambda x: x["role"]), ">").alias("roles"))
+    return service.in_order(t(spark, sf, "conversations"), ["conv_id"], "turn", "role", ">", "roles")
 
 
 @query("SELECT o_orderkey, c_name, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY c_custkey) AS INTEGER) AS place FROM orders JOIN customer ON c_custkey IN (o_custkey, o_custkey + 1)")
 def d26_assignees(spark, sf):
-    a = t(spark, sf, "orders").select("o_orderkey", F.posexplode(F.array(F.col("o_custkey"), F.col("o_custkey") + 1)).alias("i", "c_custkey"))
-    x = a.join(t(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
-    return x.select("o_orderkey", "c_name", F.row_number().over(Window.partitionBy("o_orderkey").orderBy("i")).alias("place"))
+    o = t(spark, sf, "orders").select("o_orderkey", F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("ids"))
+    return service.assignees(o, "ids", t(spark, sf, "customer").select("c_custkey", "c_name"), "o_orderkey", "c_custkey").select("o_orderkey", "c_name", "place")
 
 
 @query("SELECT o.o_orderkey, v.tag, coalesce(o.o_orderkey = (SELECT max(o_orderkey) FROM orders), false) AS is_current FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS tag FROM lineitem GROUP BY l_orderkey) v ON v.l_orderkey = o.o_orderkey")
 def d28_commits_with_tags(spark, sf):
-    o, li = t(spark, sf, "orders").select("o_orderkey"), t(spark, sf, "lineitem")
-    v = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max_by("l_linenumber", "l_linenumber").alias("tag"))
-    head = o.agg(F.max("o_orderkey").alias("head"))
-    return o.join(v, "o_orderkey", "left").crossJoin(F.broadcast(head)).select("o_orderkey", "tag", (F.col("o_orderkey") == F.col("head")).alias("is_current"))
+    o = t(spark, sf, "orders").select("o_orderkey")
+    tags = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("tag"))
+    return service.commits_with_tags(o, tags, o.agg(F.max("o_orderkey").alias("o_orderkey")), "o_orderkey", "tag")
 
 
 @query("""WITH v AS (SELECT o_custkey AS project, max(o_orderkey) AS version, count(*) AS n_versions FROM orders GROUP BY 1), s AS (SELECT l_orderkey AS version, count(*) AS n_documents, count(*) FILTER (WHERE l_returnflag = 'R') AS n_approved FROM lineitem GROUP BY 1),
