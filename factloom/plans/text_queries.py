@@ -340,3 +340,13 @@ def s12_s13_s19_a12_x05_lexers(spark, sf):
 def s20_keywords(spark, sf):
     first = F.substring_index("p_name", " ", 1)
     return t(spark, sf, "part").select("p_partkey", F.array_join(tx.keywords(F.concat(F.lit("A::getCount_"), "p_size"), F.lit("const Brand_t &"), F.array(F.concat(F.lit("B::"), first))), ",").alias("words"))
+
+
+@query("""WITH p AS (SELECT 's' || p_size % 7 AS top, CASE WHEN p_partkey % 3 = 0 THEN 'Sub' || p_size || '/' ELSE '' END AS sub, CASE WHEN p_partkey % 2 = 0 THEN 'F' ELSE 'f' END || p_partkey || '.cpp' AS file FROM part),
+x AS (SELECT top AS id, NULL AS parent, top AS name, true AS is_folder FROM p UNION SELECT top || '/' || rtrim(sub, '/'), top, rtrim(sub, '/'), true FROM p WHERE sub <> '' UNION SELECT top || '/' || sub || file, rtrim(top || '/' || sub, '/'), file, false FROM p)
+SELECT id, parent, is_folder, CAST(row_number() OVER (PARTITION BY parent ORDER BY is_folder DESC, lower(name), name, id) AS INTEGER) AS place FROM x""")
+def a21_g14_path_listing(spark, sf):
+    """Files and folders of a tree in the order of a listing: folders first."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("s"), F.col("p_size") % 7, F.lit("/"), F.when(k % 3 == 0, F.concat(F.lit("Sub"), "p_size", F.lit("/"))).otherwise(""), F.when(k % 2 == 0, "F").otherwise("f"), k, F.lit(".cpp"))
+    return readers.path_listing(readers.path_tree(t(spark, sf, "part").select(path.alias("path")))).select("id", "parent", "is_folder", "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factloom.functions import keys
 from factloom.operators.derive import forward_fill
@@ -139,6 +139,13 @@ def path_tree(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(steps).alias("x")).select("x.*").distinct()
 
 
+def path_listing(tree: DataFrame) -> DataFrame:
+    """path_tree()'s rows with `place`, from 1, among the entries of their folder: folders first, each kind by name whatever the case, then by
+    name. A folder's entries are ranked by themselves; those of the top are one folder."""
+    order = Window.partitionBy("parent").orderBy(F.col("is_folder").desc(), F.lower("name"), "name", "id")
+    return tree.withColumn("place", F.row_number().over(order))
+
+
 def version_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Tables stored as version=.../group=... with both as columns."""
     return spark.read.option("basePath", folder).parquet(folder)
