@@ -218,8 +218,9 @@ def choose_baseline(auto: Column, chosen: Column, status: Column, is_ancestor: C
 def known_tokens(code: DataFrame, enums: DataFrame, macros: DataFrame, typedefs: DataFrame, members: DataFrame) -> DataFrame:
     """(id, kind, name, said): what the words of a code (id, code) are known as. enums: name, value (null: no value), said; macros, typedefs: name,
     said; members: struct_name, ord, member, said. An enum is met by its name or one of its values, once; a macro by a word of three
-    capitals or more; a member by an access (`.x`, `->x`), in the first struct that has it."""
-    words = lambda pattern: code.select("id", F.explode(F.regexp_extract_all("code", F.lit(pattern), 1)).alias("w")).distinct()
+    capitals or more; a member by an access (`.x`, `->x`), in the first struct that has it. Spark takes the words of a code for no larger than
+    the code's file; the hint keeps them from being broadcast."""
+    words = lambda pattern: code.select("id", F.explode(F.regexp_extract_all("code", F.lit(pattern), 1)).alias("w")).distinct().hint("merge")
     any_word = words(r"\b([A-Za-z_]\w*)\b")
     names = enums.select(F.col("name").alias("w"), "name", "said").unionByName(enums.where("value is not null").select(F.col("value").alias("w"), "name", "said")).distinct()
     first = members.groupBy(F.col("member").alias("w")).agg(F.min_by("said", F.struct("ord", "struct_name")).alias("said"))
