@@ -21,9 +21,10 @@ def flow_diagram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     name = lambda c: F.concat(F.lit("N"), F.col(c))
     alone = nodes.select("grp", F.col("node").alias("source"), F.lit(None).cast("long").alias("target"))
     places = breadth_first_order(edges.select("grp", "source", "target").unionByName(alone))
-    drawn = nodes.join(places, ["grp", "node"]).select("grp", "place", node_line(name("node"), F.col("type"), F.col("label")).alias("t"))
+    # tables of a row a node look small to Spark while they are columns of a small file: the hints keep them off the driver
+    drawn = nodes.hint("merge").join(places, ["grp", "node"]).select("grp", "place", node_line(name("node"), F.col("type"), F.col("label")).alias("t"))
     linked = edges.select("grp", "ord", edge_line(name("source"), name("target"), edge_label(F.col("label"))).alias("t"))
-    both = _listed(drawn, ["grp"], "place", "t", "n").join(_listed(linked, ["grp"], "ord", "t", "e"), "grp", "left")
+    both = _listed(drawn, ["grp"], "place", "t", "n").join(_listed(linked, ["grp"], "ord", "t", "e").hint("merge"), "grp", "left")
     lines = F.concat(F.array(F.lit("flowchart TD")), F.col("n"), F.array(F.lit("")), F.coalesce("e", F.array().cast("array<string>")))
     return both.select("grp", F.array_join(lines, "\n").alias("mermaid"))
 
@@ -80,7 +81,7 @@ def _entries(s: DataFrame, scratch: Scratch) -> DataFrame | None:
     at = scratch.put(dos.join(body, ["fkey", "id"]), "entries")
     while True:
         further = at.select("fkey", F.col("id").alias("entry"), F.col("entry").alias("next"))
-        moved = scratch.put(at.join(further, ["fkey", "entry"], "left").select("fkey", "id", F.coalesce("next", "entry").alias("entry"), F.col("next").isNotNull().alias("moved")), "entries")
+        moved = scratch.put(at.join(further.hint("merge"), ["fkey", "entry"], "left").select("fkey", "id", F.coalesce("next", "entry").alias("entry"), F.col("next").isNotNull().alias("moved")), "entries")
         if moved.where("moved").isEmpty():
             return moved.drop("moved")
         at = moved.drop("moved")
@@ -95,7 +96,7 @@ def _with_path(s: DataFrame, scratch: Scratch) -> DataFrame:
         if at.where("up <> 0").isEmpty():
             return at.drop("up")
         above = at.select("fkey", F.col("id").alias("up"), F.col("path").alias("more"), F.col("up").alias("further"))
-        at = at.join(above, ["fkey", "up"], "left").withColumn("path", F.concat("path", F.coalesce("more", F.array().cast(at.schema["path"].dataType))))
+        at = at.join(above.hint("merge"), ["fkey", "up"], "left").withColumn("path", F.concat("path", F.coalesce("more", F.array().cast(at.schema["path"].dataType))))
         at = at.withColumn("up", F.coalesce("further", F.lit(0).cast("long"))).drop("more", "further")
 
 
@@ -128,14 +129,14 @@ def statement_flow(statements: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     s = statements.select("fkey", F.col("id").cast("long").alias("id"), F.coalesce(F.col("parent").cast("long"), zero).alias("parent"), F.coalesce("branch", F.lit("body")).alias("branch"), "ord", F.coalesce("kind", F.lit("action")).alias("kind"), "name")
     entries = _entries(s, scratch)
-    s = s.withColumn("entry", F.col("id")) if entries is None else s.join(entries, ["fkey", "id"], "left").withColumn("entry", F.coalesce("entry", "id"))
+    s = s.withColumn("entry", F.col("id")) if entries is None else s.join(entries.hint("merge"), ["fkey", "id"], "left").withColumn("entry", F.coalesce("entry", "id"))
     listed = s.withColumn("lead", F.lead("entry").over(Window.partitionBy("fkey", "parent", "branch").orderBy("ord", "id")))
     at = _with_path(listed, scratch)
     first = lambda b: F.min(F.when(F.col("branch") == b, F.struct("ord", "id", "entry")))["entry"].alias(f"first_{b}")
     kids = at.groupBy("fkey", F.col("parent").alias("id")).agg(first("then"), first("else"), first("body"), F.max(F.col("kind") == "default").alias("has_default"))
     labels = at.where("kind = 'label'").groupBy("fkey", "name").agg(F.max("id").alias("label_id")).withColumn("kind", F.lit("goto"))
     top = kids.where("id = 0").select("fkey", zero.alias("source"), F.coalesce("first_body", F.lit(-1).cast("long")).alias("target"), F.lit(None).cast("string").alias("label"))
-    whole = at.join(kids, ["fkey", "id"], "left").join(labels, ["fkey", "name", "kind"], "left")
+    whole = at.join(kids.hint("merge"), ["fkey", "id"], "left").join(labels.hint("merge"), ["fkey", "name", "kind"], "left")
     path, kind, end = F.col("path"), F.col("kind"), F.lit(-1).cast("long")
     whole = whole.withColumn("nxt", _after(path)).withColumn("leave", F.when(kind == "break", F.coalesce(_after(_around(path, LEAVABLE)), end))).withColumn("again", F.when(kind == "continue", F.coalesce(F.get(_around(path, LOOPS), F.lit(0))["id"], end)))
     edge = lambda target, label=None, source="id": F.struct(F.col(source).alias("source"), target.alias("target"), (F.lit(label) if label is None or isinstance(label, str) else label).cast("string").alias("label"))

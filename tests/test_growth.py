@@ -17,6 +17,14 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def test_flow_diagram_broadcasts_no_nodes(spark):
+    n = spark.range(40).select((F.col("id") % 4).alias("grp"), F.col("id").alias("node"), F.lit("ACTION").alias("type"), F.lit("x").alias("label"))
+    e = n.select("grp", F.col("node").alias("source"), F.col("node").alias("target"), F.lit(None).cast("string").alias("label"), F.col("node").alias("ord"))
+    out = documents.flow_diagram(n, e)
+    assert "BroadcastHashJoin" not in plan(out)
+    assert out.count() == 4
+
+
 def test_known_tokens_broadcasts_no_words(spark):
     code = spark.range(9).select("id", F.lit("Color c = MAX_1; p->len").alias("code"))
     one = lambda data, schema: spark.createDataFrame(data, schema)
