@@ -203,12 +203,18 @@ def prefix_match(refs: DataFrame, candidates: DataFrame, width: int = 4) -> Data
 
 def link_records(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     """wanted (wid, name, line, end_line) with the best candidate (cid, name, line, end_line, is_def): 100 for the exact name or
-    40 for the same short name, less the distance in lines, less the distance of ends up to 20, plus 20 for a definition."""
+    40 for the same short name, less the distance in lines, less the distance of ends up to 20, plus 20 for a definition. The smallest cid
+    on a tie. Records alike in all that counts are compared once: by the smallest cid of such candidates, for all such wanted ones."""
     a = wanted.withColumn("short", keys.short_name(F.col("name")))
     b = candidates.select("cid", F.col("name").alias("cname"), F.col("line").alias("cline"), F.col("end_line").alias("cend"), "is_def").withColumn("short", keys.short_name(F.col("cname")))
     score = (F.when(F.col("name") == F.col("cname"), 100).otherwise(40) - F.abs(F.col("line") - F.col("cline"))
              - F.least(F.abs(F.col("end_line") - F.col("cend")), F.lit(20)) + F.when(F.col("is_def"), 20).otherwise(0))
-    return a.join(b, "short").withColumn("score", score).groupBy("wid").agg(F.max_by("cid", F.struct("score", -F.col("cid"))).alias("cid"), F.max("score").alias("score"))
+    b = b.groupBy("short", "cname", "cline", "cend", "is_def").agg(F.min("cid").alias("cid"))
+    asked = a.select("short", "name", "line", "end_line").distinct()
+    best = asked.join(b.hint("merge"), "short").withColumn("score", score).groupBy("name", "line", "end_line").agg(F.max_by("cid", F.struct("score", -F.col("cid"))).alias("cid"), F.max("score").alias("score"))
+    same = F.col("w.name").eqNullSafe(F.col("b.name")) & F.col("w.line").eqNullSafe(F.col("b.line")) & F.col("w.end_line").eqNullSafe(F.col("b.end_line"))
+    met = wanted.alias("w").join(best.hint("merge").alias("b"), same).select("wid", "cid", "b.score")
+    return met.groupBy("wid").agg(F.max_by("cid", F.struct("score", -F.col("cid"))).alias("cid"), F.max("score").alias("score"))
 
 
 def fill_budget(items: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:

@@ -32,3 +32,19 @@ def test_known_tokens_broadcasts_no_words(spark):
                                  one([("speed_t", "t")], "name string, said string"), one([("A", 1, "len", "A.len")], "struct_name string, ord int, member string, said string"))
     assert "BroadcastHashJoin" not in plan(out)
     assert out.count() == 27
+
+
+def test_link_records_compares_copies_once(spark):
+    same = spark.range(3000)
+    wanted = same.select(F.col("id").alias("wid"), F.lit("n::f").alias("name"), F.lit(5).alias("line"), F.lit(9).alias("end_line"))
+    cands = same.select((F.col("id") + 7).alias("cid"), F.lit("n::f").alias("name"), F.lit(6).alias("line"), F.lit(9).alias("end_line"), (F.col("id") >= 10).alias("is_def"))
+    out = derive.link_records(wanted, cands)
+    out.collect()
+    assert rows(out.agg(F.count("*"), F.min("cid"), F.max("cid"), F.min("score"), F.max("score"))) == [(3000, 17, 17, 119, 119)]
+    assert "min(cid" in plan(out)  # candidates alike are one before they are joined
+
+
+def test_link_records_nulls_and_ties(spark):
+    w = spark.createDataFrame([(1, "f", 5, None), (2, "a::f", 5, 9), (2, "a::f", 8, 9), (3, "g", 1, 1)], "wid int, name string, line int, end_line int")
+    c = spark.createDataFrame([(9, "a::f", 6, 9, False), (4, "a::f", 4, 9, None), (5, "b::f", 8, 9, True)], "cid int, name string, line int, end_line int, is_def boolean")
+    assert rows(derive.link_records(w, c).where("wid > 1")) == [(2, 4, 99)]
