@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.keys import short_name
 
@@ -185,8 +185,16 @@ def type_kinds(types: DataFrame, enums: DataFrame, typedefs: DataFrame) -> DataF
 
 def unit_entries(units: DataFrame, own: DataFrame, shared: DataFrame) -> DataFrame:
     """(unit, entry): what a unit's header lists: the entries defined under its stem and those of its component, once. units: unit, stem,
-    component; own: stem, entry; shared: component, entry."""
-    return units.join(own, "stem").select("unit", "entry").unionByName(units.join(shared, "component").select("unit", "entry")).distinct()
+    component; own: stem, entry; shared: component, entry.
+
+    A list is what is defined under one stem or in one component. An entry on one list meets a unit once, so only the pairs of entries on
+    several lists are compared with each other."""
+    place = lambda of, col: F.struct(F.lit(of).alias("of"), F.col(col).cast("string").alias("at"))
+    lists = own.where("stem is not null").select(place("stem", "stem").alias("list"), "entry").unionByName(shared.where("component is not null").select(place("component", "component").alias("list"), "entry")).distinct()
+    holders = units.select("unit", F.explode(F.array(place("stem", "stem"), place("component", "component"))).alias("list")).where("list.at is not null").distinct()
+    counted = lists.withColumn("n", F.count("*").over(Window.partitionBy("entry")))
+    met = lambda which: counted.where(which).join(holders.hint("merge"), "list").select("unit", "entry")
+    return met("n = 1").unionByName(met("n > 1").distinct())
 
 
 def having(rows: DataFrame, key: str, holders: DataFrame) -> DataFrame:

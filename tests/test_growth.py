@@ -48,3 +48,12 @@ def test_link_records_nulls_and_ties(spark):
     w = spark.createDataFrame([(1, "f", 5, None), (2, "a::f", 5, 9), (2, "a::f", 8, 9), (3, "g", 1, 1)], "wid int, name string, line int, end_line int")
     c = spark.createDataFrame([(9, "a::f", 6, 9, False), (4, "a::f", 4, 9, None), (5, "b::f", 8, 9, True)], "cid int, name string, line int, end_line int, is_def boolean")
     assert rows(derive.link_records(w, c).where("wid > 1")) == [(2, 4, 99)]
+
+
+def test_unit_entries_once_without_a_distinct_of_pairs(spark):
+    u = spark.createDataFrame([Row(unit=1, stem="a", component="c"), Row(unit=1, stem="b", component="c"), Row(unit=2, stem=None, component="c")])
+    own = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y"), ("a", "y")], "stem string, entry string")
+    shared = spark.createDataFrame([("c", "x"), ("c", "z")], "component string, entry string")
+    out = catalog.unit_entries(u, own, shared)
+    assert rows(out) == [(1, "x"), (1, "y"), (1, "z"), (2, "x"), (2, "z")]
+    assert "Union" in plan(out).split("HashAggregate")[0]  # the pairs of entries on one list go into no aggregate
