@@ -85,7 +85,7 @@ def replace_partition(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def throttle(last: Column, now: Column, seconds: int) -> Column:
     """True where the last time is missing or at least `seconds` ago."""
-    return last.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last) >= seconds)
+    return last.isNull() | (now - last >= F.make_dt_interval(secs=F.lit(seconds)))
 
 
 def dashboard(projects: DataFrame, versions: DataFrame, documents: DataFrame, jobs: DataFrame, key: str = "project") -> DataFrame:

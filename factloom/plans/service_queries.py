@@ -46,7 +46,7 @@ def c17_secret_redaction(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", F.array_sort(F.map_keys(safe))[0].alias("k"), F.size(safe).cast("long").alias("n"))
 
 
-@query("SELECT event_id, last IS NULL OR epoch(ts) // 1 - epoch(last) // 1 >= 60 AS due FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)")
+@query("SELECT event_id, last IS NULL OR epoch_us(ts) - epoch_us(last) >= 60000000 AS due FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)")
 def c19_throttle(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return t(spark, sf, "events").withColumn("last", F.lag("ts").over(w)).select("event_id", service.throttle(F.col("last"), F.col("ts"), 60).alias("due"))

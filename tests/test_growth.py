@@ -57,3 +57,9 @@ def test_unit_entries_once_without_a_distinct_of_pairs(spark):
     out = catalog.unit_entries(u, own, shared)
     assert rows(out) == [(1, "x"), (1, "y"), (1, "z"), (2, "x"), (2, "z")]
     assert "Union" in plan(out).split("HashAggregate")[0]  # the pairs of entries on one list go into no aggregate
+
+
+def test_throttle_counts_parts_of_a_second(spark):
+    at = datetime.datetime(2024, 1, 1, 0, 0, 0, 900000)
+    d = spark.createDataFrame([(1, at, at + datetime.timedelta(seconds=59, microseconds=200000)), (2, at, at + datetime.timedelta(seconds=60)), (3, None, at)], "id int, last timestamp, now timestamp")
+    assert rows(d.select("id", service.throttle(F.col("last"), F.col("now"), 60))) == [(1, False), (2, True), (3, True)]
