@@ -269,7 +269,7 @@ def g16_reparse_gate(spark, sf):
     return t(spark, sf, "part").select("p_partkey", inc.full_reparse_reason(s % 5 != 0, s % 7 == 0, s % 11 == 0, F.lit("Brand#1"), F.col("p_brand")).alias("reason"))
 
 
-@query("""SELECT user_id, arg_min(event_id, abs(CAST(value * 100 AS BIGINT) - 5000) * 1000000 + event_id) AS event_id FROM events WHERE event_type <> 'error' GROUP BY user_id""")
+@query("""SELECT user_id, arg_min(event_id, (abs(CAST(round(value * 100) AS BIGINT) - 5000), event_id)) AS event_id FROM events WHERE event_type <> 'error' GROUP BY user_id""")
 def d37_g17_nearest_ancestor(spark, sf):
     e = t(spark, sf, "events").where("event_type <> 'error'").withColumn("distance", F.abs(F.round(F.col("value") * 100).cast("long") - 5000))
     return inc.nearest_ancestor(e, "user_id", "event_id", "distance", "event_id")

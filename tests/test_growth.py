@@ -63,3 +63,9 @@ def test_throttle_counts_parts_of_a_second(spark):
     at = datetime.datetime(2024, 1, 1, 0, 0, 0, 900000)
     d = spark.createDataFrame([(1, at, at + datetime.timedelta(seconds=59, microseconds=200000)), (2, at, at + datetime.timedelta(seconds=60)), (3, None, at)], "id int, last timestamp, now timestamp")
     assert rows(d.select("id", service.throttle(F.col("last"), F.col("now"), 60))) == [(1, False), (2, True), (3, True)]
+
+
+def test_nearest_ancestor_sql_with_large_ids():
+    con = connect()
+    con.execute("CREATE OR REPLACE VIEW events AS SELECT * FROM (VALUES (1, 50.01, 7000000, 'x'), (1, 50.03, 5, 'x')) AS v(user_id, value, event_id, event_type)")
+    assert con.execute(registry.oracle_sql()["d37_g17_nearest_ancestor"]).fetchall() == [(1, 7000000)]
