@@ -190,15 +190,22 @@ def nearest_before(points: DataFrame, marks: DataFrame, reach: int) -> DataFrame
 
 def prefix_match(refs: DataFrame, candidates: DataFrame, width: int = 4) -> DataFrame:
     """refs (ref) with the first candidate (id, sha, tag, ord) whose id, tag or sha equals the ref, or whose sha begins with it.
-    The prefix join has an equality key: the first `width` characters; shorter refs are matched on what they have."""
-    exact = candidates.select(F.explode(F.array_distinct(F.array("id", "sha", "tag"))).alias("ref"), "id", "ord").where("ref is not null")
-    a = refs.join(exact, "ref").select("ref", "id", "ord")
-    n = F.least(F.char_length("ref"), F.lit(width))
-    lengths = refs.select("ref", n.alias("n"), F.substr(F.col("ref"), F.lit(1), n).alias("head")).where("n > 0")
-    heads = candidates.select("id", "sha", "ord", F.explode(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.struct(k.alias("n"), F.substr(F.col("sha"), F.lit(1), k).alias("head")))).alias("h")).select("id", "sha", "ord", "h.n", "h.head")
-    b = lengths.join(heads, ["n", "head"]).where(F.startswith("sha", "ref")).select("ref", "id", "ord")
+    Refs shorter than `width` characters meet the first candidate of each beginning. For others the first `width` characters tell which
+    lengths of ref can occur, and the first candidate of each beginning of such a length is what the ref meets: no ref meets
+    all candidates that begin alike. A whole sha is a beginning, so only an empty one is met as such."""
+    exact = candidates.select(F.explode(F.array_distinct(F.array("id", "tag", F.when(F.col("sha") == "", "")))).alias("ref"), "id", "ord").where("ref is not null")
+    a = refs.hint("merge").join(exact, "ref").select("ref", "id", "ord")
+    first = [F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord")]
+    start = lambda k: F.substr(F.col("sha"), F.lit(1), k)
+    size = F.char_length("ref")
+    short = candidates.select("id", "ord", F.explode(F.transform(F.sequence(F.lit(1), F.lit(width - 1)), start)).alias("ref")) if width > 1 else candidates.select("id", "ord", F.lit("").alias("ref")).limit(0)
+    short = short.where(size > 0).groupBy("ref").agg(*first)
+    lengths = refs.where(size >= width).groupBy(F.substr(F.col("ref"), F.lit(1), F.lit(width)).alias("head")).agg(F.collect_set(size).alias("sizes"))
+    long = candidates.select("id", "sha", "ord", start(F.lit(width)).alias("head")).join(lengths, "head").select("id", "ord", "sha", F.explode("sizes").alias("k"))
+    long = long.where(F.char_length("sha") >= F.col("k")).select(start(F.col("k")).alias("ref"), "id", "ord").groupBy("ref").agg(*first)
+    b = refs.where((size > 0) & (size < width)).join(short, "ref").unionByName(refs.where(size >= width).hint("merge").join(long, "ref")).select("ref", "id", "ord")
     best = a.unionByName(b).groupBy("ref").agg(F.min_by("id", "ord").alias("id"))
-    return refs.join(best, "ref", "left")
+    return refs.join(best.hint("merge"), "ref", "left")
 
 
 def link_records(wanted: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -69,3 +69,12 @@ def test_nearest_ancestor_sql_with_large_ids():
     con = connect()
     con.execute("CREATE OR REPLACE VIEW events AS SELECT * FROM (VALUES (1, 50.01, 7000000, 'x'), (1, 50.03, 5, 'x')) AS v(user_id, value, event_id, event_type)")
     assert con.execute(registry.oracle_sql()["d37_g17_nearest_ancestor"]).fetchall() == [(1, 7000000)]
+
+
+def test_prefix_match_lengths(spark):
+    c = spark.createDataFrame([("1", "abcdef", "v1", 1), ("2", "abcxyz", "v2", 2), ("3", "abcdeg", None, 3), ("4", "", "t", 4), ("5", None, "u", 5)], "id string, sha string, tag string, ord int")
+    refs = spark.createDataFrame([(r,) for r in ("a", "abc", "abcd", "abcde", "abcdeg", "abcx", "abcdefg", "v2", "3", "", "u", "zz")], "ref string")
+    want = {"a": "1", "abc": "1", "abcd": "1", "abcde": "1", "abcdeg": "3", "abcx": "2", "abcdefg": None, "v2": "2", "3": "3", "": "4", "u": "5", "zz": None}
+    out = derive.prefix_match(refs, c)
+    assert {r.ref: r.id for r in out.collect()} == want
+    assert "collect_set(char_length(ref" in plan(out)  # only beginnings of lengths that occur are compared, each once
