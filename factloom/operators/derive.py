@@ -168,7 +168,9 @@ def held_by(points: DataFrame, ranges: DataFrame, group: str, pos: str = "pos",
 
 def line_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges (doc, rid, line, end_line) with the text of their lines (doc, pos, text), from the dyadic index."""
-    joined = held_by(lines, ranges, "doc").groupBy("doc", "rid").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"))
+    # places are matched without their texts, which would travel once for each level of the index
+    at = held_by(lines.select("doc", "pos").distinct(), ranges, "doc").select("doc", "pos", "rid")
+    joined = lines.join(at.hint("merge"), ["doc", "pos"]).groupBy("doc", "rid").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"))
     return joined.select("doc", "rid", F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("text"))
 
 

@@ -78,3 +78,12 @@ def test_prefix_match_lengths(spark):
     out = derive.prefix_match(refs, c)
     assert {r.ref: r.id for r in out.collect()} == want
     assert "collect_set(char_length(ref" in plan(out)  # only beginnings of lengths that occur are compared, each once
+
+
+def test_line_ranges_keep_copies(spark):
+    lines = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "B"), (1, 9, "z")], "doc int, pos int, text string")
+    r = spark.createDataFrame([(1, 0, 1, 3), (1, 1, 2, 9), (2, 0, 1, 1)], "doc int, rid int, line int, end_line int")
+    out = derive.line_ranges(lines, r)
+    assert rows(out) == [(1, 0, "a\nB\nb"), (1, 1, "B\nb\nz")]
+    # the texts are not on the side that is multiplied by levels
+    assert not any("text" in line for line in plan(out).split("\n") if "Generate explode(_levels" in line)
