@@ -147,7 +147,7 @@ def _spread(scratch: Scratch, hop: DataFrame, start: DataFrame, hops: int, max_r
 def reverse_closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", max_rounds: int = 10_000, hops: int = HOPS) -> DataFrame:
     """(node): seeds and everything from which a seed can be reached over src -> dst. Cycles end by themselves: each round
     only carries nodes that are new. Seeds that have no edge stay in the result."""
-    scratch = Scratch(edges.sparkSession, "closure")
+    scratch = Scratch(edges.sparkSession, "closure", small=True)
     hop = scratch.put(edges.select(F.col(src).alias("_up"), F.col(dst).alias("_down")).where("_up is not null and _down is not null").distinct(), "links")
     one = [F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("bits")]
     return _spread(scratch, hop, seeds.select(F.col(node).alias("node"), *one).where("node is not null"), hops, max_rounds).select("node")
@@ -156,7 +156,7 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: s
 def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst", node: str = "node", per_level: int | None = None) -> DataFrame:
     """(node, level): nodes within `depth` steps over src -> dst, at their least level. With per_level, a level keeps only
     its first nodes in order of their keys, and what it leaves out may come again later."""
-    scratch = Scratch(edges.sparkSession, "bfs")
+    scratch = Scratch(edges.sparkSession, "bfs", small=True)
     hop = scratch.put(edges.select(F.col(src).alias("_at"), F.col(dst).alias("_to")).where("_at is not null and _to is not null").distinct(), "links")
     frontier = seeds.select(F.col(node).alias("node")).distinct()
     seen = scratch.put(frontier.withColumn("level", F.lit(0)), "seen")
@@ -188,7 +188,7 @@ def spread_families(calls: DataFrame, override_pairs: DataFrame, keys: DataFrame
 def propagate_facts(calls: DataFrame, facts: DataFrame, columns: tuple[str, ...], fid: str = "fid", max_rounds: int = 10_000, hops: int = HOPS) -> DataFrame:
     """(fid, *columns): each function's facts and those of everything it calls, to a fixed point. Rows with nulls in `columns` stay but
     don't spread. Facts are numbered and travel as bits, 64 to a row; cycles, chains and hubs need no care of the caller."""
-    scratch = Scratch(calls.sparkSession, "propagate")
+    scratch = Scratch(calls.sparkSession, "propagate", small=True)
     hop = scratch.put(calls.select(F.col("caller").alias("_up"), F.col("callee").alias("_down")).where("_up is not null and _down is not null").distinct(), "links")
     whole = " and ".join(f"`{c}` is not null" for c in (fid, *columns))
     numbered = facts.where(whole).select(*columns).distinct().withColumn("_n", F.monotonically_increasing_id())
@@ -206,7 +206,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node", s
 
     Nodes with one dependency are taken out by pointer doubling: such a node's level is that of the end of its single way and the steps to
     it. The others are levelled in rounds, over links that count those steps; so only branching costs rounds."""
-    scratch = Scratch(nodes.sparkSession, "levels")
+    scratch = Scratch(nodes.sparkSession, "levels", small=True)
     names = scratch.put(nodes.select(F.col(node).alias("node")).where("node is not null").distinct(), "nodes")
     deps = edges.select(F.col(src).alias("_up"), F.col(dst).alias("_down")).where("_up <> _down").distinct()
     deps = deps.join(names.select(F.col("node").alias("_down")), "_down", "left_semi").join(names.select(F.col("node").alias("_up")), "_up", "left_semi")
@@ -230,7 +230,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node", s
     levels = done.unionByName(ends.join(done.select(F.col("node").alias("ptr"), "level"), "ptr").select("node", (F.col("level") + F.col("steps")).alias("level")))
     levels = scratch.put(levels, "levels")
     last = levels.agg(F.coalesce(F.max("level") + 1, F.lit(0)).alias("last"))
-    rest = names.join(levels, "node", "left_anti").crossJoin(F.broadcast(last)).select("node", F.col("last").alias("level"))
+    rest = names.join(levels.hint("merge"), "node", "left_anti").crossJoin(F.broadcast(last)).select("node", F.col("last").alias("level"))
     return levels.unionByName(rest).withColumn("level", F.col("level").cast("int"))
 
 
@@ -268,7 +268,7 @@ def tree_order(nodes: DataFrame, node: str = "id", parent: str = "parent", order
 
     Each node is entered and left once on a walk around its tree: a list whose next element follows from siblings and parents. Ranking that
     list by pointer doubling takes rounds in the logarithm of its length, however deep a tree is."""
-    scratch = Scratch(nodes.sparkSession, "tree")
+    scratch = Scratch(nodes.sparkSession, "tree", small=True)
     own = scratch.put(nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_parent"), F.col(order).alias("_ord"), F.monotonically_increasing_id().alias("_n")), "numbered")
     placed = own.join(own.select(F.col("_id").alias("_parent"), F.col("_n").alias("_up")), "_parent", "left")
     inner = placed.where("_up is not null").withColumn("_next", F.lead("_n").over(Window.partitionBy("_up").orderBy("_ord", "_id")))
@@ -284,6 +284,7 @@ def tree_order(nodes: DataFrame, node: str = "id", parent: str = "parent", order
     ranked = _doubled(scratch, steps, steps.count(), lambda c: F.col(c) + F.col(f"_{c}"))
     ranked = ranked.where((F.col("node") % 2 == 0) & F.col("ptr").between(F.lit(-(1 << 62) + 1), F.lit(-1))).select(F.shiftright("node", 1).alias("_n"), (-1 - F.col("ptr")).alias("_root"), "met", "sunk")
     whole = ranked.where("_n = _root").select("_root", F.col("met").alias("_size"))
+    ranked = ranked.hint("merge")
     names = own.select(F.col("_n").alias("_root"), F.col("_id").alias("root"))
     found = ranked.join(whole, "_root").join(names, "_root").join(own.select("_n", "_id"), "_n")
     out = found.select(F.col("_id").alias(node), (-F.col("sunk")).cast("int").alias("depth"), "root", (F.col("_size") - F.col("met")).alias("place"))

@@ -72,19 +72,19 @@ def plan_incremental(status: DataFrame, functions: DataFrame, calls: DataFrame,
     deleted = status.where("status = 'deleted'").select("key")
     widowed = base_calls.join(deleted, base_calls["callee"] == deleted["key"], "left_semi").select(F.col("caller").alias("fid")).distinct()
     impact = impact_set(changed, functions, calls, uses, widowed).withColumn("hit", F.lit(True))
-    return functions.join(impact, "fid", "left").select("fid", F.when(F.col("hit"), "regenerate").otherwise("reuse").alias("action"))
+    return functions.join(impact.hint("merge"), "fid", "left").select("fid", F.when(F.col("hit"), "regenerate").otherwise("reuse").alias("action"))
 
 
 def impacted_globals(status: DataFrame, globals_: DataFrame, access: DataFrame, impact: DataFrame) -> DataFrame:
     """(gid): existing globals that changed or are new, or that an impacted function uses."""
     own = status.where("status in ('changed', 'new')").select(F.col("key").alias("gid"))
-    used = access.join(impact, "fid", "left_semi").select("gid")
-    return own.unionByName(used).distinct().join(globals_, "gid", "left_semi")
+    used = access.join(impact.hint("merge"), "fid", "left_semi").select("gid")
+    return own.unionByName(used).distinct().join(globals_.hint("merge"), "gid", "left_semi")
 
 
 def files_of(fids: DataFrame, file_of: DataFrame) -> DataFrame:
     """(file): distinct files of a set of functions; functions without one drop out."""
-    return fids.join(file_of, "fid").where("file is not null").select("file").distinct()
+    return fids.join(file_of.hint("merge"), "fid").where("file is not null").select("file").distinct()
 
 
 # ---- reuse ----------------------------------------------------------------------------------------------------------

@@ -87,3 +87,21 @@ def test_line_ranges_keep_copies(spark):
     assert rows(out) == [(1, 0, "a\nB\nb"), (1, 1, "B\nb\nz")]
     # the texts are not on the side that is multiplied by levels
     assert not any("text" in line for line in plan(out).split("\n") if "Generate explode(_levels" in line)
+
+
+def test_loops_broadcast_small_tables_only(spark, monkeypatch):
+    seen, write = set(), DataFrameWriter.parquet
+
+    def parquet(self, *a, **k):
+        seen.add(tuple(spark.conf.get(name, None) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")))
+        return write(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    f = spark.range(50).select(F.col("id").alias("fid"))
+    calls = spark.range(1, 50).select(F.col("id").alias("caller"), (F.col("id") - 1).alias("callee"))
+    status = spark.range(40, 41).select(F.col("id").alias("key"), F.lit("changed").alias("status"))
+    out = incremental.plan_incremental(status, f, calls, calls, f.limit(0).select(F.col("fid").alias("key"), "fid"))
+    assert seen == {("256k", "1m")} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert "BroadcastHashJoin" not in plan(out)
+    assert out.where("action = 'regenerate'").count() == 10
