@@ -248,16 +248,17 @@ def validate_flow_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     start, end = nodes.where("type = 'START'"), nodes.where("type = 'END'")
     graphs = nodes.select("fkey").distinct()
     issue = lambda df, name, col="node_id": df.select("fkey", F.lit(name).alias("issue"), (F.col(col) if col else F.lit(None)).cast("string").alias("node_id"))
-    no_start = issue(graphs.join(start, "fkey", "left_anti"), "no start", None)
+    no_start = issue(graphs.join(start.select("fkey").distinct(), "fkey", "left_anti"), "no start", None)
     starts = issue(start.groupBy("fkey").count().where("count > 1"), "several starts", None)
-    no_end = issue(graphs.join(end, "fkey", "left_anti"), "no end", None)
+    no_end = issue(graphs.join(end.select("fkey").distinct(), "fkey", "left_anti"), "no end", None)
     ids = nodes.select("fkey", "node_id")
     ends = edges.select("fkey", F.explode(F.array("source", "target")).alias("node_id")).distinct()
-    dangling = issue(ends.join(ids, ["fkey", "node_id"], "left_anti"), "dangling edge")
+    dangling = issue(ends.join(ids.hint("merge"), ["fkey", "node_id"], "left_anti"), "dangling edge")
     empty = issue(nodes.where("type not in ('START', 'END') and trim(coalesce(label, '')) = ''"), "empty label")
-    key_of = ids.select("fkey", "node_id", F.to_json(F.struct(F.col("fkey").alias("f"), F.col("node_id").alias("n"))).alias("k"))
-    hop = edges.select(F.to_json(F.struct(F.col("fkey").alias("f"), F.col("target").alias("n"))).alias("src"), F.to_json(F.struct(F.col("fkey").alias("f"), F.col("source").alias("n"))).alias("dst"))
-    reach = reverse_closure(hop, start.select(F.to_json(F.struct(F.col("fkey").alias("f"), F.col("node_id").alias("n"))).alias("node")))
+    kinds = dict(nodes.dtypes)
+    key = lambda n: F.struct(F.col("fkey").cast(kinds["fkey"]).alias("f"), F.col(n).cast(kinds["node_id"]).alias("n"))
+    key_of = ids.select("fkey", "node_id", key("node_id").alias("k"))
+    reach = reverse_closure(edges.select(key("target").alias("src"), key("source").alias("dst")), start.select(key("node_id").alias("node"))).hint("merge")
     lost = issue(key_of.join(reach, key_of["k"] == reach["node"], "left_anti"), "unreachable")
     return no_start.unionByName(starts).unionByName(no_end).unionByName(dangling).unionByName(empty).unionByName(lost)
 
@@ -283,8 +284,8 @@ def tree_order(nodes: DataFrame, node: str = "id", parent: str = "parent", order
     steps = scratch.put(walk.select(F.explode(F.array(down, up)).alias("x")).select("x.*"), "steps")
     ranked = _doubled(scratch, steps, steps.count(), lambda c: F.col(c) + F.col(f"_{c}"))
     ranked = ranked.where((F.col("node") % 2 == 0) & F.col("ptr").between(F.lit(-(1 << 62) + 1), F.lit(-1))).select(F.shiftright("node", 1).alias("_n"), (-1 - F.col("ptr")).alias("_root"), "met", "sunk")
-    whole = ranked.where("_n = _root").select("_root", F.col("met").alias("_size"))
     ranked = ranked.hint("merge")
+    whole = ranked.where("_n = _root").select("_root", F.col("met").alias("_size"))
     names = own.select(F.col("_n").alias("_root"), F.col("_id").alias("root"))
     found = ranked.join(whole, "_root").join(names, "_root").join(own.select("_n", "_id"), "_n")
     out = found.select(F.col("_id").alias(node), (-F.col("sunk")).cast("int").alias("depth"), "root", (F.col("_size") - F.col("met")).alias("place"))

@@ -105,3 +105,11 @@ def test_loops_broadcast_small_tables_only(spark, monkeypatch):
     assert seen == {("256k", "1m")} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
     assert "BroadcastHashJoin" not in plan(out)
     assert out.where("action = 'regenerate'").count() == 10
+
+
+def test_validate_flow_graph_has_no_text_keys(spark):
+    nodes = spark.createDataFrame([(1, 1, "START", "x"), (1, 2, "ACTION", "x"), (1, 3, "END", "x"), (2, 1, "START", "x"), (2, 2, "END", "x")], "fkey int, node_id int, type string, label string")
+    edges = spark.createDataFrame([(1, 1, 2), (2, 1, 2)], "fkey long, source long, target long")
+    out = graph.validate_flow_graph(nodes, edges)
+    assert rows(out) == [(1, "unreachable", "3")]
+    assert "to_json" not in plan(out)
