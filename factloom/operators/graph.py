@@ -4,6 +4,7 @@ shared scratch folder, so lineage stays one round deep."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from factloom.scratch import Scratch
 
@@ -185,19 +186,76 @@ def spread_families(calls: DataFrame, override_pairs: DataFrame, keys: DataFrame
     return calls.select("caller", "callee").unionByName(more).distinct()
 
 
+#: Facts are gathered over pairs of functions as long as there are at most so many pairs a link and gathered facts a given one; values that one
+#: array of facts may hold.
+WORTH, WIDE = 32, 1 << 17
+
+
+def _reach(scratch: Scratch, hop: DataFrame, counts: DataFrame) -> DataFrame | None:
+    """(node, met, n, total): the pairs of a node and itself or one below it that has n facts, total being the sum of n over the node's pairs. None
+    if that takes more than WORTH pairs a link or facts a given one. hop: _up, _down, distinct; counts: met, n.
+
+    By squaring: pairs up to k steps apart and pairs exactly k apart give those up to 2 k, so a depth costs its logarithm. Joins are counted
+    before they are made."""
+    far = hop.select(F.col("_up").alias("node"), F.col("_down").alias("met"))
+    given = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen, links = far, far.count()
+    n, most = links, WORTH * links
+    while n:
+        ways = far.groupBy("met").agg(F.count("*").alias("a")).join(seen.groupBy(F.col("node").alias("met")).agg(F.count("*").alias("b")), "met")
+        if ways.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0] > most:
+            return None
+        on = lambda t, f: f.select("node", F.col("met").alias("_via")).join(t.select(F.col("node").alias("_via"), "met"), "_via").select("node", "met")
+        new, more = _counted(scratch, seen.unionByName(on(seen, far)).distinct(), "seen", F.lit(True))
+        if more == n:
+            break
+        far = scratch.put(on(far, far).distinct(), "far")
+        seen, n = new, more
+    pairs = seen.where("node <> met").join(counts, "met").unionByName(counts.select("met", F.col("met").alias("node"), "n"))
+    pairs = scratch.put(pairs.select("node", "met", "n"), "pairs")
+    totals = scratch.put(pairs.groupBy("node").agg(F.sum("n").alias("total")), "totals")
+    if totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] > WORTH * given:
+        return None
+    return pairs.join(totals, "node")
+
+
+def _gathered(reach: DataFrame, counts: DataFrame, facts: DataFrame) -> DataFrame:
+    """(node, x): the distinct facts x, numbers, of all that a node meets. reach: see _reach; facts: met, x. Where all of a node's facts fit an array, they are
+    gathered in one; those of other nodes stay rows."""
+    fits = F.col("total") <= WIDE
+    own = facts.join(counts.where(F.col("n") <= WIDE).select("met"), "met", "left_semi").groupBy("met").agg(F.collect_list("x").alias("xs"))
+    sets = reach.where(fits).select("node", "met").join(own, "met").groupBy("node").agg(F.collect_list("xs").alias("xs"))
+    few = sets.select("node", F.explode(F.array_distinct(F.flatten("xs"))).alias("x"))
+    many = reach.where(~fits).select("node", "met").join(facts, "met").select("node", "x").distinct()
+    return few.unionByName(many)
+
+
 def propagate_facts(calls: DataFrame, facts: DataFrame, columns: tuple[str, ...], fid: str = "fid", max_rounds: int = 10_000, hops: int = HOPS) -> DataFrame:
     """(fid, *columns): each function's facts and those of everything it calls, to a fixed point. Rows with nulls in `columns` stay but
-    don't spread. Facts are numbered and travel as bits, 64 to a row; cycles, chains and hubs need no care of the caller."""
+    don't spread. Cycles, chains and hubs need no care of the caller.
+
+    Where calls reach few functions each, those are found first and their facts are gathered once, in arrays. Otherwise facts are numbered and
+    travel as bits, 64 to a row."""
     scratch = Scratch(calls.sparkSession, "propagate", small=True)
     hop = scratch.put(calls.select(F.col("caller").alias("_up"), F.col("callee").alias("_down")).where("_up is not null and _down is not null").distinct(), "links")
     whole = " and ".join(f"`{c}` is not null" for c in (fid, *columns))
-    numbered = facts.where(whole).select(*columns).distinct().withColumn("_n", F.monotonically_increasing_id())
+    told, rest = facts.where(whole), facts.where(f"not ({whole})").select(fid, *columns).distinct()
+    counts = scratch.put(told.groupBy(F.col(fid).alias("met")).agg(F.count("*").alias("n")), "counts")
+    reach = _reach(scratch, hop, counts)
+    numbered = told.select(*columns).distinct().withColumn("_n", F.monotonically_increasing_id())
+    if reach is not None:
+        if len(columns) == 1 and isinstance(facts.schema[columns[0]].dataType, IntegralType):  # a number is its own
+            met = _gathered(reach, counts, told.select(F.col(fid).alias("met"), F.col(columns[0]).alias("x"))).select(F.col("node").alias(fid), F.col("x").alias(columns[0]))
+        else:
+            known = scratch.put(numbered, "facts")
+            met = _gathered(reach, counts, told.join(known, list(columns)).select(F.col(fid).alias("met"), F.col("_n").alias("x"))).join(known.withColumnRenamed("_n", "x"), "x").select(F.col("node").alias(fid), *columns)
+        return met.unionByName(rest)
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_n").bitwiseAND(F.lit(63).cast("long")).cast("int"))
     known = scratch.put(numbered.select(*columns, F.shiftright("_n", 6).alias("block"), mask.alias("mask")), "facts")
-    start = facts.where(whole).join(known, list(columns)).select(F.col(fid).alias("node"), "block", F.col("mask").alias("bits"))
+    start = told.join(known, list(columns)).select(F.col(fid).alias("node"), "block", F.col("mask").alias("bits"))
     state = _spread(scratch, hop, start, hops, max_rounds)
     met = state.join(known, "block").where(F.col("bits").bitwiseAND(F.col("mask")) != 0).select(F.col("node").alias(fid), *columns)
-    return met.unionByName(facts.where(f"not ({whole})").select(fid, *columns).distinct())
+    return met.unionByName(rest)
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:

@@ -157,3 +157,29 @@ def test_affected_units(spark):
 @pytest.mark.parametrize("fn", [graph.connected_components])
 def test_empty_edges(spark, fn):
     assert fn(df(spark, [], "src long, dst long")).count() == 0
+
+
+def test_facts_by_arrays_rows_and_bits_are_the_same(spark, monkeypatch):
+    r = random.Random(6)
+    pairs = [(k, k // 2) for k in range(1, 60)] + [(r.randrange(60), r.randrange(60)) for _ in range(12)] + [(None, 3), (4, None)]
+    facts = [(r.randrange(60), r.randrange(20), r.choice("rw")) for _ in range(90)] + [(5, None, "r"), (None, 1, "w")]
+    want, size = {f for f in facts if None not in f}, -1
+    while size != len(want):
+        size = len(want)
+        want |= {(a, *f[1:]) for a, b in pairs for f in want if a is not None and f[0] == b}
+    e, f = df(spark, pairs, "caller long, callee long"), df(spark, facts, "fid long, gid long, mode string")
+    for worth, wide, columns in ((10_000, 9, ("gid", "mode")), (10_000, 9, ("gid",)), (0, 1 << 17, ("gid", "mode"))):
+        monkeypatch.setattr(graph, "WORTH", worth)
+        monkeypatch.setattr(graph, "WIDE", wide)
+        got = [tuple(x) for x in graph.propagate_facts(e, f, columns).collect()]
+        full = {x[: 1 + len(columns)] for x in want | {(5, None, "r"), (None, 1, "w")}}
+        assert set(got) == full and len(got) == len(full)
+
+
+def test_facts_of_a_shallow_graph_are_gathered_once(spark, monkeypatch):
+    written, put = [], graph.Scratch.put
+    monkeypatch.setattr(graph.Scratch, "put", lambda self, df, label="t", *by: written.append(label) or put(self, df, label, *by))
+    tree = spark.range(1, 2000).selectExpr("id AS caller", "id div 2 AS callee")
+    facts = spark.range(6000).selectExpr("id % 2000 AS fid", "id AS gid")
+    assert graph.propagate_facts(tree, facts, ("gid",)).count() == sum(3 * (k.bit_length() + 1) for k in range(2000))
+    assert "state" not in written  # the facts of all functions aren't written again each round
