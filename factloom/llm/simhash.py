@@ -80,8 +80,10 @@ def _posted(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _sized(postings: DataFrame) -> DataFrame:
+    """The postings of lists of two or more, with the size n of their list. Spark sizes postings as the fingerprints that they are exploded from, up to 70
+    times too low, and would broadcast them: a hint tells it to shuffle both."""
     sizes = postings.groupBy("list", "value").agg(F.count("*").alias("n")).where("n > 1")
-    return postings.join(sizes, ["list", "value"])
+    return postings.join(sizes.hint("merge"), ["list", "value"])
 
 
 def _met(postings: DataFrame, k: int) -> DataFrame:
@@ -172,11 +174,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others. Null text counts as empty; very long texts are read whole; a null id never names a component (a component of null
     ids alone has null); repeated rows link like copies; extra columns are ignored; an empty table gives an empty one.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash", small=True)
     fps = scratch.put(fingerprints(docs, id_col, text_col, n), "fingerprints")
     nodes = scratch.put(fps.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     parts = fingerprint_classes(nodes.select("fp"), scratch, list_rows, block_rows)
     labelled = nodes.join(parts, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     lowest = labelled.groupBy("c").agg(F.min("low").alias("component_id"))
     final = scratch.put(labelled.join(lowest, "c").select("fp", "component_id"), "classes")
-    return fps.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    # the caller's settings hold here; a file of fingerprints is several times smaller than its rows
+    return fps.join(final.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")

@@ -4,6 +4,7 @@ from collections import Counter
 import pandas as pd
 import xxhash
 from helpers import awkward, empty
+from pyspark.sql import DataFrameWriter, functions as F
 
 from factloom.llm import simhash
 from factloom.scratch import Scratch
@@ -114,3 +115,21 @@ def test_sf001_against_brute_force(spark):
     for d, f in fps.items():
         low[parts[f]] = min(d, low.get(parts[f], d))
     assert {d: (r.fp % 2**64, r.component_id) for d, r in out.items()} == {d: (f, low[parts[f]]) for d, f in fps.items()}
+
+
+def test_postings_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes what is exploded as what it was exploded from."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(1000).select(F.xxhash64("id").alias("fp"), F.array(*[F.lit(i) for i in range(56)]).alias("lists"))
+    sized = simhash._sized(simhash._posted(rows, 3))
+    assert "BroadcastHashJoin" not in plan(sized) and sized.where("n < 2").isEmpty()
+    seen, write = set(), DataFrameWriter.parquet
+
+    def parquet(self, *a, **k):
+        seen.add(tuple(spark.conf.get(name, None) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")))
+        return write(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    out = simhash.near_duplicates(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("one text for all").alias("text")))
+    assert seen == {("256k", "1m")} and "BroadcastHashJoin" not in plan(out)
+    assert {r.component_id for r in out.collect()} == {0}
