@@ -50,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies, equal texts included, one row stays: the smallest id, then the smallest text hash; a row
     without an id only where no other has one. Of whole repeated rows one stays; a row is never dropped for another's id.
     Columns may have any names; an empty table gives an empty one."""
-    scratch = Scratch(spark, "near-copies")
+    scratch = Scratch(spark, "near-copies", small=True)
     id_ = F.col("doc_id").cast("long")
     text = text_or_empty()
     n1, n2 = line_dedup.identity(text)
@@ -90,7 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage. Each stage's result is written to the shared folder and read again by the next."""
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline", small=True)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         with only_result(spark):  # what a stage has written besides its result goes, and then the result before

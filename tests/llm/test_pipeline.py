@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from helpers import awkward, empty
+from pyspark.sql import DataFrameWriter
 
 from factloom.llm import line_dedup, packing, pii, quality, simhash
 from factloom.scratch import Scratch
@@ -76,3 +77,17 @@ def test_one_row_of_a_group_of_copies_stays(spark):
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(x.place for x in out.collect()) == [1, 3, 4, 6, 8]
+
+
+def test_near_copies_broadcast_small_tables_only(spark, monkeypatch):
+    seen, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **k):
+        seen[path.rsplit("/", 1)[1]] = tuple(spark.conf.get(name, None) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"))
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    docs = spark.createDataFrame([(k, "one two three four five six seven eight nine ten" if k % 2 else f"text {k}") for k in range(8)], "doc_id long, text string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert len(seen) > 10 and set(seen.values()) == {("256k", "1m")}
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 4, 6]
